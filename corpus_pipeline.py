@@ -1,8 +1,60 @@
-"""A corpus through five stages, one of the operators each."""
+"""A corpus through five stages, one of the operators each.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns the rows it keeps; all but the
+last return the columns of documents. The stages are written and read again in
+between, so each starts from a plain scan.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftgraph.llm import decontamination, jaccard, mixing, quality, secrets
+from weftgraph.llm.storage import cut
+
+
+def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep(docs, model)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return jaccard.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold a benchmark passage."""
+    return decontamination.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With a mark in place of each secret."""
+    return secrets.redact(docs, secrets.thresholds(cut(secrets.inspect(docs))))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes; taken / size is how often."""
+    return mixing.mix(docs).where("taken > 0")
+
+
+STAGES = [("quality classifier", classified), ("n-gram Jaccard join", deduplicated), ("benchmark decontamination", decontaminated), ("secret scans", redacted), ("mixing sources", mixed)]
+#: SQL has no boosted trees.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftgraph-")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            at = f"{base}/pipeline-{uuid.uuid4().hex}"
+            docs.write.parquet(at)
+            docs = spark.read.parquet(at)
+    return docs
