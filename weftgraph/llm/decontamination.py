@@ -151,7 +151,7 @@ def _found(texts: list[bytes], block: Block, threshold: float) -> tuple[np.ndarr
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (passage[1:] != passage[:-1]) | (begin[1:] - begin[:-1] > pad[1:])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
     ends = np.cumsum(n)
     items, parts, who = [], [], []
     for a, b in zip(first.tolist(), last.tolist(), strict=True):

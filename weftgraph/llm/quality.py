@@ -71,8 +71,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             yield pd.DataFrame({"id": pdf.id, "y": pdf.y, "x": [statistics(t or b"") for t in pdf.t]})
 
     got = rows.mapInPandas(run, "id long, y int, x array<double>").orderBy(F.xxhash64("id"), "id", "y", "x").limit(sample).toPandas()
-    x = np.array(got.x.tolist(), float).reshape(len(got), -1)
-    return boosting.fit(x if len(got) else np.zeros((0, 1)), got.y.to_numpy(float))
+    x = np.array(got.x.tolist(), float) if len(got) else np.zeros((0, 1))
+    return boosting.fit(x, got.y.to_numpy(float))
 
 
 def _scores(texts: list, model: boosting.Trees) -> np.ndarray:
