@@ -19,8 +19,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftgraph.llm.words import mix
 
@@ -32,15 +32,22 @@ U = np.uint64
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """Numbers as compressed byte planes."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T) if len(x) else b""
-    return zstandard.ZstdCompressor(level=1).compress(bytes(planes))
+    """Numbers as compressed byte planes, without the upper ones that hold zeros only."""
+    if not len(x):
+        return b""
+    raw = x.view(np.uint8).reshape(len(x), x.itemsize)
+    least, most = int(x.min()), int(x.max())
+    used = x.itemsize if least < 0 else max(1, (most.bit_length() + 7) // 8)
+    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw[:, :used].T).tobytes())
 
 
 def expand(b: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b, max_output_size=0), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
+    if not b:
+        return np.empty(0, kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    raw = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    raw[:, : b[0]] = planes.T
+    return raw.view(kind).ravel()
 
 
 def squeeze_sorted(x: np.ndarray) -> bytes:
@@ -51,9 +58,9 @@ def expand_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(expand(b, U), dtype=U)
 
 
-def pack_bytes(items: list[bytes]) -> tuple[bytes, bytes]:
+def pack_bytes(items: list[bytes], level: int = 1) -> tuple[bytes, bytes]:
     """Contents and lengths."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(items)), squeeze(np.array([len(x) for x in items], np.int64))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(items)), squeeze(np.array([len(x) for x in items], np.int64))
 
 
 def unpack_bytes(data: bytes, lengths: bytes) -> list[bytes]:
@@ -90,12 +97,13 @@ def buckets_of(df: DataFrame) -> int:
 
 
 def chunks(batches: Iterator, columns: int, weigh: Callable[[list], int]) -> Iterator[tuple[int, list[list]]]:
-    """(chunk id, its columns) from Arrow batches, some CHUNK of weight each."""
-    part, seq, have, weight = TaskContext.get().partitionId(), 0, [[] for _ in range(columns)], 0
+    """(chunk id, its columns) from Arrow batches whose first column is the scan's partition, some CHUNK of weight each."""
+    part, seq, have, weight = 0, 0, [[] for _ in range(columns)], 0
     for batch in batches:
         at, step = 0, 256
         while at < batch.num_rows:
-            rows = [batch.column(i).slice(at, step).to_pylist() for i in range(columns)]
+            part = batch.column(0)[0].as_py()
+            rows = [batch.column(i + 1).slice(at, step).to_pylist() for i in range(columns)]
             for h, r in zip(have, rows, strict=True):
                 h += r
             weight += weigh(rows)
@@ -153,7 +161,7 @@ def merged(keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def ask_table(df: DataFrame, columns: int, weigh: Callable[[list], int], fn: Callable[[int, list[list]], Iterator[tuple]]) -> DataFrame:
-    """Rows of SCHEMA that fn(chunk id, columns) gives for each chunk of df."""
+    """Rows of SCHEMA that fn(chunk id, columns) gives for each chunk of df; equal chunks each time that df is read."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -163,7 +171,7 @@ def ask_table(df: DataFrame, columns: int, weigh: Callable[[list], int], fn: Cal
             rows = list(fn(chunk, have))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
 
-    return df.mapInArrow(run, SCHEMA)
+    return df.select(F.spark_partition_id().alias("_partition"), "*").mapInArrow(run, SCHEMA)
 
 
 def gather(pdf: pd.DataFrame) -> tuple[pd.Series, list[bytes]]:

@@ -47,14 +47,14 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
     """
     buckets = packs.buckets_of(docs)
 
+    def keep(chunk: int, have: list[list]) -> Iterator[tuple]:
+        yield chunk, 0, packs.STATE, pickle.dumps(have[0]), *packs.pack_bytes([t or b"" for t in have[1]], 6)
+
     def ask(chunk: int, have: list[list]) -> Iterator[tuple]:
         h, n = words.word_hashes([t or b"" for t in have[1]])
-        distinct, at = np.unique(h, return_inverse=True)
         every = np.sort(np.concatenate([_TOTAL.repeat(len(h)), *(k for _, k in _grams(h, n, order))]))
         first = np.flatnonzero(np.diff(every, prepend=U(1)))
         keys, often = every[first], np.diff(np.append(first, len(every)))
-        state = {"ids": have[0], "n": n, "words": packs.squeeze_sorted(distinct), "at": packs.squeeze(at.astype(np.uint32))}
-        yield chunk, packs.home(chunk, buckets), packs.STATE, pickle.dumps(state), b"", b""
         yield from packs.asks(chunk, keys, buckets, lambda p: (packs.squeeze(often[p]), b""))
 
     def total(keys: list[np.ndarray], often: list[bytes], _) -> list[bytes]:
@@ -66,19 +66,25 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
 
     def finish(_, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         state, answers = packs.gather(pdf)
-        s = pickle.loads(state.a)
-        n = s["n"]
-        h = packs.expand_sorted(s["words"])[packs.expand(s["at"], np.uint32)] if int(n.sum()) else np.empty(0, U)
+        ids = pickle.loads(state.a)
+        h, n = words.word_hashes(packs.unpack_bytes(state.b, state.c))
         doc = words.owners(n)
         grams = _grams(h, n, order)
-        keys = np.unique(np.concatenate([_TOTAL.repeat(min(1, len(h))), *(k for _, k in grams)]))
+        keys = np.sort(np.concatenate([_TOTAL.repeat(min(1, len(h))), *(k for _, k in grams)]))
+        keys = keys[np.diff(keys, prepend=U(1)) != 0]
         count = np.concatenate([packs.expand(x, np.int64) for x in answers]) if answers else np.empty(0, np.int64)
 
         def others(key: np.ndarray, of: np.ndarray) -> np.ndarray:
             """How often the other documents hold each n-gram."""
-            at = np.searchsorted(keys, key)
-            _, back, own = np.unique(of * len(keys) + at, return_inverse=True, return_counts=True)
-            return count[at] - own[back]
+            by_key = np.argsort(key, kind="stable")  # of equal keys, those of a document stand together
+            k, d = key[by_key], of[by_key]
+            new = np.diff(k, prepend=~k[:1]) != 0
+            run = np.flatnonzero(new | (np.diff(d, prepend=-1) != 0))
+            own = np.diff(np.append(run, len(k)))
+            total = count[np.searchsorted(keys, k[run])]
+            out = np.empty(len(k), np.int64)
+            out[by_key] = np.repeat(total - own, own)
+            return out
 
         log, level = np.zeros(len(h)), np.zeros(len(h), np.int64)
         best = np.zeros(len(h), np.int64)
@@ -99,9 +105,11 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
         sums = np.bincount(doc, log, len(n))
         with np.errstate(invalid="ignore", divide="ignore"):
             mean = sums / n
-        out = pd.DataFrame({"doc_id": pd.array(s["ids"], "Int64"), "n_words": n, "log_score": sums, "mean_log_score": mean, "n_backed_off": np.bincount(doc, lost > 0, len(n)).astype(np.int64)})
+        out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": n, "log_score": sums, "mean_log_score": mean, "n_backed_off": np.bincount(doc, lost > 0, len(n)).astype(np.int64)})
         yield out
 
-    asked = packs.ask_table(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), 2, lambda rows: sum(len(t or b"") for t in rows[1]) // 6, ask)
-    out = packs.grouped(packs.answer(asked, total), ["chunk"], finish, "doc_id long, n_words long, log_score double, mean_log_score double, n_backed_off long")
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
+    weigh = lambda have: sum(len(t or b"") for t in have[1]) // 6
+    answers = packs.answer(packs.ask_table(rows, 2, weigh, ask), total)
+    out = packs.grouped(packs.ask_table(rows, 2, weigh, keep).unionByName(answers), ["chunk"], finish, "doc_id long, n_words long, log_score double, mean_log_score double, n_backed_off long")
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("mean_log_score")))
