@@ -76,6 +76,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     """
     buckets = packs.buckets_of(docs)
 
+    def keep(chunk: int, have: list[list]) -> Iterator[tuple]:
+        yield chunk, 0, packs.STATE, pickle.dumps(have[0]), *packs.pack_bytes([t or b"" for t in have[1]], 6)
+
     def ask(chunk: int, have: list[list]) -> Iterator[tuple]:
         ids, texts = have[0], [t or b"" for t in have[1]]
         h, n = words.word_hashes(texts)
@@ -88,7 +91,6 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         keys = anchor[order][first]
         least = np.minimum.reduceat(who[order], first) if len(first) else who
         most = np.maximum.reduceat(who[order], first) if len(first) else who
-        yield chunk, packs.home(chunk, buckets), packs.STATE, pickle.dumps(ids), *packs.pack_bytes(texts)
         yield from packs.asks(chunk, keys, buckets, lambda p: (packs.squeeze(least[p]), np.packbits(least[p] < most[p]).tobytes()))
 
     def shared(keys: list[np.ndarray], least: list[bytes], several: list[bytes]) -> list[bytes]:
@@ -148,8 +150,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         done["doc_id"] = pd.array(done.doc_id, "Int64")
         yield done
 
-    asked = packs.ask_table(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), 2, lambda rows: sum(len(t or b"") for t in rows[1]) // 6, ask)
-    candidates = packs.grouped(packs.answer(asked, shared), ["chunk"], extend, packs.SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
+    weigh = lambda have: sum(len(t or b"") for t in have[1]) // 6
+    answers = packs.answer(packs.ask_table(rows, 2, weigh, ask), shared)
+    candidates = packs.grouped(packs.ask_table(rows, 2, weigh, keep).unionByName(answers), ["chunk"], extend, packs.SCHEMA)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:long,end:long>>, kept_text string"
     out = packs.grouped(packs.answer(candidates, earliest), ["chunk"], remove, schema)
     return out if with_text else out.drop("kept_text")
