@@ -2,7 +2,7 @@ import random
 
 from tests.llm.common import docs, some_texts, words
 from weftgraph.llm import jaccard
-from weftgraph.llm.components import components
+from weftgraph.operators.components import components
 
 
 def grams(t, size=5):

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import packs, words
-from weftgraph.llm.components import components
-from weftgraph.llm.storage import cut
+from weftgraph.operators.components import components
+from weftgraph.operators.checkpoints import cut
 
 U = np.uint64
 #: Bands and their rows: two texts at 0.8 miss all bands with a probability of 2.5e-7.
