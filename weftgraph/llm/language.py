@@ -17,7 +17,16 @@ from weftgraph.llm.quality import held_out
 DOCS, CHARS, BYTES = 400, 400, 112 << 10
 #: Text is encoded in blocks of so many bytes, each from the dictionary alone.
 BLOCK = 2048
+#: Compression level; from about here on the short syllables that tell languages apart are found.
+LEVEL = 7
 _LETTER = re.compile(r"[^\W\d_]")
+#: ASCII marks and digits say nothing about the language.
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalpha() and chr(c) != "'")
+
+
+def letters(text: str) -> bytes:
+    """What is encoded of a text: all of it in lower case, without ASCII marks and digits."""
+    return text.lower().encode("utf-8", "replace").translate(None, _MARKS)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
@@ -39,7 +48,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     got = rows.join(F.broadcast(rates), "lang").where(part < F.col("rate")).select("lang", "h", F.col("t").substr(place, F.lit(CHARS)).alias("t")).toPandas()
     out = {}
     for lang, own in got.groupby("lang"):
-        out[lang] = "\n".join(own.sort_values(["h", "t"]).t.drop_duplicates()).encode()[-BYTES:]
+        out[lang] = letters("\n".join(own.sort_values(["h", "t"]).t.drop_duplicates()))[-BYTES:] or b" "
     return out
 
 
@@ -47,8 +56,8 @@ def _encoders(contents: dict[str, bytes]) -> list:
     out = []
     for c in contents.values():
         d = zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=3)
-        out.append(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        d.precompute_compress(level=LEVEL)
+        out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
     return out
 
 
@@ -75,7 +84,7 @@ def predict(docs: DataFrame, contents: dict[str, bytes], margin: float = 0.01, s
                     scores.append(0.0)
                     doubts.append(True)
                     continue
-                b = t.encode("utf-8", "replace")
+                b = letters(t)
                 blocks = [b[k : k + BLOCK] for k in range(0, len(b), BLOCK)]
                 sizes = np.array([sum(len(e.compress(x)) for x in blocks) for e in encoders], float)
                 over = sizes / sizes.min() - 1
