@@ -98,3 +98,51 @@ def masks(states: DataFrame, rules: list[Rule], nonterminals: set[str], most: in
             yield pd.DataFrame({"id": pdf.id, "mask": out})
 
     return states.select("id", "rules").mapInPandas(run, "id long, mask array<boolean>")
+
+
+def made_edges(g: Graph, node: int, rule: Rule) -> set[tuple[str, str]]:
+    """Label pairs (from, to) of the edges that a rule would make between its nodes and the replaced node's neighbours."""
+    new, at, _ = apply(g, node, rule)
+    return {(new.labels[a], new.labels[b]) for a, b, _ in new.edges if (a in at) != (b in at)}
+
+
+def fits_amplifier(g: Graph, node: int, rule: Rule, source: str = "input", sink: str = "output") -> bool:
+    """No edge may lead into a source or out of a sink, and there is one of each at most."""
+    pairs = made_edges(g, node, rule) | {(rule.labels[a], rule.labels[b]) for a, b, _ in rule.edges}
+    count = lambda x: sum(n == x for n in g.labels.values()) + sum(n == x for n in rule.labels)
+    return all(b != source and a != sink for a, b in pairs) and count(source) <= 1 and count(sink) <= 1
+
+
+def fits_network(g: Graph, node: int, rule: Rule) -> bool:
+    """Each variable comes once."""
+    left = [x for n, x in g.labels.items() if n != node] + list(rule.labels)
+    return len(left) == len(set(left))
+
+
+def fits_chain(g: Graph, node: int, rule: Rule) -> bool:
+    """The graph stays one that a path goes through."""
+    return hamiltonian(apply(g, node, rule)[0])
+
+
+def post_order(children: dict[int, list[int]], root: int) -> list[int]:
+    """A tree's nodes, children before parents."""
+    out, front = [], [root]
+    while front:
+        n = front.pop()
+        out.append(n)
+        front += children.get(n, ())
+    return out[::-1]
+
+
+def breadth_first(g: Graph, start: int) -> list[int]:
+    """Nodes in the order of their distance along edges of either direction, ties by id."""
+    near: dict = {n: set() for n in g.labels}
+    for a, b, _ in g.edges:
+        near[a].add(b)
+        near[b].add(a)
+    order, seen = [start], {start}
+    for n in order:
+        new = sorted(near[n] - seen)
+        seen |= set(new)
+        order += new
+    return order

@@ -100,3 +100,19 @@ def top_k(rows: DataFrame, group: str, score: str, tie: str, k: int) -> DataFram
     """The k best rows of each group, with their rank."""
     rank = F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), tie))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def share_containing(graphs: DataFrame, hits: DataFrame) -> DataFrame:
+    """n_graphs and the share of graphs(graph_id) that hits(graph_id) names."""
+    marked = graphs.select("graph_id").distinct().join(hits.select("graph_id", F.lit(1.0).alias("hit")).distinct(), "graph_id", "left")
+    return marked.agg(F.count("*").alias("n_graphs"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("share"))
+
+
+def equal_mass(vectors: DataFrame, id_col: str, vector: str, clusters: int, seed: int = 0) -> DataFrame:
+    """One row of each of so many k-means clusters, by a seeded hash of its id."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    model = KMeans(k=clusters, seed=seed, featuresCol="_v", predictionCol="cluster").fit(rows)
+    return model.transform(rows).groupBy("cluster").agg(F.min_by(id_col, F.struct(F.xxhash64(F.lit(seed), id_col), id_col)).alias(id_col))

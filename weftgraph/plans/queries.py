@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions import identifiers, tokens
-from weftgraph.operators import components, hypergraphs, instructions, matching, metrics, primitives, rewriting, tournaments, traversal
+from weftgraph.operators import components, hypergraphs, instructions, matching, metrics, primitives, productions, rewriting, tournaments, traversal
 from weftgraph.plans import fixtures, learning
 from weftgraph.sources import files, views
 
@@ -532,3 +532,43 @@ def extract_motifs(spark, sf_dir):
 def unrolled_hash(spark, sf_dir):
     g = views.event_graphs(spark, sf_dir)
     return traversal.per_graph(g, lambda n, e: iter([(traversal.unrolled_hash(n, e),)]), "h string")
+
+
+@query("""WITH r AS (SELECT p_partkey AS rule_id, '(' || p_size || ',' || p_brand[7:8] || ':N)(a,b:T)(x' || p_size % 3 || ':' || CASE WHEN p_size % 2 = 0 THEN 'N' ELSE 'T' END || ')' AS text FROM part),
+m AS (SELECT rule_id, unnest(regexp_extract_all(text, '\\(((?:\\w+,)*\\w+):([NT])\\)', 1)) AS n, unnest(regexp_extract_all(text, '\\(((?:\\w+,)*\\w+):([NT])\\)', 2)) AS k, unnest(range(0, 3)) AS pos FROM r)
+SELECT rule_id, pos, n AS nodes, k = 'N' AS is_nonterminal FROM m""")
+def production_edges(spark, sf_dir):
+    p = views.table(spark, sf_dir, "part")
+    kind = F.when(F.col("p_size") % 2 == 0, "N").otherwise("T")
+    text = F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(","), F.substring("p_brand", 7, 2), F.lit(":N)(a,b:T)(x"), (F.col("p_size") % 3).cast("string"), F.lit(":"), kind, F.lit(")"))
+    return productions.edges(p.select(F.col("p_partkey").alias("rule_id"), text.alias("text"))).withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query(f"WITH {ORDERS}, h AS (SELECT DISTINCT g FROM e WHERE sl = 'A' AND dl = 'R') SELECT count(*) AS n_graphs, round(avg(CASE WHEN h.g IS NULL THEN 0.0 ELSE 1.0 END), 9) AS share FROM (SELECT DISTINCT g FROM n) k LEFT JOIN h ON h.g = k.g")
+def share_containing(spark, sf_dir):
+    g = views.order_graphs(spark, sf_dir)
+    return metrics.share_containing(g.nodes, matching.containing(g, matching.Pattern(("A", "R"), ((0, 1, None),)))).withColumn("share", F.round("share", 9))
+
+
+@query("SELECT p_brand AS symbol, count(DISTINCT p_type) AS n_rules FROM part GROUP BY 1")
+def rules_per_symbol(spark, sf_dir):
+    return productions.symbols(views.table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol"), F.col("p_type").alias("rule_id")))
+
+
+@query()
+def equal_mass_sample(spark, sf_dir):
+    return metrics.equal_mass(views.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+
+
+@query()
+def derivation_parses(spark, sf_dir):
+    from weftgraph.operators.derivations import all_derivations
+    from weftgraph.operators.rewriting import Rule
+
+    emb = frozenset({("user", "black", "black", 0, "in", "in"), ("assistant", "black", "black", 0, "in", "in")})
+    rules = [Rule("black", ("user", "gray"), ((0, 1, "black"),))] + [Rule("gray", x, ((0, 1, "black"),) if len(x) > 1 else (), emb) for x in (("assistant", "gray"), ("user", "gray"), ("assistant",), ("user",))]
+    g = views.conversation_graphs(spark, sf_dir)
+    nodes = g.nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "label")).alias("nodes"))
+    edges = g.edges.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "label")).alias("edges"))
+    found = all_derivations(nodes.join(edges, "graph_id", "left"), rules, {"gray", "black"})
+    return found.select("graph_id", F.size("derivations").alias("n_derivations"), "problem")
