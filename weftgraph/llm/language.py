@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,6 @@ DOCS, CHARS, BYTES = 400, 400, 112 << 10
 BLOCK = 2048
 #: Compression level; from about here on the short syllables that tell languages apart are found.
 LEVEL = 7
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII marks and digits say nothing about the language.
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalpha() and chr(c) != "'")
 
@@ -79,7 +77,7 @@ def predict(docs: DataFrame, contents: dict[str, bytes], margin: float = 0.01, s
         for pdf in it:
             langs, scores, doubts = [], [], []
             for t in pdf.t:
-                if not names or t is None or not _LETTER.search(t):
+                if not names or t is None or not any(map(str.isalpha, t)):
                     langs.append("und")
                     scores.append(0.0)
                     doubts.append(True)
