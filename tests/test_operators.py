@@ -205,7 +205,7 @@ def test_fits_and_orders():
     ok = rewriting.Rule("gray", ("m", "output"), ((0, 1, "black"),), frozenset({("input", "black", "black", 0, "in", "in")}))
     bad = rewriting.Rule("gray", ("m", "input"), ((0, 1, "black"),))
     assert masks.fits_amplifier(g, 1, ok) and not masks.fits_amplifier(g, 1, bad)
-    assert masks.fits_chain(g, 1, ok) and not masks.fits_chain(g, 1, rewriting.Rule("gray", ("m", "n")))
-    assert masks.fits_network(g, 1, ok) and not masks.fits_network(g, 1, rewriting.Rule("gray", ("input",)))
+    assert masks.fits_chain(g, 1, ok) and not masks.fits_chain(g, 1, rewriting.Rule("gray", ("m", "n"), ()))
+    assert masks.fits_network(g, 1, ok) and not masks.fits_network(g, 1, rewriting.Rule("gray", ("input",), ()))
     assert masks.post_order({1: [2, 3], 3: [4]}, 1) == [2, 4, 3, 1]
     assert masks.breadth_first(rewriting.Graph(dict.fromkeys(range(4), "a"), {(2, 0, ""), (0, 1, ""), (1, 3, "")}), 0) == [0, 1, 2, 3]
