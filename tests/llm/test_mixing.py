@@ -57,3 +57,12 @@ def test_repeated_rows_share_a_fate_and_empty_tables(spark):
         assert len({r.taken for r in rows if (r.doc_id, r.source) == key}) == 1
     assert mix(docs(spark, ["a"]).limit(0)).collect() == []
     assert [r.taken for r in mix(docs(spark, [None, ""])).collect()] == [0, 0]
+
+
+def test_many_sources_are_joined_by_a_shuffle(spark, monkeypatch):
+    from weftgraph.llm import mixing
+
+    texts = some_texts(random.Random(4), n=80)
+    few = {(r.doc_id, r.taken) for r in mix(docs(spark, texts)).collect()}
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert {(r.doc_id, r.taken) for r in mix(docs(spark, texts)).collect()} == few
