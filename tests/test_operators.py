@@ -62,7 +62,10 @@ def test_matching_equals_brute_force(spark, induced):
                     ok = ok and all(k in asked for k in e if k[0] in m and k[1] in m)
                 if ok:
                     want.append((gid, *m))
-        assert sorted(tuple(r) for r in matching.match(g, p, induced).collect()) == sorted(want), p
+        for small in (True, False):
+            rows = matching.match(g, p, induced, small).collect()
+            assert sorted(tuple(r)[: 1 + len(p.labels)] for r in rows) == sorted(want), (p, small)
+            assert all(r[f"{c}_label"] == (made[r.graph_id][0][r[c]] or "#") for r in rows for c in p.columns)
 
 
 def test_canonical_forms_tell_graphs_apart():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.operators.matching import links
+from weftgraph.operators.matching import packed
 from weftgraph.sources.views import Graphs
 
 
@@ -15,12 +15,20 @@ def surroundings(g: Graphs, isms: DataFrame) -> DataFrame:
 
     pos is the place in the match, d the edge's direction from it, mu the neighbour's label.
     """
-    at = isms.select("graph_id", "ism_id", "nodes", F.posexplode("nodes").alias("pos", "n"))
-    near = at.join(links(g).select("graph_id", F.col("a").alias("n"), F.col("b").alias("y"), "fwd", "back", "fwd_label", "back_label"), ["graph_id", "n"]).where(~F.array_contains("nodes", F.col("y")))
-    both = F.array_compact(F.array(F.when(F.col("fwd"), F.struct(F.lit("out").alias("d"), F.col("fwd_label").alias("q"))), F.when(F.col("back"), F.struct(F.lit("in").alias("d"), F.col("back_label").alias("q")))))
-    e = near.select("graph_id", "ism_id", "y", "pos", F.explode(both).alias("e"))
-    mu = g.nodes.select("graph_id", F.col("node_id").alias("y"), F.coalesce("label", F.lit("#")).alias("mu"))
-    return e.join(mu, ["graph_id", "y"]).select("graph_id", "ism_id", "y", "mu", "pos", F.col("e.d").alias("d"), F.col("e.q").alias("q"))
+    inside = lambda n: F.array_contains("nodes", n)
+    crossing = F.filter("es", lambda e: inside(e["src"]) != inside(e["dst"]))
+    seen = F.transform(
+        crossing,
+        lambda e: F.struct(
+            F.when(inside(e["src"]), e["dst"]).otherwise(e["src"]).alias("y"),
+            (F.array_position("nodes", F.when(inside(e["src"]), e["src"]).otherwise(e["dst"])) - 1).cast("int").alias("pos"),
+            F.when(inside(e["src"]), "out").otherwise("in").alias("d"),
+            e["label"].alias("q"),
+        ),
+    )
+    # matches and their graphs are partitioned alike, so this join moves nothing that isn't moved already
+    rows = isms.join(packed(g), "graph_id").select("graph_id", "ism_id", "labels", F.explode(seen).alias("e"))
+    return rows.select("graph_id", "ism_id", F.col("e.y").alias("y"), F.element_at("labels", F.col("e.y")).alias("mu"), F.col("e.pos").alias("pos"), F.col("e.d").alias("d"), F.col("e.q").alias("q")).distinct()
 
 
 def classes(around: DataFrame) -> DataFrame:

@@ -49,14 +49,75 @@ def _fitting(pairs: DataFrame, p: Pattern, a: int, b: int, induced: bool) -> Dat
     return pairs.where(ok).select("graph_id", F.col("a").alias(f"n{a}"), F.col("b").alias(f"n{b}"))
 
 
-def match(g: Graphs, p: Pattern, induced: bool = True) -> DataFrame:
-    """graph_id, n0, n1, ...: each way to lay p on g, one row for each mapping.
+def packed(g: Graphs) -> DataFrame:
+    """graph_id, labels (by node), es (edges): a row for each graph, in the partitioning that the collection has already."""
+    nodes = g.nodes.groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.coalesce("label", F.lit("#"))))).alias("labels"))
+    edges = g.edges.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "label")).alias("es"))
+    none = F.array().cast(edges.schema["es"].dataType)
+    return nodes.join(edges, "graph_id", "left").withColumn("es", F.coalesce("es", none))
+
+
+def match(g: Graphs, p: Pattern, induced: bool = True, small: bool = True) -> DataFrame:
+    """graph_id, n0, n1, ..., n0_label, ...: each way to lay p on g, one row for each mapping.
 
     Induced: nodes that p doesn't join aren't joined in g either, in neither
-    direction. Each position that p joins to an earlier one is an equi-join on
-    (graph, node) with the pairs of g; each pair of positions that p doesn't join is
-    an anti-join. Labels filter first. A missing label is "#".
+    direction. A missing label is "#".
+
+    small: graphs fit a row each. They are gathered once, by graph, and positions are
+    filled one after the other from the graph's own edges, so there is no join and no
+    shuffle beyond the first. Otherwise, for large graphs: each position that p
+    joins to an earlier one is an equi-join on (graph, node) with the pairs of g, and
+    each pair of positions that p doesn't join is an anti-join.
     """
+    if small:
+        return _match_rows(packed(g), p, induced)
+    return label_of(_match_joins(g, p, induced), g, p.columns).select("graph_id", *p.columns, *[f"{c}_label" for c in p.columns])
+
+
+def _match_rows(graphs: DataFrame, p: Pattern, induced: bool) -> DataFrame:
+    def edge(a, b, label: str | None):
+        return F.exists("es", lambda e: (e["src"] == a) & (e["dst"] == b) & (F.lit(True) if label is None else F.coalesce(e["label"] == label, F.lit(False))))
+
+    def fits(k: int, done: list[int]):
+        """Whether position k agrees with the earlier ones."""
+        n, ok = F.col(f"n{k}"), F.lit(True)
+        if p.labels[k] is not None:
+            ok &= F.element_at("labels", n) == p.labels[k]
+        for d in done:
+            m, want = F.col(f"n{d}"), p.between(d, k)
+            ok &= n != m
+            if not p.directed:
+                joined = edge(m, n, None) | edge(n, m, None)
+                ok &= joined if want else (~joined if induced else F.lit(True))
+                continue
+            for forward, a, b in ((True, m, n), (False, n, m)):
+                if forward in want:
+                    ok &= edge(a, b, want[forward])
+                elif induced:
+                    ok &= ~edge(a, b, None)
+        return ok
+
+    nodes = F.map_keys("labels")
+    plan = graphs.withColumn("n0", F.explode(nodes)).where(fits(0, []))
+    done = [0]
+    while len(done) < len(p.labels):
+        rest = [k for k in range(len(p.labels)) if k not in done]
+        k, via = next(((k, d) for k in rest for d in done if p.between(d, k)), (rest[0], None))
+        if via is None:
+            near = nodes
+        else:
+            at = F.col(f"n{via}")
+            ahead = F.transform(F.filter("es", lambda e: e["src"] == at), lambda e: e["dst"])  # noqa: B023
+            behind = F.transform(F.filter("es", lambda e: e["dst"] == at), lambda e: e["src"])  # noqa: B023
+            want = p.between(via, k)
+            near = F.array_union(ahead, behind) if not p.directed else F.array_distinct(ahead if True in want else behind)
+        plan = plan.withColumn(f"n{k}", F.explode(near)).where(fits(k, done))
+        done.append(k)
+    return plan.select("graph_id", *p.columns, *[F.element_at("labels", F.col(c)).alias(f"{c}_label") for c in p.columns])
+
+
+def _match_joins(g: Graphs, p: Pattern, induced: bool) -> DataFrame:
+    """Labels filter first."""
     pairs = links(g)
     own = g.nodes.select("graph_id", "node_id", F.coalesce("label", F.lit("#")).alias("l"))
 
@@ -94,8 +155,7 @@ def label_of(isms: DataFrame, g: Graphs, columns: list[str]) -> DataFrame:
 
 def support(g: Graphs, p: Pattern, induced: bool = True) -> DataFrame:
     """For each sequence of labels that p is found with: n_matches and n_graphs."""
-    found = label_of(match(g, p, induced), g, p.columns)
-    return found.groupBy(*[f"{c}_label" for c in p.columns]).agg(F.count("*").alias("n_matches"), F.countDistinct("graph_id").alias("n_graphs"))
+    return match(g, p, induced).groupBy(*[f"{c}_label" for c in p.columns]).agg(F.count("*").alias("n_matches"), F.countDistinct("graph_id").alias("n_graphs"))
 
 
 def node_sets(isms: DataFrame, columns: list[str]) -> DataFrame:

@@ -137,7 +137,7 @@ def automorphism_dedupe(spark, sf_dir):
 @query(f"WITH {ORDERS} SELECT g AS graph_id, src AS n0, dst AS n1 FROM e WHERE sl = 'A' AND dl = 'A' AND g NOT IN (SELECT g FROM n WHERE lab = 'R')")
 def linear_filter(spark, sf_dir):
     g = views.order_graphs(spark, sf_dir)
-    return matching.linear(matching.match(g, matching.Pattern(("A", "A"), ((0, 1, None),))), g, NONTERMINALS)
+    return matching.linear(matching.match(g, matching.Pattern(("A", "A"), ((0, 1, None),))), g, NONTERMINALS).select("graph_id", "n0", "n1")
 
 
 @query(f"WITH {ORDERS} SELECT DISTINCT o.o_orderkey AS graph_id, o_orderpriority FROM orders o SEMI JOIN (SELECT x.g FROM e x JOIN e y ON x.g = y.g AND x.dst = y.src WHERE x.sl = 'N' AND x.dl = 'N' AND y.dl = 'N') m ON m.g = o.o_orderkey")
