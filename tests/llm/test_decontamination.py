@@ -66,3 +66,15 @@ def test_alignment_equals_a_plain_table():
             for j in range(len(y)):
                 h[i + 1, j + 1] = max(0, h[i, j] + (2 if x[i] == y[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
         assert abs(s - h.max() / (2 * len(x))) < 1e-9
+
+
+def test_paraphrases_with_a_quarter_of_the_words_changed(spark):
+    items, _, _ = table(3)
+    rng = random.Random(9)
+    texts = []
+    for item in items[:20]:
+        w = ["new%d" % k if rng.random() < 0.25 else x for k, x in enumerate(item)]
+        texts.append(" ".join(["v%d" % rng.randrange(3000) for _ in range(50)] + w))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], BENCH)
+    found = {r.doc_id: r.best_item for r in dec.find(docs(spark, texts), bench).collect()}
+    assert sum(found[k] == k for k in range(20)) >= 18

@@ -45,3 +45,13 @@ def test_equals_brute_force(spark):
 def test_odd_tables(spark):
     assert score(docs(spark, ["a"]).limit(0)).collect() == []
     assert [r.log_score for r in score(docs(spark, ["a b", "a b"], [None, None])).collect()] == [math.log(0.5)] * 2
+
+
+def test_many_chunks_give_the_same(spark, monkeypatch):
+    from weftgraph.llm import packs
+
+    texts = some_texts(random.Random(6))
+    rows = lambda: sorted((r.doc_id, r.n_words, round(r.log_score, 6), r.n_backed_off) for r in score(docs(spark, texts)).collect())
+    whole = rows()
+    monkeypatch.setattr(packs, "CHUNK", 300)
+    assert rows() == whole

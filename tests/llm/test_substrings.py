@@ -53,3 +53,11 @@ def test_hot_passage_and_spans(spark):
     out = {r.doc_id: r for r in remove_repeats(docs(spark, texts), with_text=True).collect()}
     assert out[0].n_removed == 0 and all(out[k].kept_text == f"a{k} b{k}" for k in range(1, 50))
     assert [tuple(x) for x in out[7].repeats] == [(1, 21)]
+
+
+def test_many_chunks_give_the_same(spark, monkeypatch):
+    from weftgraph.llm import packs
+
+    monkeypatch.setattr(packs, "CHUNK", 300)
+    texts = some_texts(random.Random(8), n=120)
+    assert result(remove_repeats(docs(spark, texts), 13)) == brute(list(enumerate(texts)), 13)

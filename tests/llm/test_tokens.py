@@ -24,3 +24,13 @@ def test_equals_the_library_on_whole_texts(spark):
 def test_odd_tables(spark, texts, ids):
     df = docs(spark, texts, ids) if texts else docs(spark, ["a"]).limit(0)
     assert sorted((r.n_tokens for r in token_counts(df, PATH).collect())) == [0, 2, 2][: len(texts)]
+
+
+def test_many_chunks_give_the_same(spark, monkeypatch):
+    from weftgraph.llm import packs
+
+    texts = some_texts(random.Random(2)) + ODD
+    rows = lambda: sorted(tuple(r) for r in token_counts(docs(spark, texts), PATH).collect())
+    whole = rows()
+    monkeypatch.setattr(packs, "CHUNK", 200)
+    assert rows() == whole

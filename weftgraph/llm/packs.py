@@ -96,11 +96,11 @@ def buckets_of(df: DataFrame) -> int:
     return 4 * max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def chunks(batches: Iterator, columns: int, weigh: Callable[[list], int]) -> Iterator[tuple[int, list[list]]]:
-    """(chunk id, its columns) from Arrow batches whose first column is the scan's partition, some CHUNK of weight each."""
+def chunks(batches: Iterator, columns: int, weigh: Callable[[list], int], size: int) -> Iterator[tuple[int, list[list]]]:
+    """(chunk id, its columns) from Arrow batches whose first column is the scan's partition, some size of weight each."""
     part, seq, have, weight = 0, 0, [[] for _ in range(columns)], 0
     for batch in batches:
-        at, step = 0, 256
+        at, step = 0, min(256, max(1, size // 4096))
         while at < batch.num_rows:
             part = batch.column(0)[0].as_py()
             rows = [batch.column(i + 1).slice(at, step).to_pylist() for i in range(columns)]
@@ -108,7 +108,7 @@ def chunks(batches: Iterator, columns: int, weigh: Callable[[list], int]) -> Ite
                 h += r
             weight += weigh(rows)
             at += step
-            if weight >= CHUNK:
+            if weight >= size:
                 yield (part << 24) + seq, have
                 seq, have, weight = seq + 1, [[] for _ in range(columns)], 0
     if have[0]:
@@ -162,13 +162,16 @@ def merged(keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
 
 def ask_table(df: DataFrame, columns: int, weigh: Callable[[list], int], fn: Callable[[int, list[list]], Iterator[tuple]]) -> DataFrame:
     """Rows of SCHEMA that fn(chunk id, columns) gives for each chunk of df; equal chunks each time that df is read."""
+    size = CHUNK
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         kind = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-        for chunk, have in chunks(batches, columns, weigh):
+        for chunk, have in chunks(batches, columns, weigh, size):
             rows = list(fn(chunk, have))
+            if not rows:  # it holds nothing to ask about
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
 
     return df.select(F.spark_partition_id().alias("_partition"), "*").mapInArrow(run, SCHEMA)
