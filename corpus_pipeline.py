@@ -7,13 +7,12 @@ between, so each starts from a plain scan.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import decontamination, jaccard, mixing, quality, secrets
-from weftgraph.operators.checkpoints import cut
+from weftgraph.operators.checkpoints import cut, folder
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +49,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftgraph-")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            at = f"{base}/pipeline-{uuid.uuid4().hex}"
+            at = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
             docs.write.parquet(at)
             docs = spark.read.parquet(at)
     return docs
