@@ -53,6 +53,13 @@ def _anchors(h: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.
     return places, least[places]
 
 
+def _windows(h: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """96-bit hashes of the windows that start at some places, as 64 and 32 bits."""
+    if not len(places):
+        return np.empty(0, U), np.empty(0, np.uint32)
+    return words.runs(h, window, 12)[places], (words.runs(h, window, 13)[places] >> U(32)).astype(np.uint32)
+
+
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, repeats (and kept_text) of every row.
 
@@ -64,7 +71,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     length, so that equal windows have equal anchors; hash ranges tell which
     anchors stand in two documents. Extend: only around such anchors are the
     windows, up to half a window to the left and right, held against all other
-    documents' by 128-bit hashes and the least id that each starts in. Windows
+    documents' by 96-bit hashes and the least id that each starts in. Windows
     that pass are joined to maximal repeats. What a chunk asks is distinct and
     holds the least id only, so a passage in a third of all documents costs an
     entry a chunk.
@@ -111,28 +118,29 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         cut = np.bincount(packs.bucket_of(keys, buckets), minlength=buckets)
         flags = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=c) for x, c in zip(answers, cut[cut > 0].tolist(), strict=True)]) if answers else np.zeros(0, np.uint8)
         places = places[flags[np.searchsorted(keys, anchor)] > 0] if len(keys) else places
-        one, two = (words.runs(h, window, s)[places] if len(places) else np.empty(0, U) for s in (12, 13))
+        one, two = _windows(h, places, window)
         who = _order(ids)[words.owners(n)[places]]
-        order, first, of = _groups((one, two))
+        order, first, _ = _groups((one, two))
         least = np.minimum.reduceat(who[order], first) if len(first) else who
         one, two = one[order][first], two[order][first]
-        kept = {"ids": ids, "n": n, "places": packs.squeeze_sorted(places.astype(U)), "of": packs.squeeze(of.astype(np.uint32))}
+        kept = {"ids": ids, "places": packs.squeeze_sorted(places.astype(U))}
         rows = [(chunk, packs.home(chunk, buckets), packs.STATE, pickle.dumps(kept), state.b, state.c)]
         rows += packs.asks(chunk, one, buckets, lambda p: (packs.squeeze(two[p]), packs.squeeze(least[p])))
         yield packs.frame(rows)
 
     def earliest(keys: list[np.ndarray], two: list[bytes], least: list[bytes]) -> list[bytes]:
-        order, first, of = _groups((np.concatenate(keys), np.concatenate([packs.expand(x, U) for x in two])))
+        order, first, of = _groups((np.concatenate(keys), np.concatenate([packs.expand(x, np.uint32) for x in two])))
         ids = np.concatenate([packs.expand(x, np.int64) for x in least])
         return [packs.squeeze(x) for x in _split(np.minimum.reduceat(ids[order], first)[of], keys)]
 
     def remove(_, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         state, answers = packs.gather(pdf)
         s, texts = pickle.loads(state.a), packs.unpack_bytes(state.b, state.c)
-        places, n = packs.expand_sorted(s["places"]).astype(np.int64), s["n"]
+        h, n = words.word_hashes(texts)
+        places = packs.expand_sorted(s["places"]).astype(np.int64)
         least = np.concatenate([packs.expand(x, np.int64) for x in answers]) if answers else np.empty(0, np.int64)
         who = _order(s["ids"])[words.owners(n)[places]]
-        places = places[least[packs.expand(s["of"], np.uint32)] < who] if len(places) else places
+        places = places[least[_groups(_windows(h, places, window))[2]] < who] if len(places) else places
         step = np.zeros(int(n.sum()) + window + 1, np.int32)
         step[places] += 1
         step[places + window] -= 1
