@@ -35,7 +35,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     Thresholds: words by source and hash bucket are summed; where the running sum
     passes the budget, only that bucket is summed again by the next bits of the
     hash, and so on, so nothing is sorted. The last bucket is taken if that comes
-    nearer. Rows with the same id and text share a hash and a fate.
+    nearer. Rows with the same id and text share a hash and a fate. The sources' own
+    table, a row each, is ordered in one task.
 
     A null text has no words; a null source is one of its own, after all others.
     Null ids are told apart by their texts. Sources without words get a target of
