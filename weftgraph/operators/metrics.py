@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,11 +73,41 @@ def mean_square_distance(vectors: DataFrame, vector: str) -> DataFrame:
     return sums.join(n, F.lit(True)).select(pairs.cast("long").alias("n_pairs"), ((F.col("n") * F.col("q") - F.col("ss")) / pairs).alias("mean_square_distance"))
 
 
-def mean_distance(vectors: DataFrame, group: str, order: str, vector: str) -> DataFrame:
-    """group, n_pairs, mean_distance over the pairs of each group; for groups that are small by nature."""
-    one = vectors.select(group, F.col(order).alias("a"), F.col(vector).alias("u"))
-    pairs = one.join(vectors.select(group, F.col(order).alias("b"), F.col(vector).alias("v")), group).where("a < b")
-    return pairs.groupBy(group).agg(F.count("*").alias("n_pairs"), F.avg(distance("u", "v")).alias("mean_distance"))
+def mean_distance(vectors: DataFrame, group: str, order: str, vector: str, block: int = 512) -> DataFrame:
+    """group, n_pairs, mean_distance over the pairs of each group: all of them, whatever the group's size.
+
+    A group is dealt into blocks of about so many vectors by a hash of their order,
+    and each pair of blocks is a tile that sums its own distances, so no task holds
+    a group and no pair becomes a row. Vectors with the same order aren't paired;
+    pairs of missing or unequally long vectors count, but have no distance.
+    """
+    one = vectors.select(F.col(group).alias("g"), F.col(order).alias("k"), F.col(vector).cast("array<double>").alias("x")).where("g IS NOT NULL AND k IS NOT NULL")
+    one = one.withColumn("x", F.when(~F.exists("x", lambda e: e.isNull()), F.col("x")))
+    large = one.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).where("n > 1")  # at most a row for each block
+    own = one.join(F.broadcast(large), "g", "left").fillna(1, ["n"]).withColumn("at", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("g", "k", "x", "at", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"))
+
+    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["at"] == key[1]], pdf[pdf["at"] == key[2]]
+        same = key[1] == key[2]
+        times = a["k"].value_counts()
+        n = (len(a) ** 2 - int((times**2).sum())) // 2 if same else len(a) * len(b)
+        total, held = 0.0, 0
+        size = lambda p: p["x"].map(lambda x: -1 if x is None else len(x))
+        for d in set(size(a)) & set(size(b)) - {-1}:
+            u, v = a[size(a) == d], b[size(b) == d]
+            x, y = (np.array(list(p["x"]), float).reshape(len(p), d) for p in (u, v))
+            i, j = u["k"].to_numpy(), v["k"].to_numpy()
+            for k in range(len(x)):
+                far = np.sqrt(((y - x[k]) ** 2).sum(axis=1))
+                if same:
+                    far = far[j > i[k]]
+                total, held = total + float(far.sum()), held + len(far)
+        return pd.DataFrame({"g": [key[0]], "n": [n], "held": [held], "total": [total]})
+
+    kind = one.schema["g"].dataType.simpleString()
+    sums = dealt.repartition("g", "lo", "hi").groupBy("g", "lo", "hi").applyInPandas(tile, f"g {kind}, n long, held long, total double").groupBy("g").agg(F.sum("n").alias("n_pairs"), F.sum("held").alias("held"), F.sum("total").alias("total"))
+    return sums.where("n_pairs > 0").select(F.col("g").alias(group), "n_pairs", F.when(F.col("held") > 0, F.col("total") / F.col("held")).alias("mean_distance"))
 
 
 def rule_usage(used: DataFrame, rules: DataFrame) -> DataFrame:

@@ -356,7 +356,7 @@ def log_likelihood(spark, sf_dir):
 @query("""WITH v AS (SELECT label, vec_id, embedding FROM embeddings) SELECT CAST(a.label AS BIGINT) AS label, count(*) AS n_pairs, round(avg(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS mean_distance
 FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 500 AND b.vec_id < 500 GROUP BY 1""")
 def pairwise_distance(spark, sf_dir):
-    v = views.table(spark, sf_dir, "embeddings").where("vec_id < 500").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    v = views.table(spark, sf_dir, "embeddings")
     return metrics.mean_distance(v, "label", "vec_id", "embedding").withColumn("mean_distance", F.round("mean_distance", 6))
 
 
