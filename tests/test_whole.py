@@ -5,9 +5,12 @@ import random
 
 import pytest
 
-from weftgraph.operators import metrics
+from tests.oracle import compare, connect
+from weftgraph.operators import hypergraphs, metrics
 from weftgraph.plans.queries import QUERIES
 
+DIR = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("block", [7, 512])
 def test_all_pairs_of_a_group_have_their_distance(spark, tmp_path, block):
@@ -26,3 +29,22 @@ def test_all_pairs_of_a_group_have_their_distance(spark, tmp_path, block):
     assert {r.label: r.n_pairs for r in got} == {k: n for k, (n, _) in want.items()}
     assert all(math.isclose(r.mean_distance, want[r.label][1] / want[r.label][0], rel_tol=1e-12) for r in got)
     assert {(r.label, r.n_pairs) for r in QUERIES["pairwise_distance"](spark, str(tmp_path)).collect()} == {(k, n) for k, (n, _) in want.items()}
+
+
+def test_rules_of_all_parts_fit_all_orders(spark):
+    sql = """WITH c AS (SELECT o_orderkey AS hg_id, o_custkey % 7 AS arity, o_orderpriority AS form FROM orders),
+    r AS (SELECT p_partkey AS rule_id, p_partkey % 7 AS arity, CASE p_size % 2 WHEN 0 THEN '1-URGENT' ELSE '2-HIGH' END AS form, p_size AS count FROM part),
+    m AS (SELECT hg_id, rule_id, count / count(*) OVER (PARTITION BY hg_id, rule_id) AS w FROM c JOIN r USING (arity, form))
+    SELECT hg_id, CAST(0 AS BIGINT) AS edge, rule_id, round(w / sum(w) OVER (PARTITION BY hg_id), 9) AS weight FROM m"""
+    assert compare(QUERIES["rule_choices"](spark, DIR), connect(DIR), sql) is None
+
+
+def test_choices_over_several_edges(spark):
+    edges = [(1, 0, 2, "x"), (1, 1, 2, "x"), (1, 2, 3, "x"), (2, 0, 3, "x"), (3, 0, 4, "x"), (3, 1, 4, "x")]
+    rules = [(0, 2, "x", 3), (1, 2, "x", 1), (2, 3, "x", 4), (3, 4, "x", 0), (4, 5, "x", 1)]
+    e = spark.createDataFrame(edges, "hg_id long, edge int, arity int, form string")
+    one = hypergraphs.choices(e, spark.createDataFrame(rules, "rule_id int, arity int, form string, count int"))
+    # another row of a rule that fits nothing takes the way by windows
+    two = hypergraphs.choices(e, spark.createDataFrame([*rules, (4, 6, "x", 1)], "rule_id int, arity int, form string, count int"))
+    want = sorted((g, k, r, w) for g, k, r, w in [(1, 0, 0, 1.5 / 8), (1, 1, 0, 1.5 / 8), (1, 0, 1, 0.5 / 8), (1, 1, 1, 0.5 / 8), (1, 2, 2, 0.5), (2, 0, 2, 1.0), (3, 0, 3, 0.5), (3, 1, 3, 0.5)])
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) == want

@@ -218,15 +218,26 @@ def arity_conflicts(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("symbol").agg(F.countDistinct(F.coalesce("arity", F.lit(-1))).alias("n")).where("n > 1").select("symbol")
 
 
-def choices(edges: DataFrame, rules: DataFrame) -> DataFrame:
+def choices(edges: DataFrame, rules: DataFrame, salts: int = 64) -> DataFrame:
     """hg_id, edge, rule_id, weight: rules(rule_id, arity, form, count) that fit nonterminal edges(hg_id, edge, arity, form).
 
     weight is the rule's count shared by its matches, as a share of all of the hypergraph.
+    Where each rule is one row, sums come from the classes (arity, form) before any
+    choice is made, and each class is dealt by so many salts, so that choices are
+    neither shuffled nor sorted and no task holds a class.
     """
     from pyspark.sql import Window as W
 
-    found = edges.join(rules, ["arity", "form"])
-    each = F.col("count") / F.count("*").over(W.partitionBy("hg_id", "rule_id"))
-    total = F.sum("w").over(W.partitionBy("hg_id"))
-    many = F.count("*").over(W.partitionBy("hg_id"))
-    return found.withColumn("w", each).withColumn("weight", F.when(total > 0, F.col("w") / total).otherwise(1 / many)).select("hg_id", "edge", "rule_id", "weight")
+    total, many = F.sum("w").over(W.partitionBy("hg_id")), F.count("*").over(W.partitionBy("hg_id"))
+    weight = F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(1 / F.col("many"))
+    if not rules.groupBy("rule_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        found = edges.join(rules, ["arity", "form"]).withColumn("w", F.col("count") / F.count("*").over(W.partitionBy("hg_id", "rule_id")))
+        return found.withColumns({"total": total, "many": many}).select("hg_id", "edge", "rule_id", weight.alias("weight"))
+    classes = rules.groupBy("arity", "form").agg(F.sum("count").alias("s"), F.count("*").alias("k"))
+    own = edges.join(classes, ["arity", "form"]).withColumn("m", F.count("*").over(W.partitionBy("hg_id", "arity", "form"))).withColumn("w", F.col("s") / F.col("m"))
+    own = own.withColumns({"total": total, "many": F.sum("k").over(W.partitionBy("hg_id")), "salt": F.pmod(F.xxhash64("hg_id", "edge"), F.lit(salts)).cast("int")})
+    dealt = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # so many partitions are kept: few bytes of edges and rules make many choices, and would be put in one task
+    own = own.select("hg_id", "edge", "arity", "form", "m", "total", "many", "salt").repartition(salts, "arity", "form", "salt")
+    found = own.join(dealt.repartition(salts, "arity", "form", "salt").hint("merge"), ["arity", "form", "salt"]).withColumn("w", F.col("count") / F.col("m"))
+    return found.select("hg_id", "edge", "rule_id", weight.alias("weight"))

@@ -485,8 +485,8 @@ def line_graph(spark, sf_dir):
 m AS (SELECT hg_id, rule_id, count / count(*) OVER (PARTITION BY hg_id, rule_id) AS w FROM c JOIN r USING (arity, form)) SELECT hg_id, CAST(0 AS BIGINT) AS edge, rule_id, round(w / sum(w) OVER (PARTITION BY hg_id), 9) AS weight FROM m""")
 def rule_choices(spark, sf_dir):
     o, p = views.table(spark, sf_dir, "orders"), views.table(spark, sf_dir, "part")
-    c = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("hg_id"), F.lit(0).alias("edge"), (F.col("o_custkey") % 7).alias("arity"), F.col("o_orderpriority").alias("form"))
-    r = p.where("p_partkey <= 70").select(F.col("p_partkey").alias("rule_id"), (F.col("p_partkey") % 7).alias("arity"), F.when(F.col("p_size") % 2 == 0, "1-URGENT").otherwise("2-HIGH").alias("form"), F.col("p_size").alias("count"))
+    c = o.select(F.col("o_orderkey").alias("hg_id"), F.lit(0).alias("edge"), (F.col("o_custkey") % 7).alias("arity"), F.col("o_orderpriority").alias("form"))
+    r = p.select(F.col("p_partkey").alias("rule_id"), (F.col("p_partkey") % 7).alias("arity"), F.when(F.col("p_size") % 2 == 0, "1-URGENT").otherwise("2-HIGH").alias("form"), F.col("p_size").alias("count"))
     return hypergraphs.choices(c, r).withColumn("weight", F.round("weight", 9))
 
 
