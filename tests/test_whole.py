@@ -6,7 +6,9 @@ import random
 import pytest
 
 from tests.oracle import compare, connect
+from tests.test_operators import graphs
 from weftgraph.operators import hypergraphs, metrics
+from weftgraph.plans import learning
 from weftgraph.plans.queries import QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -48,3 +50,18 @@ def test_choices_over_several_edges(spark):
     two = hypergraphs.choices(e, spark.createDataFrame([*rules, (4, 6, "x", 1)], "rule_id int, arity int, form string, count int"))
     want = sorted((g, k, r, w) for g, k, r, w in [(1, 0, 0, 1.5 / 8), (1, 1, 0, 1.5 / 8), (1, 0, 1, 0.5 / 8), (1, 1, 1, 0.5 / 8), (1, 2, 2, 0.5), (2, 0, 2, 1.0), (3, 0, 3, 0.5), (3, 1, 3, 0.5)])
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) == want
+
+
+def test_a_grammar_is_learnt_until_no_motif_is_left(spark):
+    chain = lambda s: (dict(enumerate(s)), [(k, k + 1, "x") for k in range(len(s) - 1)])
+    made = {1: chain("abcdefgh"), 2: chain("abccc"), 3: chain("ab"), 4: chain("z")}
+    rules, anno, left = learning.learn(graphs(spark, made))
+    got = [(r.src_label, r.dst_label, r.n_graphs) for r in rules.orderBy("rule_id").collect()]
+    assert got == [("a", "b", 3), ("gray", "c", 2), ("gray", "d", 1), ("gray", "e", 1), ("gray", "f", 1), ("gray", "g", 1), ("gray", "h", 1)]
+    steps = {g: [r.rule_id for r in anno.where(f"graph_id = {g}").orderBy("seq").collect()] for g in (1, 2, 3)}
+    assert steps == {1: [0, 1, 2, 3, 4, 5, 6], 2: [0, 1, 1, 1], 3: [0]}
+    assert sorted((r.graph_id, r.label) for r in left.nodes.collect()) == [(1, "gray"), (2, "gray"), (3, "gray"), (4, "z")]
+    every = learning.grammar(graphs(spark, made)).orderBy("rule_id").collect()
+    assert [r.n_graphs for r in every if r.form] == [3, 1] and [r.rule_id for r in every] == list(range(9))
+    with pytest.raises(RuntimeError):
+        learning.learn(graphs(spark, made), rounds=4)

@@ -27,7 +27,7 @@ def main(args: list[str]) -> int:
     if task == "query":
         QUERIES[rest[0]](spark, rest[1]).show(50, truncate=False)
     elif task == "learn":
-        rules, anno, left = learning.learn(views.order_graphs(spark, rest[0]), rounds=int(rest[2]) if len(rest) > 2 else 50)
+        rules, anno, left = learning.learn(views.order_graphs(spark, rest[0]), rounds=int(rest[2]) if len(rest) > 2 else None)
         files.write_snapshot({"rules": rules, "anno": anno, "nodes": left.nodes, "edges": left.edges}, rest[1], rules.count())
     elif task == "generate":
         from weftgraph.operators.rewriting import generate

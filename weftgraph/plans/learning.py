@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.operators.checkpoints import cut
 from weftgraph.operators.primitives import with_labels
-from weftgraph.operators.rewriting import contract
+from weftgraph.operators.traversal import canonical_forms
 from weftgraph.sources.views import Graphs
 
+#: A graph's row while a grammar is learnt.
+STATE = ("ids", "names", "src", "dst", "kinds", "step", "a", "b")
+
 
 def candidates(g: Graphs, nonterminal: str) -> DataFrame:
     """graph_id, src, dst, src_label, dst_label: edges that may be contracted. A graph that holds a nonterminal grows it, so that there is one at most."""
@@ -30,40 +37,106 @@ def best_motif(found: DataFrame):
     return motifs(found).orderBy(F.desc("n_graphs"), "src_label", "dst_label").first()
 
 
-def one_match(found: DataFrame, src_label: str, dst_label: str) -> DataFrame:
-    """graph_id, ism_id, nodes: the first match of a motif in each graph."""
-    own = found.where((F.col("src_label") == src_label) & (F.col("dst_label") == dst_label))
-    return own.groupBy("graph_id").agg(F.min(F.struct("src", "dst")).alias("m")).select("graph_id", F.lit(0).alias("ism_id"), F.array("m.src", "m.dst").alias("nodes"))
-
+def reduced(labels: dict, edges: set, rules: dict[tuple[str, str], int], nonterminal: str) -> list[tuple[int, int, int]]:
+    """Existing rules applied to one graph, in place, until none fits: (rule, src, dst) of each step.
 
-def learn(g: Graphs, nonterminal: str = "gray", rounds: int = 50, least: int = 1) -> tuple[DataFrame, DataFrame, Graphs]:
+    The earliest rule that fits goes first, on its least match; a match is contracted as by contract().
+    """
+    steps = []
+    while True:
+        held = nonterminal in labels.values()
+        fit = [(rules[labels[a], labels[b]], a, b) for a, b in pairs(labels, edges, held, nonterminal) if (labels[a], labels[b]) in rules]
+        if not fit:
+            return steps
+        step = min(fit)
+        steps.append(step)
+        new = min(step[1:])
+        for n in step[1:]:
+            del labels[n]
+        labels[new] = nonterminal
+        moved = {(new if a in step[1:] else a, new if b in step[1:] else b, x) for a, b, x in edges}
+        edges.clear()
+        edges.update(e for e in moved if e[0] != e[1])
+
+
+def pairs(labels: dict, edges: set, held: bool, nonterminal: str) -> list[tuple]:
+    """Edges of one graph that candidates() gives."""
+    ok = lambda a, b: labels[a] is not None and labels[b] is not None and (labels[a] == nonterminal) + (labels[b] == nonterminal) == held
+    return [(a, b) for a, b, _ in edges if ok(a, b)]
+
+
+def compress(state: DataFrame, rules: dict[tuple[str, str], int], nonterminal: str) -> DataFrame:
+    """state with every graph reduced by the rules; steps are added to those recorded, and what may be a rule next is listed."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for ids, names, src, dst, kinds, step, a, b in zip(*(pdf[c] for c in STATE), strict=True):
+                labels, edges = dict(zip(map(int, ids), names, strict=True)), set(zip(map(int, src), map(int, dst), kinds, strict=True))
+                done = reduced(labels, edges, rules, nonterminal)
+                left = sorted(edges, key=str)
+                motif = sorted({(labels[x], labels[y]) for x, y in pairs(labels, edges, nonterminal in labels.values(), nonterminal)})
+                out.append((list(labels), list(labels.values()), *([e[k] for e in left] for k in range(3)), *([*old, *(d[k] for d in done)] for k, old in enumerate((step, a, b))), [m[0] for m in motif], [m[1] for m in motif]))
+            frame = pd.DataFrame(out, columns=[*STATE, "src_labels", "dst_labels"])
+            frame.insert(0, "graph_id", pdf["graph_id"].array)
+            yield frame
+
+    kind = lambda c: state.schema[c].dataType.simpleString()
+    schema = ", ".join([f"graph_id {kind('graph_id')}", *(f"{c} {kind(c)}" for c in STATE), "src_labels array<string>", "dst_labels array<string>"])
+    return state.select("graph_id", *STATE).mapInPandas(run, schema)
+
+
+def _packed(g: Graphs) -> DataFrame:
+    """A row for each graph: its nodes, edges and the steps taken so far, as arrays."""
+    n = int(g.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = g.nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "label")).alias("ns"))
+    edges = g.edges.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "label")).alias("es"))
+    none = F.array().cast(edges.schema["es"].dataType)
+    rows = nodes.join(edges, "graph_id", "left").withColumn("es", F.coalesce("es", none)).repartition(n, "graph_id")
+    return rows.select("graph_id", F.col("ns.node_id").alias("ids"), F.col("ns.label").alias("names"), F.col("es.src").alias("src"), F.col("es.dst").alias("dst"), F.col("es.label").alias("kinds"), *[F.array().cast("array<int>").alias(c) for c in ("step", "a", "b")])
+
+
+def learn(g: Graphs, nonterminal: str = "gray", rounds: int | None = None, least: int = 1) -> tuple[DataFrame, DataFrame, Graphs]:
     """rules(rule_id, src_label, dst_label, n_graphs), anno(graph_id, seq, rule_id, nodes), and what is left of g.
 
-    Each round contracts one match of the most frequent motif in every graph that
-    holds it, until no motif is in at least so many graphs. The state is cut to
-    shared storage each round, so plans stay short and a lost executor costs a round at most.
+    Each round makes a rule of the motif that most graphs hold, and applies all
+    rules to every graph until none fits, so that no motif comes twice; the loop
+    ends when no motif is in at least so many graphs. That takes at most a round for
+    each pair of labels; rounds bounds them further, and raises if motifs are left then.
+    Graphs are small and travel as rows. The state is cut to shared storage each
+    round, so plans stay short and a lost executor costs a round at most.
     """
     spark = g.nodes.sparkSession
-    g = Graphs(cut(g.nodes), cut(g.edges))
-    rules, anno = [], None
-    for k in range(rounds):
-        found = cut(candidates(g, nonterminal))
-        best = best_motif(found)
+    rules: dict[tuple[str, str], int] = {}
+    table = []
+    state = cut(compress(_packed(g), rules, nonterminal))
+    while True:
+        best = best_motif(state.select("graph_id", F.explode(F.arrays_zip("src_labels", "dst_labels")).alias("m")).select("graph_id", F.col("m.src_labels").alias("src_label"), F.col("m.dst_labels").alias("dst_label")))
         if not best or best["n_graphs"] < least:
             break
-        isms = cut(one_match(found, best["src_label"], best["dst_label"]))
-        rules.append((k, best["src_label"], best["dst_label"], best["n_graphs"]))
-        new = contract(g, isms, nonterminal)
-        g = Graphs(cut(new.nodes), cut(new.edges))
-        step = isms.select("graph_id", F.lit(k).alias("seq"), F.lit(k).alias("rule_id"), "nodes")
-        anno = step if anno is None else anno.unionByName(step)
-    table = spark.createDataFrame(rules, "rule_id int, src_label string, dst_label string, n_graphs long")
-    if anno is None:
-        anno = spark.createDataFrame([], "graph_id long, seq int, rule_id int, nodes array<int>")
-    return table, anno, g
+        if rounds is not None and len(rules) >= rounds:
+            raise RuntimeError(f"motifs are left after {rounds} rounds")
+        table.append((len(rules), best["src_label"], best["dst_label"], best["n_graphs"]))
+        rules[best["src_label"], best["dst_label"]] = len(rules)
+        state = cut(compress(state, rules, nonterminal))
+    made = spark.createDataFrame(table, "rule_id int, src_label string, dst_label string, n_graphs long")
+    anno = state.select("graph_id", F.posexplode(F.arrays_zip("step", "a", "b")).alias("seq", "s")).select("graph_id", "seq", F.col("s.step").alias("rule_id"), F.array("s.a", "s.b").alias("nodes"))
+    nodes = state.select("graph_id", F.explode(F.arrays_zip("ids", "names")).alias("n")).select("graph_id", F.col("n.ids").alias("node_id"), F.col("n.names").alias("label"))
+    edges = state.select("graph_id", F.explode(F.arrays_zip("src", "dst", "kinds")).alias("e")).select("graph_id", F.col("e.src").alias("src"), F.col("e.dst").alias("dst"), F.col("e.kinds").alias("label"))
+    return made, anno, Graphs(nodes, edges)
 
 
 def terminate(g: Graphs, forms: DataFrame) -> DataFrame:
-    """rule_id, form, n_graphs: a start rule for each kind of leftover graph; forms(graph_id, form)."""
+    """form, n_graphs, first: a start rule for each kind of leftover graph, once however many graphs have it; forms(graph_id, form)."""
     one = forms.groupBy("form").agg(F.count("*").alias("n_graphs"), F.min("graph_id").alias("first"))
     return one.select("form", "n_graphs", "first")
+
+
+def grammar(g: Graphs, nonterminal: str = "gray") -> DataFrame:
+    """rule_id, src_label, dst_label, form, n_graphs: the rules of learn(), then the start rules (form) of what is left, most frequent first."""
+    rules, _, left = learn(g, nonterminal)
+    n = rules.count()
+    starts = terminate(left, canonical_forms(left))
+    nth = F.row_number().over(W.orderBy(F.desc("n_graphs"), "form"))  # kinds of leftover graphs; few, as nothing more can be contracted
+    return rules.select("rule_id", "src_label", "dst_label", F.lit(None).cast("string").alias("form"), "n_graphs").unionByName(
+        starts.select((nth + n - 1).cast("int").alias("rule_id"), F.lit(None).cast("string").alias("src_label"), F.lit(None).cast("string").alias("dst_label"), "form", "n_graphs"))

@@ -520,7 +520,7 @@ def legal_masks(spark, sf_dir):
 
 @query()
 def learn_grammar(spark, sf_dir):
-    return learning.learn(views.order_graphs(spark, sf_dir), rounds=4)[0]
+    return learning.grammar(views.order_graphs(spark, sf_dir))
 
 
 @query(f"""WITH {ORDERS} SELECT sl AS src_label, dl AS dst_label, CAST(count(DISTINCT g) AS BIGINT) AS n_graphs FROM e GROUP BY 1, 2""")
