@@ -7,7 +7,7 @@ import pytest
 
 from tests.oracle import compare, connect
 from tests.test_operators import graphs
-from weftgraph.operators import hypergraphs, metrics
+from weftgraph.operators import hypergraphs, instructions, metrics
 from weftgraph.plans import learning
 from weftgraph.plans.queries import QUERIES
 
@@ -65,3 +65,15 @@ def test_a_grammar_is_learnt_until_no_motif_is_left(spark):
     assert [r.n_graphs for r in every if r.form] == [3, 1] and [r.rule_id for r in every] == list(range(9))
     with pytest.raises(RuntimeError):
         learning.learn(graphs(spark, made), rounds=4)
+
+
+def test_matches_without_neighbours_and_with_many_classes_are_realised(spark):
+    star = {1: "A", 2: "N"} | {k: f"L{k}" for k in range(3, 13)}
+    g = graphs(spark, {1: ({1: "A", 2: "N"}, [(1, 2, "black")]), 2: (star, [(1, 2, "black")] + [(2, k, "black") for k in range(3, 13)])})
+    m = spark.createDataFrame([(1, 0, [1, 2]), (2, 0, [1, 2])], "graph_id long, ism_id int, nodes array<int>")
+    r = instructions.realisations(g, m, 2).cache()
+    assert [(x.dir_id, x.ins, x.outs) for x in r.where("graph_id = 1").collect()] == [(0, [], [])]
+    many = r.where("graph_id = 2").collect()
+    assert sorted(x.dir_id for x in many) == list(range(1 << 10))
+    assert len({tuple(x.ins) for x in many}) == 1 << 10 and all(len(x.ins) == 10 for x in many)
+    assert instructions.admitted(r, []).select("graph_id").collect()[0][0] == 1

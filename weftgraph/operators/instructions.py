@@ -54,13 +54,23 @@ def realisations(g: Graphs, isms: DataFrame, size: int, black: str = "black", mo
     """graph_id, ism_id, dir_id, ins, outs: each way to choose a direction for the new edge to each class of neighbours.
 
     An instruction is the string mu|p|q|pos|d|d2. Choices whose ins and outs
-    meet are left out. Matches with more than most classes are left to
-    surroundings(): their choices are 2 to the power of the classes.
+    meet are left out. A match without neighbours has one choice, which needs and
+    forbids nothing. Choices are 2 to the power of the classes, each one given; matches
+    of more than most classes are dealt out by their choices first, so that no task
+    makes all of one. From 62 classes on a match has more choices than rows can be
+    numbered by, and raises.
     """
     around = surroundings(g, isms)
     cls = classes(around).select("graph_id", "ism_id", "y", "class")
-    count = cls.groupBy("graph_id", "ism_id").agg(F.max("class").alias("n")).where(F.col("n") <= most)
-    pick = count.select("graph_id", "ism_id", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, n)") - 1)).alias("dir_id"))
+    known = cls.groupBy("graph_id", "ism_id").agg(F.max("class").alias("n"))
+    count = isms.select("graph_id", "ism_id").distinct().join(known, ["graph_id", "ism_id"], "left").fillna(0, ["n"])
+    count = count.withColumn("n", F.when(F.col("n") < 62, F.col("n")).otherwise(F.raise_error(F.lit("a match with 62 or more classes of neighbours")).cast("int")))
+    # high bits first: no array holds more than 2 to the power of most choices
+    high = count.select("graph_id", "ism_id", "n")
+    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"shiftleft(1L, greatest(n - {most}, 0))") - 1))
+    high = high.where(f"n <= {most}").withColumn("high", F.lit(0).cast("long")).unionByName(high.where(f"n > {most}").withColumn("high", spread).repartition("graph_id", "ism_id", "high"))
+    low = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"shiftleft(1L, least(n, {most}))") - 1))
+    pick = high.select("graph_id", "ism_id", "high", low.alias("low")).select("graph_id", "ism_id", F.expr(f"high * {1 << most} + low").alias("dir_id"))
     new = F.when(F.getbit("dir_id", F.col("class") - 1) == 1, "in").otherwise("out")
     chosen = cls.join(pick, ["graph_id", "ism_id"]).withColumn("d", new).drop("class")
     text = lambda *c: F.concat_ws("|", *c)
@@ -70,7 +80,9 @@ def realisations(g: Graphs, isms: DataFrame, size: int, black: str = "black", mo
     slots = slots.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("pos")).select("*", F.explode(F.array(F.lit("in"), F.lit("out"))).alias("d2"))
     none = slots.join(around.select("graph_id", "ism_id", "y", "pos", F.col("d").alias("d2")), ["graph_id", "ism_id", "y", "pos", "d2"], "left_anti")
     outs = none.groupBy("graph_id", "ism_id", "dir_id").agg(F.array_sort(F.collect_set(text("mu", F.lit(black), F.lit(black), "pos", "d", "d2"))).alias("outs"))
-    both = ins.join(outs, ["graph_id", "ism_id", "dir_id"], "left").withColumn("outs", F.coalesce("outs", F.array().cast("array<string>")))
+    none_of = F.array().cast("array<string>")
+    both = pick.join(ins, ["graph_id", "ism_id", "dir_id"], "left").join(outs, ["graph_id", "ism_id", "dir_id"], "left")
+    both = both.withColumns({"ins": F.coalesce("ins", none_of), "outs": F.coalesce("outs", none_of)})
     return both.where(~F.arrays_overlap("ins", "outs"))
 
 
