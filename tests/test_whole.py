@@ -4,9 +4,11 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import compare, connect
 from tests.test_operators import graphs
+from weftgraph.functions import tokens
 from weftgraph.operators import hypergraphs, instructions, metrics
 from weftgraph.plans import learning
 from weftgraph.plans.queries import QUERIES
@@ -77,3 +79,12 @@ def test_matches_without_neighbours_and_with_many_classes_are_realised(spark):
     assert sorted(x.dir_id for x in many) == list(range(1 << 10))
     assert len({tuple(x.ins) for x in many}) == 1 << 10 and all(len(x.ins) == 10 for x in many)
     assert instructions.admitted(r, []).select("graph_id").collect()[0][0] == 1
+
+
+def test_token_sequences_are_as_long_as_the_longest(spark, tmp_path):
+    rows = [(c, t, ["user", "assistant", "tool"][t % 3]) for c, n in ((1, 9), (2, 2)) for t in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.graph_id: (r.tokens, r["mask"]) for r in QUERIES["token_sequences"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("2 1 0 2 1 0 2 1 0", "1 1 1 1 1 1 1 1 1"), 2: ("1 0 9 9 9 9 9 9 9", "1 1 0 0 0 0 0 0 0")}
+    with pytest.raises(Exception, match="3 tokens, but the length is 2"):
+        spark.range(1).select(tokens.padded(F.array(F.lit(1), F.lit(2), F.lit(3)), 2, 9)).collect()

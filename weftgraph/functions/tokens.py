@@ -12,14 +12,22 @@ def one_hot(label: Column, alphabet: list[str]) -> Column:
 
 
 def padded(tokens: Column, length: int, pad: int) -> Column:
-    """tokens, cut or filled with pad to the length."""
-    return F.slice(F.concat(tokens, F.array_repeat(F.lit(pad), length)), 1, length)
+    """tokens, filled with pad to the length; longer ones raise."""
+    long = F.raise_error(F.concat(F.size(tokens).cast("string"), F.lit(f" tokens, but the length is {length}"))).cast("int")
+    rest = F.when(F.size(tokens) <= length, F.lit(length) - F.size(tokens)).otherwise(long)
+    return F.concat(tokens, F.array_repeat(F.lit(pad), rest))
 
 
 def mask(tokens: Column, length: int) -> Column:
     """1 for each place of padded() that holds a token."""
-    n = F.least(F.size(tokens), F.lit(length))
-    return F.transform(F.sequence(F.lit(1), F.lit(length)), lambda k: (k <= n).cast("int"))
+    if length < 1:
+        return F.array().cast("array<int>")
+    return F.transform(F.sequence(F.lit(1), F.lit(length)), lambda k: (k <= F.size(tokens)).cast("int"))
+
+
+def longest(sequences: DataFrame, tokens: str) -> int:
+    """The greatest number of tokens of a row."""
+    return sequences.agg(F.max(F.size(tokens))).first()[0] or 0
 
 
 def dense_tokens(rules: DataFrame) -> DataFrame:

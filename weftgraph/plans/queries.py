@@ -452,7 +452,8 @@ def token_sequences(spark, sf_dir):
     code = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
     s = tokens.rule_sequences(c.select(F.col("conv_id").alias("graph_id"), F.col("turn").alias("seq"), code.alias("rule_id")))
     text = lambda c: F.array_join(c.cast("array<string>"), " ")
-    return s.select("graph_id", text(tokens.padded(F.col("rules"), 6, 9)).alias("tokens"), text(tokens.mask(F.col("rules"), 6)).alias("mask"))
+    n = tokens.longest(s, "rules")
+    return s.select("graph_id", text(tokens.padded(F.col("rules"), n, 9)).alias("tokens"), text(tokens.mask(F.col("rules"), n)).alias("mask"))
 
 
 @query("""SELECT 'region:' || r_regionkey AS root, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) ON k = n_nationkey GROUP BY 1""")
