@@ -12,6 +12,7 @@ from weftgraph.functions import tokens
 from weftgraph.operators import hypergraphs, instructions, metrics
 from weftgraph.plans import learning
 from weftgraph.plans.queries import QUERIES
+from weftgraph.sources import views
 
 DIR = "/root/testdata/sf0.001"
 
@@ -88,3 +89,14 @@ def test_token_sequences_are_as_long_as_the_longest(spark, tmp_path):
     assert got == {1: ("2 1 0 2 1 0 2 1 0", "1 1 1 1 1 1 1 1 1"), 2: ("1 0 9 9 9 9 9 9 9", "1 1 0 0 0 0 0 0 0")}
     with pytest.raises(Exception, match="3 tokens, but the length is 2"):
         spark.range(1).select(tokens.padded(F.array(F.lit(1), F.lit(2), F.lit(3)), 2, 9)).collect()
+
+
+def test_node_strings_give_whole_graphs_back(spark):
+    rows = QUERIES["node_string"](spark, DIR).withColumn("row", F.split("row", "").cast("array<int>"))
+    nodes, edges = tokens.from_node_strings(rows, ["A", "N", "R"])
+    g = views.order_graphs(spark, DIR)
+    assert g.nodes.where("node_id > 6").count() > 0
+    for a, b in ((nodes, g.nodes), (edges, g.edges)):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
+    with pytest.raises(Exception, match="beyond the length of 6"):
+        tokens.node_strings(g.nodes, g.edges, ["A", "N", "R"], 6).collect()

@@ -42,12 +42,18 @@ def rule_sequences(anno: DataFrame) -> DataFrame:
     return anno.groupBy("graph_id").agg(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("seq", "rule_id"))), lambda x: x["rule_id"])).alias("rules"))
 
 
-def node_strings(nodes: DataFrame, edges: DataFrame, alphabet: list[str], length: int) -> DataFrame:
-    """graph_id, node_id, row: label one-hot, then 1 for each earlier node from 1 that an edge leads from; for nodes up to length."""
-    few = nodes.where(F.col("node_id").between(1, length))
+def node_strings(nodes: DataFrame, edges: DataFrame, alphabet: list[str], length: int | None = None) -> DataFrame:
+    """graph_id, node_id, row: label one-hot, then 1 for each earlier node from 1 that an edge leads from; for all nodes from 1.
+
+    Rows of all graphs are as wide as length asks for, by default that of the greatest node; nodes beyond it raise.
+    """
+    if length is None:
+        length = max(1, nodes.agg(F.max("node_id")).first()[0] or 1)
+    beyond = F.raise_error(F.concat(F.lit("node "), F.col("node_id").cast("string"), F.lit(f" is beyond the length of {length}"))).cast("boolean")
+    few = nodes.where(F.when(F.col("node_id") <= length, F.col("node_id") >= 1).otherwise(beyond))
     into = edges.where("src < dst").groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.collect_set("src").alias("from"))
     rows = few.join(into, ["graph_id", "node_id"], "left")
-    linked = F.transform(F.sequence(F.lit(1), F.lit(length - 1)), lambda k: F.coalesce(F.array_contains("from", k), F.lit(False)).cast("int"))
+    linked = F.transform(F.sequence(F.lit(1), F.lit(length - 1)), lambda k: F.coalesce(F.array_contains("from", k), F.lit(False)).cast("int")) if length > 1 else F.array().cast("array<int>")
     return rows.select("graph_id", "node_id", F.concat(one_hot(F.col("label"), alphabet), linked).alias("row"))
 
 

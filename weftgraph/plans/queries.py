@@ -442,7 +442,7 @@ def set_to_key(spark, sf_dir):
 SELECT w.g AS graph_id, w.i AS node_id, array_to_string(list_concat(h, [CAST(coalesce(list_contains(f, k), false) AS INT) FOR k IN range(1, 6)]), '') AS row FROM w LEFT JOIN t ON t.g = w.g AND t.dst = w.i""")
 def node_string(spark, sf_dir):
     g = views.order_graphs(spark, sf_dir)
-    return tokens.node_strings(g.nodes, g.edges, ["A", "N", "R"], 6).withColumn("row", F.array_join(F.col("row").cast("array<string>"), ""))
+    return tokens.node_strings(g.nodes, g.edges, ["A", "N", "R"]).withColumn("row", F.array_join(F.col("row").cast("array<string>"), ""))
 
 
 @query("""WITH s AS (SELECT conv_id AS graph_id, list(CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END ORDER BY turn DESC) AS t FROM conversations GROUP BY 1)
