@@ -100,3 +100,15 @@ def test_node_strings_give_whole_graphs_back(spark):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
     with pytest.raises(Exception, match="beyond the length of 6"):
         tokens.node_strings(g.nodes, g.edges, ["A", "N", "R"], 6).collect()
+
+
+@pytest.mark.parametrize("n", [2133, 900])
+def test_the_split_is_at_the_exact_rank(spark, n):
+    rows = spark.range(1, n + 1).select(F.col("id").alias("k"), F.col("id").cast("double").alias("v"))
+    assert metrics.standardised(rows, "k", "v").where("is_train").count() == int(n * 0.9)
+
+
+def test_ranks_of_far_keys(spark):
+    keys = sorted([-(2**63), -7, -7, 0, 5, 5, 5, 10**12, 2**63 - 1])
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    assert [metrics.nth(rows, "k", r, 16) for r in range(1, len(keys) + 1)] == keys

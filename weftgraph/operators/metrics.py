@@ -41,12 +41,32 @@ def standardised(rows: DataFrame, order: str, value: str, train: float = 0.9) ->
     """
     n = rows.count()
     limit = int(n * train)
-    cut = rows.select(order).orderBy(order).limit(limit).agg(F.max(order)).first()[0] if 0 < limit <= 1000 else rows.agg(F.percentile(F.col(order), F.lit((limit - 1) / max(1, n - 1)))).first()[0] if limit else None
+    cut = nth(rows, order, limit) if limit else None
     marked = rows.withColumn("is_train", F.lit(False) if cut is None else F.col(order) <= F.lit(cut))
     s = marked.where("is_train").agg(F.avg(-F.col(value)).alias("m"), F.stddev_pop(value).alias("d")).first()
     return marked.withColumn("z", (-F.col(value) - F.lit(s["m"])) / F.lit(s["d"]))
 
 
+def nth(rows: DataFrame, order: str, rank: int, ranges: int = 4096) -> int | None:
+    """The value of rank (from 1) of an integer column, exactly: counts by range, and the range that holds the rank is divided again. The last one if there are fewer."""
+    keys = rows.select(F.col(order).cast("decimal(20,0)").alias("k")).where("k IS NOT NULL")
+    low, high = keys.agg(F.min("k"), F.max("k")).first()
+    if low is None:
+        return None
+    low, high = int(low), int(high)
+    while low < high:
+        width = -(-(high - low + 1) // ranges)
+        counts = keys.where(f"k BETWEEN {low} AND {high}").groupBy(F.expr(f"(k - ({low})) div {width}").alias("r")).agg(F.count("*").alias("n")).collect()
+        for r, n in sorted(map(tuple, counts)):
+            if rank <= n:
+                low, high = low + r * width, min(high, low + (r + 1) * width - 1)
+                break
+            rank -= n
+        else:
+            return high
+    return low
+
+
 def fit_scores(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     """rmse, correlation and r2 of guesses."""
     error = (F.col(truth) - F.col(guess)) ** 2
