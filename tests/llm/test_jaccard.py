@@ -62,6 +62,42 @@ def test_tiles_give_the_same(spark, monkeypatch):
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in out), key=str) == brute(list(enumerate(texts)))
 
 
+def test_every_division_of_the_work_gives_the_same(spark, monkeypatch):
+    texts = texts_with_copies(5)
+    want = brute(list(enumerate(texts)))
+    for close, tile, pairs in ((10**6, 384, 1 << 18), (10**6, 7, 50), (12, 7, 50), (1, 7, 50)):  # groups of one to groups of all candidates
+        monkeypatch.setattr(jaccard, "CLOSE", close)
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        monkeypatch.setattr(jaccard, "PAIRS", pairs)
+        out = jaccard.join(docs(spark, texts)).collect()
+        assert sorted(((r.doc_id, r.class_id, r.n_links) for r in out), key=str) == want, (close, tile)
+
+
+def test_links_grow_with_entries_not_with_bands(spark, monkeypatch):
+    rng = random.Random(6)
+    base = ["b%d" % rng.randrange(10**6) for _ in range(150)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        w[rng.randrange(len(w))] = "e%d" % rng.randrange(10**6)
+        texts.append(" ".join(w))
+    given, old = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda links: given.append(links.count()) or old(links))
+    assert len({r.class_id for r in jaccard.join(docs(spark, texts)).collect()}) == 1
+    assert given[0] <= 2 * len(texts)
+
+
+def test_keep_one_with_clashing_columns(spark):
+    texts = texts_with_copies(7)
+    names = ("_f1", "_f2", "_id", "_c1", "_c2", "_cid", "_rows", "row", "f1", "f2", "id", "doc", "root", "times", "e", "a b", "c.d")
+    df = docs(spark, texts).selectExpr("*", *(f"'{n}' AS `{n}`" for n in names))
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, c, _ in brute(list(enumerate(texts))) if i == c)
+    assert all(r[n] == n for r in rows for n in names)
+
+
 def test_keep_one(spark):
     texts = texts_with_copies(4)
     df = docs(spark, [*texts, texts[12]], [*range(len(texts)), 12], extra=True)

@@ -21,6 +21,10 @@ BANDS, ROWS = 50, 6
 STEP = 20
 #: Texts of a group that meet others at once; larger groups meet tile by tile.
 TILE = 384
+#: Bands shared with a bucket's least entry from which on two entries are close; divides the work, changes no result.
+CLOSE = 4
+#: Pairs that are compared at once in a task.
+PAIRS = 1 << 18
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -42,6 +46,20 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """The lower 16 bits of each MinHash value: what is compared, and what bands are made of."""
+    return minhashes(s).astype(np.uint16)
+
+
+def band_keys(sketches: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each row's bands; bands are equal where their values are."""
+    values = sketches.reshape(len(sketches), BANDS, ROWS).astype(U)
+    key = np.zeros((len(values), BANDS), U) + words.stream(BANDS, 63)
+    for r in range(ROWS):
+        key = words.mix(key * U(0x9E3779B97F4A7C15) + values[:, :, r])
+    return key
+
+
 def least_matches(threshold: float, doubt: float) -> np.ndarray:
     """For 0, STEP, 2 STEP... values compared: the least matches at which the index may still reach the threshold.
 
@@ -74,25 +92,57 @@ def _verified(left: list[np.ndarray], right: list[np.ndarray], a: np.ndarray, b:
     return out
 
 
-def links_of(left: pd.DataFrame, right: pd.DataFrame, alone: bool, least: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in left and right that reach the threshold; alone: right is left, and each pair comes once."""
-    s, t = (np.stack([np.frombuffer(x, np.uint16) for x in side.sketch]) for side in (left, right))
-    m, n = (np.array([len(x) // 8 for x in side.grams]) for side in (left, right))
-    # an index of t needs sizes within a factor of t
-    fit = (m[:, None] >= threshold * n[None] - 1e-9) & (n[None] >= threshold * m[:, None] - 1e-9)
-    if alone:
-        fit = np.triu(fit, 1)
-    a, b = np.nonzero(fit)
-    matches = np.zeros(len(a), np.int64)
-    for k in range(0, BANDS * ROWS, STEP):
-        for at in range(0, len(a), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            matches[part] += (s[a[part], k : k + STEP] == t[b[part], k : k + STEP]).sum(1)
-        stay = matches >= least[k // STEP + 1]
-        a, b, matches = a[stay], b[stay], matches[stay]
-    grams = [[np.frombuffer(x, U) for x in side.grams] for side in (left, right)]
-    ok = _verified(*grams, a, b, threshold)
-    return a[ok], b[ok]
+def _ranges(pdf: pd.DataFrame, keys: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Rows in order, and for each the places of the rows that it meets, from and to.
+
+    Rows of a group with i = j meet each other once; else those of part i meet those of part j.
+    """
+    pdf = pdf.drop_duplicates([*keys, "rid"])
+    group = pdf.groupby(keys, sort=False).ngroup().to_numpy()
+    left = (pdf["at"] == pdf["i"]).to_numpy()
+    order = np.lexsort((pdf.rid.to_numpy(), ~left, group))
+    pdf, group, left = pdf.iloc[order].reset_index(drop=True), group[order], left[order]
+    end = np.searchsorted(group, group, side="right")
+    middle = np.searchsorted(group, group) + np.bincount(group, left)[group].astype(np.int64)
+    begin = np.where((pdf.i == pdf.j).to_numpy(), np.arange(1, len(pdf) + 1), np.where(left, middle, end))
+    return pdf, begin, end
+
+
+def met(pdf: pd.DataFrame, keys: list[str], least: np.ndarray, threshold: float) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Whole groups, and the places in them of pairs that may reach the threshold.
+
+    Rows hold rid, i, j, at, band, comp, sketch and size (number of n-grams). Where
+    band is not negative, pairs of one comp and pairs that share an earlier band are left out.
+    """
+    pdf, begin, end = _ranges(pdf, keys)
+    s, m = np.stack([np.frombuffer(x, np.uint16) for x in pdf.sketch]), pdf["size"].to_numpy()
+    band, comp = pdf.band.to_numpy(), pdf.comp.to_numpy()
+    upto = np.concatenate([[0], np.cumsum(end - begin)])
+    at, kept = 0, []
+    while at < len(pdf):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, side="right")) - 1)
+        count = (end - begin)[at:to]
+        a = np.repeat(np.arange(at, to), count)
+        b = np.arange(len(a)) - np.repeat(upto[at:to] - upto[at], count) + np.repeat(begin[at:to], count)
+        at = to
+        # an index of t needs sizes within a factor of t
+        stay = (m[a] >= threshold * m[b] - 1e-9) & (m[b] >= threshold * m[a] - 1e-9) & ((band[a] < 0) | (comp[a] != comp[b]))
+        a, b = a[stay], b[stay]
+        matches = np.zeros(len(a), np.int64)
+        for k in range(0, BANDS * ROWS, STEP):
+            for p in range(0, len(a), 1 << 16):
+                part = slice(p, p + (1 << 16))
+                matches[part] += (s[a[part], k : k + STEP] == s[b[part], k : k + STEP]).sum(1)
+            stay = matches >= least[k // STEP + 1]
+            a, b, matches = a[stay], b[stay], matches[stay]
+        later = np.flatnonzero(band[a] > 0)
+        again = np.zeros(len(a), bool)
+        for p in range(0, len(later), 1 << 14):
+            k = later[p : p + (1 << 14)]
+            same = (s[a[k]] == s[b[k]]).reshape(len(k), BANDS, ROWS).all(2)
+            again[k] = same.argmax(1) < band[a[k]]
+        kept.append((a[~again], b[~again]))
+    yield pdf, np.concatenate([a for a, _ in kept]), np.concatenate([b for _, b in kept])
 
 
 def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -112,6 +162,16 @@ def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, in
     return [(x, top(x)) for x in list(up)]
 
 
+#: What a tile is told apart by.
+TILED = ["key", "band", "i", "j"]
+
+
+def _sides(own: str, other: str) -> list:
+    """A tile's two parts in order, and the part that the row is in, as strings."""
+    a, b = F.col(own).cast("string"), F.col(other).cast("string")
+    return [F.least(a, b).alias("i"), F.greatest(a, b).alias("j"), a.alias("at")]
+
+
 def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, doubt: float = 1e-7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, f1, f2, copy_id, class_id, n_links, rid, root of every row.
 
@@ -120,13 +180,18 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, doubt: float =
     threshold (copies included).
 
     Equal texts are one entry from the start, with their number. Entries with a
-    band of MinHash values in common are candidates; a band's bucket adds a link to
-    its least entry only, and the components of these links are the groups inside
-    which pairs can be similar. A group meets itself in tiles: values are compared
-    step by step, and a pair goes as soon as the posterior probability of reaching
-    the threshold falls below doubt; those left are verified on all their n-grams.
-    No pairs leave a tile, only each entry's number of links and a spanning forest.
-    Groups of any size are so split over tasks of bounded size.
+    band of MinHash values in common are candidates. Entries that share CLOSE bands
+    or more with a bucket's least entry are linked to the least such one, and the
+    components of these links are close groups, which meet themselves. Candidates
+    of different groups meet inside the bucket of the first band that they share,
+    and nowhere else, so a chain of weak links brings no work beyond its buckets.
+
+    Both meetings are dealt in tiles of bounded size, so that groups of any size are
+    split over tasks. Values are compared step by step, and a pair goes as soon as
+    the posterior probability of reaching the threshold falls below doubt; those
+    left are verified on all their n-grams. Buckets compare sketches first and
+    get the n-grams of the entries that are left only. No pairs leave a tile, only each
+    entry's number of links and a spanning forest.
 
     Texts with fewer words than an n-gram are one n-gram of all their words. Null
     texts and texts without words are in no class but their own: null ones have no
@@ -142,62 +207,82 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, doubt: float =
     entries = cut(own.withColumn("rid", F.monotonically_increasing_id()))
 
     def bands(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        seen: set[tuple] = set()
         for pdf in it:
             for at in range(0, len(pdf), 1024):
-                part = pdf[at : at + 1024].drop_duplicates("f1")
-                part = part[~part.f1.isin(seen)]
-                seen.update(part.f1)
-                grams = [shingles(t or b"", size) for t in part.t]
-                some = [k for k, g in enumerate(grams) if len(g)]
+                part = pdf[at : at + 1024]
+                names = list(zip(part.f1.tolist(), part.f2.tolist(), strict=True))
+                new = [k for k, x in enumerate(names) if not (x in seen or seen.add(x))]
+                grams = [(k, shingles(part.t.iat[k] or b"", size)) for k in new]
+                some = [(k, g) for k, g in grams if len(g)]
                 if some:
-                    values = np.stack([minhashes(grams[k]) for k in some]).reshape(len(some), BANDS, ROWS).astype(U)
-                    key = np.zeros((len(some), BANDS), U) + words.stream(BANDS, 63)
-                    for r in range(ROWS):
-                        key = words.mix(key * U(0x9E3779B97F4A7C15) + values[:, :, r])
-                    yield pd.DataFrame({"f1": part.f1.to_numpy()[some], "keys": list(key.view(np.int64))})
+                    keys = band_keys(np.stack([sketch_of(g) for _, g in some])).view(np.int64)
+                    at_k = [k for k, _ in some]
+                    yield pd.DataFrame({"f1": part.f1.to_numpy()[at_k], "f2": part.f2.to_numpy()[at_k], "keys": list(keys)})
 
     texts = docs.select(*prints, F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("t")).where(text.isNotNull())
-    keyed = cut(texts.select("f1", "t").mapInPandas(bands, "f1 long, keys array<long>"))
-    banded = keyed.select(F.explode("keys").alias("key"), "f1")
-    firsts = banded.groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("key", "lo")
-    near = banded.join(firsts, "key").where("f1 <> lo").select("f1", "lo").distinct()
-    name = entries.select("f1", F.col("rid").alias("a"))
-    stars = near.join(name, "f1").join(name.withColumnsRenamed({"f1": "lo", "a": "b"}), "lo").select("a", "b")
-    groups = components(stars).withColumnsRenamed({"id": "rid", "root": "group"})
-    parts = groups.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    made = texts.select("f1", "f2", "t").mapInPandas(bands, "f1 long, f2 long, keys array<long>").dropDuplicates(["f1", "f2"])
+    keyed = cut(entries.select("f1", "f2", "rid").join(made, ["f1", "f2"]).select("rid", "keys"))
+
+    # each entry's links to the least entries of its buckets, and in how many bands
+    banded = keyed.select("rid", F.explode("keys").alias("key"))
+    firsts = banded.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi").select("key", "lo")
+    near = cut(banded.join(firsts, "key").where("rid <> lo").groupBy("rid", "lo").agg(F.count("*").alias("bands")))
+    # an entry is linked to the least of its close ones only, and these among each other
+    close = near.where(F.col("bands") >= CLOSE).groupBy("rid").agg(F.min("lo").alias("b"), F.collect_set("lo").alias("los"))
+    links = close.select(F.col("rid").alias("a"), "b").unionByName(close.select(F.explode("los").alias("a"), "b").where("a <> b").distinct())
+    comps = components(links).withColumnsRenamed({"id": "rid", "root": "comp"})
+    parts = comps.groupBy("comp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    candidates = near.select("rid").unionByName(near.select(F.col("lo").alias("rid"))).distinct()
+    members = candidates.join(comps, "rid", "left").join(parts, "comp", "left")
+    members = cut(members.select("rid", F.coalesce("comp", "rid").alias("comp"), F.coalesce("parts", F.lit(0)).alias("parts")))
 
     def prepare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for at in range(0, len(pdf), 1024):
-                part = pdf[at : at + 1024]
+                part = pdf[at : at + 1024].drop_duplicates("rid")
                 grams = [shingles(t, size) for t in part.t]
-                sketch = [minhashes(g).astype(np.uint16).tobytes() for g in grams]
-                yield part.drop(columns="t").assign(sketch=sketch, grams=[g.tobytes() for g in grams])
-
-    members = groups.join(parts, "group").join(entries.select("rid", "n", "f1", "f2", F.col("copy_id").alias("doc_id")), "rid")
-    with_text = texts.join(members, (texts.f1 == members.f1) & (texts.f2 == members.f2) & texts.doc_id.eqNullSafe(members.doc_id)).select("group", "parts", "rid", "n", "t")
-    ready = with_text.mapInPandas(prepare, "group long, parts int, rid long, n long, sketch binary, grams binary")
+                yield part.drop(columns="t").assign(size=[len(g) for g in grams], sketch=[sketch_of(g).tobytes() for g in grams], grams=[g.tobytes() for g in grams])
+
+    named = members.join(entries.select("rid", "n", "f1", "f2", F.col("copy_id").alias("doc_id")), "rid")
+    with_text = texts.join(named, (texts.f1 == named.f1) & (texts.f2 == named.f2) & texts.doc_id.eqNullSafe(named.doc_id)).select("comp", "parts", "rid", "n", "t")
+    ready = cut(with_text.mapInPandas(prepare, "comp long, parts int, rid long, n long, size long, sketch binary, grams binary"))
+
+    def similar(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in packs.whole(it, TILED):
+            for pdf, a, b in met(pdf, TILED, least, threshold):
+                grams, order = [np.frombuffer(x, U) for x in pdf.grams], np.argsort(a, kind="stable")
+                a, b = a[order], b[order]
+                ok = _verified(grams, grams, a, b, threshold)
+                a, b, ids, weight = a[ok], b[ok], pdf.rid.to_numpy(), pdf.n.to_numpy()
+                count = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
+                some = np.flatnonzero(count)
+                forest = dict(_forest(ids, a, b))
+                yield pd.DataFrame({"rid": ids[some], "links": count[some].astype(np.int64), "top": [forest[x] for x in ids[some].tolist()]})
+
+    # close groups meet themselves, in tiles of their parts
     at = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
-    tiled = ready.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiled = tiled.select("group", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "rid", "n", "sketch", "grams")
-
-    def meet(key: tuple, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        pdf = pdf.drop_duplicates("rid").sort_values("rid", ignore_index=True)
-        _, i, j = key
-        left, right = pdf[pdf["at"] == i].reset_index(drop=True), pdf[pdf["at"] == j].reset_index(drop=True)
-        if not len(left) or not len(right):
-            return
-        a, b = links_of(left, right, i == j, least, threshold)
-        ids = np.concatenate([left.rid.to_numpy(), right.rid.to_numpy()])
-        weight = np.concatenate([left.n.to_numpy(), right.n.to_numpy()])
-        b = b + len(left)
-        count = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
-        some = np.flatnonzero(count)
-        forest = dict(_forest(ids, a, b))
-        yield pd.DataFrame({"rid": ids[some], "links": count[some].astype(np.int64), "top": [forest[x] for x in ids[some].tolist()]})
-
-    found = cut(packs.grouped(tiled, ["group", "i", "j"], meet, "rid long, links long, top long"))
+    inner = ready.where("parts > 0").withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    whole_groups = inner.select(F.col("comp").alias("key"), F.lit(-1).alias("band"), *_sides("at", "other"), "comp", "rid", "n", "size", "sketch", "grams")
+
+    # buckets that hold several close groups: their parts meet each other; groups of one part share the parts of a bucket
+    placed = keyed.join(members, "rid").select("rid", "comp", "parts", F.posexplode("keys").alias("band", "key"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(F.col("parts") < 2).alias("small")).where("lo < hi")
+    label = F.when(F.col("parts") < 2, F.pmod(F.xxhash64("comp"), F.ceil(F.col("small") / TILE)).cast("string")).otherwise(F.concat_ws(".", F.col("comp").cast("string"), F.pmod(F.xxhash64("rid"), F.col("parts")).cast("string")))
+    labelled = placed.join(mixed.select("key", "small"), "key").select("key", "band", "rid", label.alias("at"), F.when(F.col("parts") > 1, F.col("comp")).alias("big"))
+    labels = labelled.select("key", F.col("at").alias("other"), F.col("big").alias("their")).distinct()
+    crossing = labelled.join(labels, "key").where(F.coalesce(F.col("big") != F.col("their"), F.lit(True))).select("key", "band", *_sides("at", "other"), "rid")
+    sketched = crossing.join(ready.select("rid", "comp", "size", "sketch"), "rid")
+
+    def promising(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in packs.whole(it, TILED):
+            for pdf, a, b in met(pdf, TILED, least, threshold):
+                yield pdf.iloc[np.union1d(a, b)][["key", "band", "i", "j", "at", "rid"]]
+
+    survivors = cut(packs.by_group(sketched, TILED, promising, "key long, band int, i string, j string, at string, rid long"))
+    columns = ["key", "band", "i", "j", "at", "comp", "rid", "n", "size", "sketch", "grams"]
+    tiled = whole_groups.select(*columns).unionByName(survivors.join(ready.drop("parts"), "rid").select(*columns))
+    found = cut(packs.by_group(tiled, TILED, similar, "rid long, links long, top long"))
     linked = found.groupBy("rid").agg(F.sum("links").alias("links"))
     tree = components(found.select(F.col("rid").alias("a"), F.col("top").alias("b"))).withColumnRenamed("id", "rid")
     whole = entries.join(linked, "rid", "left").join(tree, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
@@ -212,15 +297,14 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str
     """The rows of docs, with all their columns, without those whose class holds a smaller id.
 
     Of rows that share the least id of their class, and in classes without ids, one
-    stays. Rows with a null text stay.
+    stays. Rows with a null text stay. Columns may have any names.
     """
     made = join(docs, threshold, size, id_col=id_col, text_col=text_col).where("rid IS NOT NULL")
     # one text of each class: the smallest entry that has the class's id
-    chosen = made.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("rid", "doc_id", "f1", "f2")).alias("e"), F.count("*").alias("rows"))
-    chosen = cut(chosen.select("e.doc_id", "e.f1", "e.f2", "rows"))
-    named = docs.withColumns({"_f1": F.xxhash64(text_col), "_f2": F.xxhash64(F.lit(9), text_col), "_id": F.col(id_col).cast("long")})
-    c = chosen.withColumnsRenamed({"doc_id": "_cid", "f1": "_c1", "f2": "_c2", "rows": "_rows"})
-    kept = named.where(F.col(text_col).isNotNull()).join(c, (F.col("_f1") == F.col("_c1")) & (F.col("_f2") == F.col("_c2")) & F.col("_id").eqNullSafe(F.col("_cid")))
-    single = kept.where("_rows = 1").select(*docs.columns)
-    several = kept.where("_rows > 1").dropDuplicates(["_f1", "_f2", "_id"]).select(*docs.columns)
+    chosen = made.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("rid", "doc_id", "f1", "f2")).alias("e"), F.count("*").alias("times"))
+    chosen = cut(chosen.select("e.doc_id", "e.f1", "e.f2", "times"))
+    named = docs.where(F.col(text_col).isNotNull()).select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("f1"), F.xxhash64(F.lit(9), text_col).alias("f2"), F.col(id_col).cast("long").alias("id"))
+    kept = named.join(chosen, (named.f1 == chosen.f1) & (named.f2 == chosen.f2) & named.id.eqNullSafe(chosen.doc_id)).select("row", named.f1, named.f2, "id", "times")
+    single = kept.where("times = 1").select("row.*")
+    several = kept.where("times > 1").groupBy("f1", "f2", "id").agg(F.first("row").alias("row")).select("row.*")
     return single.unionByName(several).unionByName(docs.where(F.col(text_col).isNull()))

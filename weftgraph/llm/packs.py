@@ -139,6 +139,26 @@ def grouped(df: DataFrame, keys: list[str], fn: Callable[[tuple, pd.DataFrame],
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def whole(it: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The frames of a stream that is sorted by keys, cut anew so that groups are whole."""
+    rest = None
+    for pdf in it:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if len(pdf):
+            other = np.flatnonzero((pdf[keys] != pdf[keys].iloc[-1]).any(axis=1).to_numpy())
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield pdf[:cut]
+            rest = pdf[cut:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def by_group(df: DataFrame, keys: list[str], fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """fn over partitions that hold whole groups, sorted by keys."""
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(fn, schema)
+
+
 def answer(rows: DataFrame, fn: Callable[[list[np.ndarray], list[bytes], list[bytes]], list[bytes]]) -> DataFrame:
     """Answers all asks: fn(sorted keys of each asking chunk, b, c) gives an answer for each chunk; states pass."""
 
