@@ -3,6 +3,7 @@
 import re
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = ("key", "size", "score", "h", "chunk", "rid", "n", "y", "id", "t", "limit", "full", "need", "row", "g", "f1", "f2", "_key", "_h", "_f1", "_id", "_rows", "n_words", "comp", "list", "v", "part", "place", "rate", "prefix", "up", "salt", "held_out", "predicted", "spans", "a b", "c.d")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -14,8 +15,8 @@ def docs(spark, texts, ids=None, extra=False):
     rows = [(i if ids is None else ids[i], t, "en", f"s{i % 3}" if i % 5 else None, len(t or "")) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, SCHEMA)
     if extra:  # names that operators use themselves
-        for c in ("key", "size", "score", "h", "chunk", "rid", "n", "y", "id", "t"):
-            df = df.selectExpr("*", f"'x' AS {c}")
+        for c in CLASHES:
+            df = df.selectExpr("*", f"'x' AS `{c}`")
     return df
 
 

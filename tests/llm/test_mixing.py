@@ -50,13 +50,39 @@ def test_a_source_of_a_third_and_sources_without_words(spark):
     check(mix(df).collect(), rows)
 
 
-def test_repeated_rows_share_a_fate_and_empty_tables(spark):
-    rows = mix(docs(spark, ["a b c"] * 6 + ["d e"] * 6, [1] * 6 + [2] * 6)).collect()
-    assert len(rows) == 12
-    for key in {(r.doc_id, r.source) for r in rows}:
-        assert len({r.taken for r in rows if (r.doc_id, r.source) == key}) == 1
+def test_repeated_rows_are_taken_in_part(spark):
+    rng = random.Random(5)
+    rows = [(1, "a b c d e", "en", "hot", 0)] * 500 + [(k, "w " * rng.randrange(1, 9), "en", f"s{k % 5}", 0) for k in range(2, 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mix(df).collect()
+    check(got, rows)
+    assert len({r.taken for r in got if r.source == "hot"}) == 2
+    again = sorted((r.doc_id, r.taken) for r in mix(df.repartition(11)).collect())
+    assert again == sorted((r.doc_id, r.taken) for r in got)
+
+
+def test_the_chosen_rows_are_those_of_the_smallest_hashes(spark):
+    """All rows but one of each source follow from their hashes alone; equal to a walk in the order of hashes."""
+    from pyspark.sql import functions as F
+
+    df = docs(spark, some_texts(random.Random(6), n=150))
+    got = mix(df).withColumn("hash", F.xxhash64(F.lit(7), *df.columns)).collect()
+    for source in {r.source for r in got}:
+        own = sorted((r for r in got if r.source == source), key=lambda r: r.hash)
+        whole = own[0].source_size and int(own[0].target // own[0].source_size)
+        need, done = own[0].target - whole * own[0].source_size, 0
+        for r in own:
+            more = r.size > 0 and done <= need and done + r.size / 2 <= need
+            assert r.taken == r.size * (whole + more)
+            done += r.size
+
+
+def test_empty_tables_maps_and_clashing_names(spark):
     assert mix(docs(spark, ["a"]).limit(0)).collect() == []
     assert [r.taken for r in mix(docs(spark, [None, ""])).collect()] == [0, 0]
+    df = docs(spark, ["a b", "c"] * 20, extra=True).selectExpr("*", "map('a', 1) AS m", "5 AS taken", "named_struct('q', map(1, 2)) AS deep")
+    out = mix(df)
+    assert sorted(out.columns) == sorted({*df.columns, "size", "source_size", "target", "taken"}) and out.count() == 40
 
 
 def test_many_sources_are_joined_by_a_shuffle(spark, monkeypatch):
