@@ -48,10 +48,41 @@ def test_hot_vector_ties_and_tiles(spark, monkeypatch):
     assert [a for a, _ in got[0]] == [3, 6, 9, 12, 15] and [a for a, _ in got[150]] == [0, 3, 6, 9, 12]
 
 
+def test_recall_with_a_sample_far_smaller_than_the_table(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 1200)
+    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    p = df.toPandas()
+    want = brute(p.vec_id.to_numpy(), np.stack(p.embedding), 50)
+    got = result(neighbours.search(df, F.col("vec_id") % 50 == 0))
+    hits = [len({a for a, _ in want[q]} & {a for a, _ in got[q]}) / 5 for q in want]
+    assert set(got) == set(want) and np.mean(hits) >= 0.9
+
+
+def test_repeated_rows_and_ids_leave_five_neighbours(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((1000, 8)).astype(np.float32)
+    x[1] = x[0] + 0.01
+    ids = [*range(1000), *[1] * 1500, *[3] * 400]
+    v = [*x.tolist(), *[x[1].tolist()] * 1500, *(x[0] + 0.02 * rng.standard_normal((400, 8))).tolist()]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": v, "label": 0}), SCHEMA)
+    got = result(neighbours.search(df, F.col("vec_id") % 50 == 0))
+    assert set(got) == set(range(0, 1000, 50))
+    assert all(len(r) == 5 and len({a for a, _ in r}) == 5 and [s for _, s in r] == sorted((s for _, s in r), reverse=True) for r in got.values())
+    assert {a for a, _ in got[0]} >= {1, 3}
+
+
+def test_lengths_are_searched_apart(spark):
+    rows = [(50 * k, [1.0, float(k)], 0) for k in range(4)] + [(50 * k, [1.0, 1.0, float(k)], 0) for k in range(10, 13)] + [(1000, [5.0], 0)]
+    got = result(neighbours.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0))
+    assert [a for a, _ in got[0]] == [50, 100, 150] and {a for a, _ in got[500]} == {550, 600} and set(got) == {0, 50, 100, 150, 500, 550, 600}
+    nulls = spark.createDataFrame([(0, None, 0), (None, None, 0)], SCHEMA)
+    assert neighbours.search(nulls, F.col("vec_id") % 50 == 0).collect() == []
+
+
 def test_odd_vectors_and_few_candidates(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 0), (1, [0.0, 2.0], 0), (2, [3.0, 3.0], 0), (3, None, 0), (4, [0.0, 0.0], 0), (5, [nan, 1.0], 0), (6, [inf, 1.0], 0), (7, [None, 1.0], 0), (8, [], 0), (9, [1.0], 0), (None, [1.0, 1.0], 0), (2, [3.0, 3.0], 0), (50, [0.0, 0.0], 0), (100, [1e-30, 1e-30], 0)]
-    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS list", "2 AS score", "3 AS v")
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS list", "2 AS score", "3 AS v", "4 AS q", "5 AS rank", "6 AS asks", "7 AS `a.b`")
     got = result(neighbours.search(df, F.col("vec_id") % 50 == 0))
     assert [a for a, _ in got[0]] == [2, 100, 1] and [a for a, _ in got[100]] == [2, 0, 1] and set(got) == {0, 100}
     assert neighbours.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.operators.checkpoints import cut
+
 #: Vectors that the lists are fitted on, at most; lists, at most; vectors or queries that meet at once, at most.
-SAMPLE, LISTS, TILE = 20_000, 1024, 4096
+SAMPLE, LISTS, TILE = 32_768, 2048, 4096
 
 
 @dataclass
@@ -33,6 +35,10 @@ def _stack(column) -> np.ndarray:
     return np.array(column.tolist(), float)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[k : k + 4096] @ centres.T).argmax(1) for k in range(0, len(x), 4096)])
+
+
 def _valid(x: Column) -> Column:
     """Without nulls and non-finite parts, and not zero."""
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -54,15 +60,15 @@ def fit(vectors: DataFrame, recall: float = 0.97, k: int = 5, seed: int = 3, id_
     random = np.random.default_rng(seed)
     rotation = np.linalg.qr(random.standard_normal((x.shape[1],) * 2))[0]
     x = x @ rotation
-    lists = max(1, min(LISTS, round(n**0.5), len(x) // 8))
+    lists = max(1, min(LISTS, round(n**0.5), len(x) // 8))  # more lists at every size, up to what the sample can tell apart
     centres = x[random.choice(len(x), lists, replace=False)]
     for _ in range(6):
-        at = (x @ centres.T).argmax(1)
+        at = _nearest(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, at, x)
         norm = np.sqrt((sums * sums).sum(1, keepdims=True))
         centres = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-12), centres)
-    at = (x @ centres.T).argmax(1)
+    at = _nearest(x, centres)
     ask = x[:: max(1, len(x) // 200)][:200]
     near = np.argsort(-(ask @ x.T), 1, kind="stable")[:, 1 : k + 1]
     order = np.argsort(-(ask @ centres.T), 1, kind="stable")
@@ -102,21 +108,29 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, recall: float = 0.97
     hold the index's share of all vectors, and more than k in any case. The
     nearest list gives it a first limit; in the others, tests on partial distances
     drop candidates early, and those left are scored exactly, in double precision
-    on the original vectors. Lists and their queries meet in tiles of bounded
-    size, so a vector that a third of all rows repeat is spread over many tasks.
-
-    Vectors that are null, zero, hold null or non-finite parts, lack an id or are not of
-    the commonest length take no part. Rows that repeat an id count once; if their
-    vectors differ, by the nearest. Ties go to smaller ids. Further columns are
-    ignored; an empty table gives no rows.
+    on the original vectors. A query that has found fewer than k ids looks at all
+    lists. Lists and their queries meet in tiles of bounded size, so that a vector
+    that many ids share is spread over many tasks.
+
+    Vectors that are null, zero, hold null or non-finite parts or lack an id take no
+    part. Cosines compare vectors of one length: each is searched among those of its
+    own, with an index for each length that queries have. Equal rows are one from
+    the start. Rows that repeat an id count once; if their vectors differ, by the
+    nearest. Ties go to smaller ids. Further columns are ignored; an empty table
+    gives no rows.
     """
-    spark = vectors.sparkSession
-    good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & _valid(F.col("v")))
-    size = good.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
-    result = "query_id long, rank int, vec_id long, score double"
-    if not size:
-        return spark.createDataFrame([], result)
-    good = good.where(F.size("v") == size["size"])
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & _valid(F.col("v")))
+    out = None
+    for size in sorted(r[0] for r in rows.where("asks").select(F.size("v")).distinct().collect()):
+        part = _search(rows.where(F.size("v") == size).distinct(), k, recall, block, doubt)
+        out = part if out is None else out.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _search(good: DataFrame, k: int, recall: float, block: int, doubt: float) -> DataFrame:
+    """search() over distinct valid vectors of one length."""
+    spark = good.sparkSession
+    good = cut(good)
     shared = spark.sparkContext.broadcast(fit(good, recall, k))
 
     def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,27 +139,33 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, recall: float = 0.97
             if len(pdf):
                 yield pd.DataFrame({"list": (_unit(_stack(pdf.v)) @ index.rotation @ index.centres.T).argmax(1), "vec_id": pdf.vec_id, "v": pdf.v})
 
-    listed = good.mapInPandas(assign, "list int, vec_id long, v array<double>")
+    listed = cut(good.mapInPandas(assign, "list int, vec_id long, v array<double>"))
     sizes = np.zeros(len(shared.value.centres), np.int64)
     for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row a list, LISTS at most
         sizes[r["list"]] = r["n"]
     total = int(sizes.sum())
 
-    def probe(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        for pdf in it:
-            if len(pdf):
-                order = np.argsort(-(_unit(_stack(pdf.v)) @ index.rotation @ index.centres.T), 1, kind="stable")
-                before = np.cumsum(sizes[order], 1) - sizes[order]
-                row, nth = np.nonzero((before < max(index.share * total, k + 2)) & (sizes[order] > 0))
-                first = before[row, nth] == 0
-                yield pd.DataFrame({"list": order[row, nth], "first": first, "query_id": pdf.vec_id.to_numpy()[row], "q": pdf.v.to_numpy()[row]})
-
-    probes = good.where("asks").mapInPandas(probe, "list int, first boolean, query_id long, q array<double>")
-    asked = np.zeros(len(sizes), np.int64)
-    for r in probes.groupBy("list").agg(F.count("*").alias("n")).collect():
-        asked[r["list"]] = r["n"]
-    tiles = spark.createDataFrame([(i, int(-(-n // TILE)), int(-(-m // TILE))) for i, (n, m) in enumerate(zip(sizes.tolist(), asked.tolist(), strict=True)) if n and m] or [(-1, 1, 1)], "list int, vs int, qs int")
+    def probe(everywhere: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = shared.value
+            for pdf in it:
+                if len(pdf):
+                    order = np.argsort(-(_unit(_stack(pdf.v)) @ index.rotation @ index.centres.T), 1, kind="stable")
+                    before = np.cumsum(sizes[order], 1) - sizes[order]
+                    enough = total if everywhere else max(index.share * total, k + 1)
+                    row, nth = np.nonzero((before < enough) & (sizes[order] > 0))
+                    first = before[row, nth] == 0
+                    yield pd.DataFrame({"list": order[row, nth], "first": first, "query_id": pdf.vec_id.to_numpy()[row], "q": pdf.v.to_numpy()[row]})
+
+        return run
+
+    probed = "list int, first boolean, query_id long, q array<double>"
+
+    def tiles_of(probes: DataFrame) -> DataFrame:
+        asked = np.zeros(len(sizes), np.int64)
+        for r in probes.groupBy("list").agg(F.count("*").alias("n")).collect():
+            asked[r["list"]] = r["n"]
+        return spark.createDataFrame([(i, int(-(-n // TILE)), int(-(-m // TILE))) for i, (n, m) in enumerate(zip(sizes.tolist(), asked.tolist(), strict=True)) if n and m] or [(-1, 1, 1)], "list int, vs int, qs int")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -168,7 +188,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, recall: float = 0.97
                 out.append(pd.DataFrame({"query_id": who[part][a], "vec_id": ids[b], "score": score})[nth < k])
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    def run(ask: DataFrame) -> DataFrame:
+    def run(ask: DataFrame, tiles: DataFrame) -> DataFrame:
         keys = ["list", "vs", "qs"]
         left = _tiles(listed, tiles, "vec_id", "vs", "qs")
         right = _tiles(ask, tiles, "query_id", "qs", "vs")
@@ -179,10 +199,20 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, recall: float = 0.97
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    near = run(probes.where("first").withColumn("limit", F.lit(4.0)))
+    asks = good.where("asks").select("vec_id", "v")
+    probes = asks.mapInPandas(probe(False), probed)
+    tiles = tiles_of(probes)
+    near = cut(run(probes.where("first").withColumn("limit", F.lit(4.0)), tiles))
     limits = best(near).groupBy("query_id").agg((2 - 2 * F.min(F.when(F.col("rank") == k, F.col("score"))) + 1e-9).alias("limit"))
     rest = probes.where(~F.col("first")).join(limits, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(4.0)))
-    return best(near.unionByName(run(rest))).select("query_id", "rank", "vec_id", "score")
+    found = cut(best(near.unionByName(run(rest, tiles))))
+    # ids that repeat with many vectors can leave a query short
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = cut(asks.join(full, "vec_id", "left_anti"))
+    if total > k and not short.isEmpty():
+        wide = short.mapInPandas(probe(True), probed)
+        found = best(found.drop("rank").unionByName(run(wide.withColumn("limit", F.lit(4.0)), tiles_of(wide))))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def _tiles(df: DataFrame, tiles: DataFrame, id_name: str, own: str, other: str) -> DataFrame:
