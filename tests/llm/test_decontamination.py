@@ -78,3 +78,36 @@ def test_paraphrases_with_a_quarter_of_the_words_changed(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], BENCH)
     found = {r.doc_id: r.best_item for r in dec.find(docs(spark, texts), bench).collect()}
     assert sum(found[k] == k for k in range(20)) >= 18
+
+
+def test_equals_full_alignment_of_everything(spark):
+    """Against Smith-Waterman over every passage and whole document, without seeds or windows."""
+    from weftgraph.llm import words
+
+    items, texts, _ = table(5)
+    items, texts = items[:20], texts[:120]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], BENCH)
+    got = {r.doc_id: {x.item_id: x.score for x in r["items"]} for r in dec.find(docs(spark, texts), bench).collect()}
+    h = lambda t: words.word_hashes([t.encode()])[0]
+    own = [h(" ".join(w)) for w in items]
+    for i, t in enumerate(texts):
+        full = dec.align(own, [h(t)] * len(own)) if t else np.zeros(len(own))
+        assert all(abs(s - full[k]) < 1e-9 or s < full[k] for k, s in got[i].items())
+        assert {k for k in range(len(own)) if full[k] >= 0.5} <= set(got[i]) <= {k for k in range(len(own)) if full[k] >= 0.4}
+
+
+def test_equal_benchmark_texts_are_the_least_item(spark):
+    items, _, _ = table(6)
+    t = " ".join(items[0])
+    bench = spark.createDataFrame([(9, t), (4, t), (7, t), (4, t)], BENCH)
+    out = dec.find(docs(spark, [t, "x y z"]), bench).collect()
+    assert [(r.best_item, len(r["items"])) for r in sorted(out, key=lambda r: r.doc_id)] == [(4, 1), (None, 0)]
+
+
+def test_keep_by_blocks_gives_the_same(spark, monkeypatch):
+    items, texts, _ = table(2)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], BENCH)
+    df = docs(spark, texts, extra=True)
+    whole = {r.doc_id for r in dec.keep(df, bench).collect()}
+    monkeypatch.setattr(dec, "BLOCK", 1500)
+    assert {r.doc_id for r in dec.keep(df, bench).collect()} == whole

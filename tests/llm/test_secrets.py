@@ -62,6 +62,56 @@ def test_clean_texts_get_nothing_and_p_values_are_uniform(spark):
     assert 0.3 < sum(x > 0.6 for x in p) / len(p) < 0.5 and sum(x < 0.01 for x in p) / len(p) < 0.03
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+KEYS = {"digits": "0123456789", "lower": LETTERS, "UPPER": LETTERS.upper(), "letters": LETTERS + LETTERS.upper(), "hex": "0123456789ABCDEF", "base36": LETTERS + "0123456789", "base62": LETTERS + LETTERS.upper() + "0123456789", "base64": LETTERS + LETTERS.upper() + "0123456789+/", "base64url": LETTERS + LETTERS.upper() + "0123456789-_"}
+
+
+def test_recall_by_encoding_and_context(spark):
+    """From 24 characters on, at least 0.9 of random strings of each encoding and context are found among plain words and paths (0.7 of base64 inside paths)."""
+    rng = random.Random(8)
+    around = {"bare": "the %s of", "path": "see https://host.example/api/v1/files/%s/index for", "prefix": "with ghx_%s here", "quoted": 'is "%s" or', "part": "in a/b-c_d/%s.txt now"}
+    texts, where = [], []
+    for alphabet in KEYS.values():
+        for name, form in around.items():
+            for k in range(60):
+                key = "".join(rng.choice(alphabet) for _ in range(24 + k % 24))
+                texts.append("some plain words " + form % key + " and some_long_name_of_a_thing/in/a/path/of/many/parts")
+                where.append((key, texts[-1].index(key)))
+    got = {r.doc_id: r.spans for r in secrets.scan(docs(spark, texts)).collect()}
+    hit, extra = [], 0
+    for i, (key, at) in enumerate(where):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s]
+        hit.append(2 * sum(max(0, min(b, at + len(key)) - max(a, at)) for a, b in spans) >= len(key))  # a slash can part a key behind a path
+        extra += sum(b <= at or a >= at + len(key) for a, b in spans)
+    per = [sum(hit[k : k + 60]) / 60 for k in range(0, len(hit), 60)]
+    by = dict(zip([(e, c) for e in KEYS for c in around], per, strict=True))
+    low = {k: v for k, v in by.items() if v < (0.7 if k == ("base64", "path") else 0.9)}  # slashes of a key and of its path look the same
+    assert not low and sum(hit) >= 0.95 * len(hit), low
+    assert extra <= 0.05 * len(hit)
+
+
+def test_thresholds_equal_a_plain_count():
+    """The threshold is the least bin edge above which the expected share of others is at most the rate."""
+    rng = random.Random(9)
+    for _ in range(50):
+        random_, other = rng.randrange(0, 200), rng.randrange(0, 400)
+        p = [rng.random() for _ in range(random_)] + [rng.random() ** 8 for _ in range(other)]
+        counts = [sum(int(min(x * secrets.BINS, secrets.BINS - 1)) == b for x in p) for b in range(secrets.BINS)]
+        n = 2 * sum(counts[secrets.BINS // 2 :])
+        want = None
+        for b in range(secrets.BINS):
+            above = sum(counts[b:])
+            if n and max(0, above - n * (1 - b / secrets.BINS) - 2 * (n * (1 - b / secrets.BINS)) ** 0.5) <= 0.05 * max(above, 1):
+                want = b / secrets.BINS
+                break
+        got = secrets.limit_of(counts, 0.05, (0.5,))
+        assert got == want
+
+
+def test_outer_spans():
+    assert secrets.chosen([(5, 9), (0, 10), (10, 12), (10, 12), (11, 30)]) == [(0, 10), (10, 12), (11, 30)]
+
+
 def test_redact_and_empty(spark):
     df = docs(spark, ["a token=abcdefgh b", None, "plain"], extra=True)
     out = {r.doc_id: r for r in secrets.redact(df, {}).collect()}

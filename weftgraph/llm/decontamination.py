@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import words
+from weftgraph.llm.rows import through
+from weftgraph.operators.checkpoints import cut
 
 #: Words of a seed, bytes of a benchmark block (which is broadcast), words of a passage that is aligned at once.
 SEED, BLOCK, PASSAGE = 3, 8 << 20, 128
@@ -63,47 +65,51 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray, text_col: str) -> tupl
     return out, int(rows.n[rows["at"] < 0].sum())
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> list:
-    """Broadcasts of benchmark blocks with their rare seeds; one for each BLOCK bytes of benchmark.
+def items_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """item, t of the benchmark's distinct texts, and in how many blocks of about BLOCK bytes they are read.
+
+    Equal texts are one item, that of the least id. Items without an id or a text are left out.
+    """
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("t")).where("item IS NOT NULL AND t IS NOT NULL").groupBy("t").agg(F.min("item").alias("item"))
+    size = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    return items, max(1, -(-size // BLOCK))
+
+
+def block_of(docs: DataFrame, items: DataFrame, k: int, count: int, text_col: str = "text") -> Block | None:
+    """The k-th of count blocks of the benchmark with its rare seeds; None if it has no seed.
 
     Rarity is what the words' shares of the corpus let expect, not how often the
     seed itself occurs, so that a passage that leaked into many documents keeps
-    its seeds. Items without an id, a text or a seed's words are left out.
+    its seeds.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("binary").alias("t")).where("item IS NOT NULL AND t IS NOT NULL").distinct()
-    size = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    count, out = max(1, -(-size // BLOCK)), []
-    for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(count)) == k).orderBy("item", "t").collect()
-        passages, item_of = [], []
-        for n, r in enumerate(rows):
-            h, _ = words.word_hashes([bytes(r["t"])])
-            cuts = max(1, -(-len(h) // PASSAGE))
-            for p in np.array_split(h, cuts):
-                if len(p) >= SEED:
-                    passages.append(p)
-                    item_of.append(n)
-        if not passages:
-            continue
-        vocabulary = np.unique(np.concatenate(passages))
-        often, total = _frequencies(docs, vocabulary, text_col)
-        share = np.log((often + 1) / (total + 1))
-        keys, of, offset = [], [], []
-        for n, p in enumerate(passages):
-            s = share[np.searchsorted(vocabulary, p)]
-            chance = sum(s[j : len(p) - SEED + 1 + j] for j in range(SEED))
-            order = np.argsort(chance, kind="stable")
-            use = order[: max(LEAST, int((chance <= np.log(RARE)).sum()))]
-            keys.append(words.runs(p, SEED, 41)[use])
-            of.append(np.full(len(use), n))
-            offset.append(use)
-        keys, of, offset = (np.concatenate(x) for x in (keys, of, offset))
-        order = np.argsort(keys, kind="stable")
-        known = np.zeros(1 << 20, bool)
-        known[_slot(keys)] = True
-        out.append(spark.sparkContext.broadcast(Block([r["item"] for r in rows], passages, np.array(item_of), keys[order], of[order], offset[order], known)))
-    return out
+    rows = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(count)) == k).orderBy("item", "t").collect()
+    passages, item_of = [], []
+    for n, r in enumerate(rows):
+        h, _ = words.word_hashes([bytes(r["t"])])
+        cuts = max(1, -(-len(h) // PASSAGE))
+        for p in np.array_split(h, cuts):
+            if len(p) >= SEED:
+                passages.append(p)
+                item_of.append(n)
+    if not passages:
+        return None
+    vocabulary = np.unique(np.concatenate(passages))
+    often, total = _frequencies(docs, vocabulary, text_col)
+    share = np.log((often + 1) / (total + 1))
+    keys, of, offset = [], [], []
+    for n, p in enumerate(passages):
+        s = share[np.searchsorted(vocabulary, p)]
+        chance = sum(s[j : len(p) - SEED + 1 + j] for j in range(SEED))
+        order = np.argsort(chance, kind="stable")
+        use = order[: max(LEAST, int((chance <= np.log(RARE)).sum()))]
+        keys.append(words.runs(p, SEED, 41)[use])
+        of.append(np.full(len(use), n))
+        offset.append(use)
+    keys, of, offset = (np.concatenate(x) for x in (keys, of, offset))
+    order = np.argsort(keys, kind="stable")
+    known = np.zeros(1 << 20, bool)
+    known[_slot(keys)] = True
+    return Block([r["item"] for r in rows], passages, np.array(item_of), keys[order], of[order], offset[order], known)
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
@@ -184,10 +190,11 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, id_col:
     places where a rare run of SEED words is shared are aligned. Items of over
     PASSAGE words are held piece by piece. Ties go to the smaller item id.
 
-    The benchmark is a stated set; it is broadcast in blocks of BLOCK bytes, and
-    the documents pass each block. Null and empty texts have no words and no
-    items. Null ids and repeated rows give a row each; further columns are ignored;
-    an empty benchmark finds nothing; an empty table gives no rows.
+    The benchmark is a stated set; it is broadcast in blocks of BLOCK bytes, one
+    at a time, and the documents pass each block. Equal benchmark texts are one item, that of the least
+    id. Null and empty texts have no words and no items. Null ids and repeated rows
+    give a row each; further columns are ignored; an empty benchmark finds nothing;
+    an empty table gives no rows.
     """
     keys = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("f1"), F.xxhash64(F.lit(9), text_col).alias("f2")]
     schema = "doc_id long, f1 long, f2 long, n_words long, items array<struct<item_id:long,score:double>>"
@@ -206,13 +213,22 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, id_col:
 
         return docs.select(*keys, F.col(text_col).cast("binary").alias("t")).mapInPandas(run, schema)
 
-    parts = [one(b) for b in fit(docs, benchmark, text_col)] or [one(None)]
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out = out.groupBy("doc_id", "f1", "f2").agg(F.count("*").alias("c"), F.max("n_words").alias("n_words"), F.flatten(F.collect_set("items")).alias("items"))
-        out = out.withColumn("c", F.explode(F.sequence(F.lit(1), (F.col("c") / len(parts)).cast("int"))))
+    items, count = items_of(benchmark)
+    if count == 1:
+        block = block_of(docs, items, 0, 1, text_col)
+        out = one(block and docs.sparkSession.sparkContext.broadcast(block))
+    else:
+        hits, names = None, ["doc_id", "f1", "f2"]
+        for k in range(count):
+            if block := block_of(docs, items, k, count, text_col):
+                shared = docs.sparkSession.sparkContext.broadcast(block)
+                part = cut(one(shared).where(F.size("items") > 0).select(*names, "items").distinct())
+                shared.unpersist()
+                hits = part if hits is None else hits.unionByName(part)
+        out = one(None)
+        if hits is not None:
+            hits = hits.groupBy(*names).agg(F.flatten(F.collect_set("items")).alias("found")).withColumnsRenamed({x: f"{x}_" for x in names})
+            out = out.join(hits, (F.col("f1") == F.col("f1_")) & (F.col("f2") == F.col("f2_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_")), "left").withColumn("items", F.coalesce("found", "items"))
     items = F.array_sort("items", lambda a, b: F.when(a["score"] != b["score"], F.signum(b["score"] - a["score"])).otherwise(F.signum(a["item_id"] - b["item_id"])).cast("int"))
     out = out.withColumn("items", items)
     best = F.try_element_at("items", F.lit(1))
@@ -223,18 +239,24 @@ def keep(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, text_col
     """The rows of docs, with all their columns, that hold no benchmark passage."""
     at, out = docs.columns.index(text_col), docs
 
-    def passing(block):
+    def passing(shared):
         def run(it: Iterator) -> Iterator:
             import pyarrow as pa
 
             for batch in it:
                 texts = batch.column(at)
                 texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
-                clean = [not f for _, found in _in_parts(texts, block.value, threshold) for f in found]
+                clean = [not f for _, found in _in_parts(texts, shared.value, threshold) for f in found]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return run
 
-    for block in fit(docs, benchmark, text_col):
-        out = out.mapInArrow(passing(block), docs.schema)
+    items, count = items_of(benchmark)
+    for k in range(count):
+        if block := block_of(docs, items, k, count, text_col):
+            shared = docs.sparkSession.sparkContext.broadcast(block)
+            out = through(out, passing(shared))
+            if count > 1:
+                out = cut(out)
+                shared.unpersist()
     return out

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import boosting, words
+from weftgraph.llm.rows import through
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 8_000
@@ -108,4 +109,4 @@ def keep(docs: DataFrame, model: boosting.Trees, threshold: float = 0.7, text_co
             texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
             yield batch.filter(pa.array(_scores(texts.to_pylist(), model) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return through(docs, run)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.rows import through
 from weftgraph.operators.checkpoints import cut
 
 #: Fixed patterns; kinds in the order in which they are listed.
@@ -20,12 +21,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 _WORDS = ("passw", "secret", "token", "api")
-#: A string is tested from this length on; below, the tests can't tell random from other.
-SHORTEST = 20
+#: Strings are tested from this length on, letters-only and digits-only ones from the second on: below, words and numbers of accounts abound.
+SHORTEST, PLAIN = 16, 20
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
+#: Stretches of a run that one encoding can hold, from the widest.
+_PARTS = [re.compile(r"[%s]{%d,}" % (c, SHORTEST)) for c in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9")]
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings from the narrowest, each with its alphabet in the order of its values.
 ENCODINGS = {
+    "digits": _DIGITS,
+    "lower": _LOWER,
+    "UPPER": _UPPER,
+    "letters": _UPPER + _LOWER,
     "hex": _DIGITS + "abcdef",
     "HEX": _DIGITS + "ABCDEF",
     "base32": _UPPER + "234567",
@@ -35,18 +42,18 @@ ENCODINGS = {
     "base64": _UPPER + _LOWER + _DIGITS + "+/",
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
 }
+_NO_MIX = frozenset(["digits", "lower", "UPPER", "letters"])
 _VALUES = {k: np.array([v.find(chr(c)) for c in range(128)]) for k, v in ENCODINGS.items()}
 _SETS = {k: frozenset(v) for k, v in ENCODINGS.items()}
-#: Bins of p-values in each stratum, and the share of them that tells how many strings are random.
-BINS, UPPER = 200, 0.5
+#: Bins of p-values in each stratum, and the p-values from which on the numbers above tell how many strings are random.
+BINS, UPPER = 200, (0.5, 0.75)
 
 
 def encoding_of(s: str) -> str | None:
-    """The narrowest encoding whose alphabet holds s; None for strings without both letters and digits."""
+    """The narrowest encoding whose alphabet holds s; None for letters or digits alone that are shorter than PLAIN, and if none holds it."""
     held = set(s)
-    if not held & set(_DIGITS) or not held & set(_LOWER + _UPPER):
-        return None
-    return next((k for k, v in _SETS.items() if held <= v), None)
+    found = next((k for k, v in _SETS.items() if held <= v), None)
+    return None if found in _NO_MIX and len(s) < PLAIN else found
 
 
 def _tail(z: float) -> float:
@@ -91,18 +98,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out + [(m.start(), m.end(), 2) for m in HEX.finditer(text)], key=lambda x: (x[0], x[2]))
 
 
-def stratum_of(encoding: str, length: int) -> str:
-    """Encoding and length band; two bands for each doubling."""
-    return f"{encoding}/{min(40, int(2 * math.log2(length)))}"
+def stratum_of(encoding: str, length: int, part: bool = False) -> str:
+    """Encoding and length band, two bands for each doubling; parts of longer runs have bands of their own."""
+    return f"{encoding}/{min(40, int(2 * math.log2(length)))}{'/part' if part else ''}"
 
 
 def tested(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-    """(start, end, stratum, p) of the strings that the battery is applied to; none that a fixed pattern touches."""
+    """(start, end, stratum, p) of the strings that the battery is applied to; none that a fixed pattern touches.
+
+    Separators can belong to an encoding or stand between a path's or a prefix's
+    parts: a run that holds some is tested whole, if an encoding holds it, and
+    each of its long stretches as well, first those that one encoding holds, then
+    those without any separator.
+    """
     out = []
     for m in _RUN.finditer(text):
-        s = m[0].rstrip("=")
-        if (e := encoding_of(s)) and not any(a < m.end() and m.start() < b for a, b, _ in base):
-            out.append((m.start(), m.end(), stratum_of(e, len(s)), battery(s, e)))
+        spans = {(m.start(), m.end())}
+        if not m[0].rstrip("=").isalnum():
+            spans |= {p.span() for form in _PARTS for p in form.finditer(text, m.start(), m.end() - (len(m[0]) - len(m[0].rstrip("="))))}
+        for a, b in sorted(spans):
+            s = text[a:b].rstrip("=")
+            if (e := encoding_of(s)) and not any(x < b and a < y for x, y, _ in base) and (len(s) == b - a or b == m.end()):
+                out.append((a, b, stratum_of(e, len(s), b - a < len(m[0].rstrip("="))), battery(s, e)))
+    return out
+
+
+def chosen(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of spans of which one holds another, the outer ones, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(set(spans), key=lambda x: (x[0], -x[1])):
+        if not out or b > out[-1][1]:
+            out.append((a, b))
     return out
 
 
@@ -133,9 +159,11 @@ def thresholds(inspected: DataFrame, rate: float = 0.05) -> dict[str, float]:
     """For each encoding and length band the p-value from which strings count as random.
 
     In a band the p-values of random strings are uniform and those of others lie
-    near 0, so the upper half tells how many are random. The threshold is the
-    least at which the expected share of others among those above it is at most
-    rate. Only a histogram of a bounded number of bands and bins comes to the
+    near 0, so the upper half tells how many are random. Words' p-values thin out
+    slowly, so letters or digits alone count as the upper quarter tells if that is
+    less. The threshold is the least at which the expected share of others among
+    those above it is at most rate, as far as it goes beyond two standard
+    deviations of chance. Only a histogram of a bounded number of bands and bins comes to the
     driver; it covers all strings of the table.
     """
     bins = F.least(F.floor(F.col("x.p") * BINS), F.lit(BINS - 1)).cast("int")
@@ -143,24 +171,30 @@ def thresholds(inspected: DataFrame, rate: float = 0.05) -> dict[str, float]:
     counts: dict[str, np.ndarray] = {}
     for r in rows:
         counts.setdefault(r["s"], np.zeros(BINS))[r["b"]] = r["n"]
-    out = {}
-    for s, n in counts.items():
-        above = n[::-1].cumsum()[::-1]
-        p = np.arange(BINS) / BINS
-        random = above[int(UPPER * BINS)] / (1 - UPPER)
-        if random:
-            wrong = np.maximum(0, above - random * (1 - p)) / np.maximum(above, 1)
-            out[s] = float(p[int(np.argmax(wrong <= rate))])
-    return out
+    found = {s: limit_of(n, rate, UPPER if s.split("/")[0] in _NO_MIX else UPPER[:1]) for s, n in counts.items()}
+    return {s: x for s, x in found.items() if x is not None}
+
+
+def limit_of(counts: np.ndarray, rate: float, upper: tuple[float, ...]) -> float | None:
+    """The threshold that a histogram of p-values gives; None if nothing looks random."""
+    above = np.asarray(counts, float)[::-1].cumsum()[::-1]
+    random = min(above[int(u * BINS)] / (1 - u) for u in upper)
+    if not random:
+        return None
+    p = np.arange(BINS) / BINS
+    wrong = np.maximum(0, above - random * (1 - p) - 2 * np.sqrt(random * (1 - p))) / np.maximum(above, 1)
+    return float(p[int(np.argmax(wrong <= rate))]) if (wrong <= rate).any() else None
 
 
 def scan(docs: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row.
 
-    spans adds to the fixed patterns' those strings of 20 characters and more, with
-    letters and digits, that pass the randomness battery of their encoding, under
-    control of the share of false ones by length band over the whole table. A band
-    of which nothing looks random adds nothing. Offsets are code points.
+    spans adds to the fixed patterns' those strings of SHORTEST characters and more
+    (PLAIN, of letters or digits alone) that pass the randomness battery of their
+    encoding, under control of the share of false ones by length band over the whole
+    table. A band of which nothing looks random adds nothing. Runs with separators
+    are tested whole and by parts; of spans that hold one another the outer one
+    counts. Offsets are code points.
 
     Null texts are empty: no spans, the hash of nothing. Null ids and repeated rows
     give a row each; further columns are ignored; an empty table gives no rows.
@@ -168,7 +202,10 @@ def scan(docs: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col:
     rows = cut(inspect(docs, id_col, text_col))
     limit = thresholds(rows, rate)
     least = F.create_map(*(x for k, v in sorted(limit.items()) for x in (F.lit(k), F.lit(v)))) if limit else F.lit(None).cast("map<string,double>")
-    more = F.transform(F.filter("tested", lambda x: x["p"] >= F.coalesce(least[x["stratum"]], F.lit(2.0))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(KINDS.index("random")).alias("kind")))
+    passed = F.filter("tested", lambda x: x["p"] >= F.coalesce(least[x["stratum"]], F.lit(2.0)))
+    rows = rows.withColumn("passed", passed)
+    outer = F.filter("passed", lambda x: ~F.exists("passed", lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
+    more = F.transform(outer, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(KINDS.index("random")).alias("kind")))
     order = F.array_sort(F.transform(F.concat("base", more), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     names = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform(order, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -181,7 +218,7 @@ def redact(docs: DataFrame, limit: dict[str, float], mark: str = "[SECRET]", tex
 
     def clean(text: str) -> str:
         base = base_spans(text)
-        spans = sorted([(a, b) for a, b, _ in base] + [(a, b) for a, b, s, p in tested(text, base) if p >= limit.get(s, 2.0)])
+        spans = sorted([(a, b) for a, b, _ in base] + chosen([(a, b) for a, b, s, p in tested(text, base) if p >= limit.get(s, 2.0)]))
         out, done = [], 0
         for a, b in spans:
             if a >= done:
@@ -201,4 +238,4 @@ def redact(docs: DataFrame, limit: dict[str, float], mark: str = "[SECRET]", tex
                 columns[sized] = pa.array([n if a == b else len(b) for n, a, b in zip(batch.column(sized).to_pylist(), old, new, strict=True)], batch.column(sized).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return through(docs, run)
