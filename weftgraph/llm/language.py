@@ -8,12 +8,16 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.llm.quality import held_out
+from weftgraph.operators.checkpoints import cut
 
-#: Documents of each language that its dictionary is drawn from (expected), characters of each, and bytes of the dictionary, at most.
+#: Documents of each language that its dictionary is drawn from, characters of each, and bytes of the dictionary, at most.
 DOCS, CHARS, BYTES = 400, 400, 112 << 10
+#: Languages that are learned, at most: those with most texts.
+LANGUAGES = 1000
 #: Text is encoded in blocks of so many bytes, each from the dictionary alone.
 BLOCK = 2048
 #: Compression level; from about here on the short syllables that tell languages apart are found.
@@ -30,20 +34,21 @@ def letters(text: str) -> bytes:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Raw dictionary contents of each language among the rows outside the held-out fold.
 
-    The sample is bounded: a hash of the row keeps about DOCS documents of a
-    language, and a passage of CHARS characters of each, at a place that the hash
-    gives. Rows without text, language or id are left out.
+    The sample is bounded: of each language's distinct texts those DOCS with the
+    smallest hashes, and a passage of CHARS characters of each, at a place that the
+    hash gives. So a text that many rows repeat counts once, and a language with any
+    text is learned. Rows without text, language or id are left out.
     """
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where(
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("h")).where(
         F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0) & ~held_out(F.col(id_col))
     )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {}
-    rates = docs.sparkSession.createDataFrame([(k, min(1.0, DOCS / n)) for k, n in counts.items()], "lang string, rate double")
-    part = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
+    hashes = cut(rows.select("lang", "h").distinct())
+    most = hashes.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    some = cut(hashes.join(F.broadcast(most), "lang").withColumn("nth", nth).where(F.col("nth") <= DOCS).select("lang", "h"))
     place = F.pmod(F.shiftright("h", 31), F.greatest(F.lit(1), F.length("t") - CHARS)).cast("int") + 1
-    got = rows.join(F.broadcast(rates), "lang").where(part < F.col("rate")).select("lang", "h", F.col("t").substr(place, F.lit(CHARS)).alias("t")).toPandas()
+    passages = rows.join(F.broadcast(some), ["lang", "h"]).select("lang", "h", F.col("t").substr(place, F.lit(CHARS)).alias("t"))
+    got = passages.groupBy("lang", "h").agg(F.min("t").alias("t")).toPandas()
     out = {}
     for lang, own in got.groupby("lang"):
         out[lang] = letters("\n".join(own.sort_values(["h", "t"]).t.drop_duplicates()))[-BYTES:] or b" "
