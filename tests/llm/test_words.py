@@ -51,3 +51,32 @@ def test_packing_round_trips_and_ranges_follow_the_order(keys, numbers, buckets)
 def test_contents_round_trip():
     items = [b"", b"abc", b"\x00" * 1000]
     assert packs.unpack_bytes(*packs.pack_bytes(items)) == items and packs.unpack_bytes(*packs.pack_bytes([])) == []
+
+
+def test_inputs_that_are_no_scans_and_unequal_reads(spark):
+    import random
+
+    import pandas as pd
+    import pytest
+
+    from tests.llm.common import docs, some_texts
+    from weftgraph.llm.stupid_backoff import score
+    from weftgraph.llm.substrings import remove_repeats
+
+    df = docs(spark, some_texts(random.Random(3)))
+    mixed = df.repartition(5, "text").join(spark.range(1000).withColumnRenamed("id", "doc_id"), "doc_id")
+    for f in (remove_repeats, lambda d: score(d).drop("log_score", "mean_log_score")):
+        rows = lambda d: sorted(map(str, f(d).collect()))  # noqa: B023, E731
+        assert rows(mixed) == rows(df)
+    with pytest.raises(RuntimeError):
+        packs.gather(pd.DataFrame({"kind": [packs.ASK], "bucket": [0], "b": [b""]}))
+
+
+def test_chunk_numbers_tell_contents():
+    import pyarrow as pa
+
+    def numbers(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts)), pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["p", "id", "t"])
+        return [n for n, _ in packs.chunks([batch], 2, lambda h: len(h[0]), 10**9)]
+
+    assert numbers([b"a", None]) == numbers([b"a", None]) and len({*numbers([b"a", None]), *numbers([b"a", b""]), *numbers([b"", b"a"])}) == 3

@@ -8,12 +8,15 @@ hold costs one entry a chunk, so no task grows with a hot key, and nothing is
 collected. Ranges are of equal shares of the hash space.
 
 Chunks are made inside one task and travel whole, so a task that is run again
-after an executor is lost replaces its chunks with equal ones as long as the
-input is a scan or a checkpoint.
+after an executor is lost replaces its chunks with equal ones: the input is a
+scan or a checkpoint (stable() sees to it). A chunk's number comes from its place
+and its contents, so chunks that were read differently never meet, and raise.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.words import mix
+from weftgraph.operators.checkpoints import cut
 
-CHUNK = 1_000_000
+#: Words of a chunk on an executor with MEMORY bytes for each Python worker; with more memory as many times more, up to MOST.
+CHUNK, MEMORY, MOST = 1_000_000, 600 << 20, 16
 STATE, ASK = 0, 1
+UNEQUAL = "the input gave other rows when it was read again"
 SCHEMA = "chunk long, bucket int, kind int, a binary, b binary, c binary"
 COLUMNS = ["chunk", "bucket", "kind", "a", "b", "c"]
 U = np.uint64
@@ -68,6 +74,24 @@ def unpack_bytes(data: bytes, lengths: bytes) -> list[bytes]:
     return [raw[e - n : e] for e, n in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)]
 
 
+def chunk_words(df: DataFrame) -> int:
+    """Words of a chunk, as the executors' memory outside the JVM allows. No result depends on it."""
+    conf = df.sparkSession.sparkContext.getConf()
+
+    def size(name: str) -> float:
+        m = re.fullmatch(r"(\d+)([kmgt]?)b?", (conf.get(name) or "0").lower())
+        return int(m[1]) * 1024 ** " kmgt".index(m[2] or "m") if m else 0
+
+    each = size("spark.executor.pyspark.memory") or size("spark.executor.memoryOverhead") / int(conf.get("spark.executor.cores") or 1)
+    return CHUNK * int(min(MOST, max(1, each // MEMORY)))
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df if it is a scan with filters and expressions, else a checkpoint of it: something that reads equal each time."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return cut(df) if re.search(r"Exchange|Join|Aggregate|MapIn|Python|Sample|Limit|Window|Generate|Sort", plan) else df
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Rises with the key."""
     return ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
@@ -97,7 +121,15 @@ def buckets_of(df: DataFrame) -> int:
 
 
 def chunks(batches: Iterator, columns: int, weigh: Callable[[list], int], size: int) -> Iterator[tuple[int, list[list]]]:
-    """(chunk id, its columns) from Arrow batches whose first column is the scan's partition, some size of weight each."""
+    """(chunk number, its columns) from Arrow batches whose first column is the scan's partition, some size of weight each; the last column holds texts."""
+
+    def name() -> int:
+        """From the chunk's place and contents; not negative."""
+        known = hashlib.blake2b(f"{part} {seq} {[None if t is None else len(t) for t in have[-1]]} {have[:-1]}".encode(), digest_size=8)
+        for t in have[-1]:
+            known.update(t or b"")
+        return int.from_bytes(known.digest(), "big") >> 1
+
     part, seq, have, weight = 0, 0, [[] for _ in range(columns)], 0
     for batch in batches:
         at, step = 0, min(256, max(1, size // 4096))
@@ -109,10 +141,10 @@ def chunks(batches: Iterator, columns: int, weigh: Callable[[list], int], size:
             weight += weigh(rows)
             at += step
             if weight >= size:
-                yield (part << 24) + seq, have
+                yield name(), have
                 seq, have, weight = seq + 1, [[] for _ in range(columns)], 0
     if have[0]:
-        yield (part << 24) + seq, have
+        yield name(), have
 
 
 def grouped(df: DataFrame, keys: list[str], fn: Callable[[tuple, pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
@@ -182,7 +214,7 @@ def merged(keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
 
 def ask_table(df: DataFrame, columns: int, weigh: Callable[[list], int], fn: Callable[[int, list[list]], Iterator[tuple]]) -> DataFrame:
     """Rows of SCHEMA that fn(chunk id, columns) gives for each chunk of df; equal chunks each time that df is read."""
-    size = CHUNK
+    size = chunk_words(df)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -199,5 +231,8 @@ def ask_table(df: DataFrame, columns: int, weigh: Callable[[list], int], fn: Cal
 
 def gather(pdf: pd.DataFrame) -> tuple[pd.Series, list[bytes]]:
     """A chunk's state row and its answers in the order of the sorted keys."""
-    state = pdf[pdf.kind == STATE].iloc[0]
+    states = pdf[pdf.kind == STATE]
+    if len(states) != 1:
+        raise RuntimeError(UNEQUAL)
+    state = states.iloc[0]
     return state, pdf[pdf.kind == ASK].sort_values("bucket").b.tolist()

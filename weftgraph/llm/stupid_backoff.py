@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from weftgraph.llm import packs, words
 
 U = np.uint64
-#: N-grams are told apart by the upper 56 bits of their hashes.
-_BITS = U(0xFFFFFFFFFFFFFF00)
 _TOTAL = np.zeros(1, U)
 
 
@@ -23,8 +21,8 @@ def _grams(h: np.ndarray, n: np.ndarray, order: int) -> list[tuple[np.ndarray, n
     out = []
     for k in range(1, order + 1):
         starts = np.flatnonzero(words.inside(n, k))
-        key = words.runs(h, k, 20 + k)[starts] & _BITS if len(starts) else np.empty(0, U)
-        out.append((starts + k - 1, np.where(key == 0, U(256), key)))
+        key = words.runs(h, k, 20 + k)[starts] if len(starts) else np.empty(0, U)
+        out.append((starts + k - 1, np.where(key == 0, U(1), key)))
     return out
 
 
@@ -39,7 +37,8 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
 
     The count table is partitioned by n-gram hash; chunks ask for the counts of
     their distinct n-grams and join them to their documents' own. An n-gram of a
-    third of all places costs an entry a chunk.
+    third of all places costs an entry a chunk. N-grams are told apart by 64-bit
+    hashes: among 10^13 distinct ones, one in two million shares its hash.
 
     Null and empty texts have no words, a sum of 0 and a null mean. Null ids and
     repeated rows give a row each (copies count as other documents); further
@@ -73,6 +72,8 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
         keys = np.sort(np.concatenate([_TOTAL.repeat(min(1, len(h))), *(k for _, k in grams)]))
         keys = keys[np.diff(keys, prepend=U(1)) != 0]
         count = np.concatenate([packs.expand(x, np.int64) for x in answers]) if answers else np.empty(0, np.int64)
+        if len(count) != len(keys):
+            raise RuntimeError(packs.UNEQUAL)
 
         def others(key: np.ndarray, of: np.ndarray) -> np.ndarray:
             """How often the other documents hold each n-gram."""
@@ -108,7 +109,7 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
         out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": n, "log_score": sums, "mean_log_score": mean, "n_backed_off": np.bincount(doc, lost > 0, len(n)).astype(np.int64)})
         yield out
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
+    rows = packs.stable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")))
     weigh = lambda have: sum(len(t or b"") for t in have[1]) // 6
     answers = packs.answer(packs.ask_table(rows, 2, weigh, ask), total)
     out = packs.grouped(packs.ask_table(rows, 2, weigh, keep).unionByName(answers), ["chunk"], finish, "doc_id long, n_words long, log_score double, mean_log_score double, n_backed_off long")

@@ -117,6 +117,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         keys = np.unique(anchor)
         cut = np.bincount(packs.bucket_of(keys, buckets), minlength=buckets)
         flags = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=c) for x, c in zip(answers, cut[cut > 0].tolist(), strict=True)]) if answers else np.zeros(0, np.uint8)
+        if len(flags) != len(keys):
+            raise RuntimeError(packs.UNEQUAL)
         places = places[flags[np.searchsorted(keys, anchor)] > 0] if len(keys) else places
         one, two = _windows(h, places, window)
         who = _order(ids)[words.owners(n)[places]]
@@ -158,7 +160,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         done["doc_id"] = pd.array(done.doc_id, "Int64")
         yield done
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
+    rows = packs.stable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")))
     weigh = lambda have: sum(len(t or b"") for t in have[1]) // 6
     answers = packs.answer(packs.ask_table(rows, 2, weigh, ask), shared)
     candidates = packs.grouped(packs.ask_table(rows, 2, weigh, keep).unionByName(answers), ["chunk"], extend, packs.SCHEMA)
