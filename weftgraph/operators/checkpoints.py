@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the folder that the context has; one of our own only where neither is set, as in tests."""
+    """spark.checkpoint.dir, or the folder that the context has.
+
+    A folder of our own is made only where neither is set and all runs on one
+    machine, as in tests; on a cluster that raises.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftgraph-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weftgraph-"))
     return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 
 
@@ -19,3 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df in folder()."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer read, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

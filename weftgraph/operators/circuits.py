@@ -111,7 +111,11 @@ def bypassed(g: Graph) -> bool:
     return all(any(g.labels[c] in ("R", "C") and set(after[c]) & set(after[n]) for p in before[n] for c in after[p]) for n in cells)
 
 
-def as_text(g: Graph, value: str = "11.11") -> str:
+# Fixed value: what stands for each predecessor's value in the text form.
+VALUE = "11.11"
+
+
+def as_text(g: Graph, value: str = VALUE) -> str:
     """A header with the numbers of nodes (twice) and stages, then for each node its code, number twice, predecessors and values."""
     new, stages = numbered(g)
     before: dict = {k: [] for k in new.values()}

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_EDGE = r"\(((?:\w+,)*\w+):([NT])\)"
-
 
 def edges(rules: DataFrame) -> DataFrame:
-    """rule_id, pos, nodes, is_nonterminal of the edges of rules(rule_id, text), in their order."""
-    names = F.regexp_extract_all("text", F.lit(_EDGE), 1)
-    kinds = F.regexp_extract_all("text", F.lit(_EDGE), 2)
-    pairs = F.posexplode(F.arrays_zip(names.alias("n"), kinds.alias("k"))).alias("pos", "e")
-    return rules.select("rule_id", pairs).select("rule_id", "pos", F.split(F.col("e.n"), ",").alias("nodes"), (F.col("e.k") == "N").alias("is_nonterminal"))
+    """rule_id, pos, nodes, is_nonterminal of the edges of rules(rule_id, text), in their order.
+
+    Edges stand between `)(`, an edge's kind after its colon; what has no kind N or T is no edge.
+    """
+    parts = F.split(F.regexp_replace(F.trim("text"), r"^\(|\)$", ""), r"\)\(")
+    pairs = F.transform(parts, lambda x: F.struct(F.split(F.split_part(x, F.lit(":"), F.lit(1)), ",").alias("nodes"), F.split_part(x, F.lit(":"), F.lit(2)).alias("kind")))
+    known = F.filter(pairs, lambda x: x["kind"].isin("N", "T"))
+    return rules.select("rule_id", F.posexplode(known).alias("pos", "e")).select("rule_id", "pos", F.col("e.nodes").alias("nodes"), (F.col("e.kind") == "N").alias("is_nonterminal"))
 
 
 def symbols(rules: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def derived(g: dict, start: dict, steps: list[int]) -> dict:
     return start
 
 
-# The rules of five small grammars, given by their languages in the literature on hyperedge replacement.
+# Fixed test values: the rules of five small grammars.
 POINT = grammar("S", {"S": 0, "a": None}, [("S", hypergraph(0, 0, [([], "a")]))])
 ABC = grammar(
     "S",
@@ -96,6 +96,7 @@ def house_rules() -> list[Rule]:
     Neighbours of the gray node are joined to the first new node (walls) and the second one (roofs).
     """
     walls = frozenset({("cyan", "blue", "blue", 0, d, d) for d in ("in", "out")} | {("cyan", "green", "green", 1, d, d) for d in ("in", "out")})
+    # Fixed test values: labels, edges and instructions of the three rules.
     start = Rule("black", ("cyan", "cyan", "cyan", "gray"), ((0, 1, "red"), (1, 2, "red"), (1, 3, "blue"), (2, 3, "green")))
     body = ((0, 1, "red"), (1, 2, "red"), (2, 3, "red"), (3, 0, "red"))
     middle = Rule("gray", ("cyan",) * 4 + ("gray",), (*body, (2, 4, "blue"), (3, 4, "green")), walls)

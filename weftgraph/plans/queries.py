@@ -354,7 +354,7 @@ def log_likelihood(spark, sf_dir):
 
 
 @query("""WITH v AS (SELECT label, vec_id, embedding FROM embeddings) SELECT CAST(a.label AS BIGINT) AS label, count(*) AS n_pairs, round(avg(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS mean_distance
-FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 500 AND b.vec_id < 500 GROUP BY 1""")
+FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1""")
 def pairwise_distance(spark, sf_dir):
     v = views.table(spark, sf_dir, "embeddings")
     return metrics.mean_distance(v, "label", "vec_id", "embedding").withColumn("mean_distance", F.round("mean_distance", 6))
@@ -438,15 +438,16 @@ def set_to_key(spark, sf_dir):
     return views.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(identifiers.set_key(F.collect_list("p_size")).cast("array<string>"), ",").alias("key"))
 
 
-@query(f"""WITH {ORDERS}, w AS (SELECT g, i, [CAST(lab = x AS INT) FOR x IN ['A', 'N', 'R']] AS h FROM n WHERE i <= 6), t AS (SELECT g, dst, list(DISTINCT src) AS f FROM e GROUP BY 1, 2)
-SELECT w.g AS graph_id, w.i AS node_id, array_to_string(list_concat(h, [CAST(coalesce(list_contains(f, k), false) AS INT) FOR k IN range(1, 6)]), '') AS row FROM w LEFT JOIN t ON t.g = w.g AND t.dst = w.i""")
+@query(f"""WITH {ORDERS}, m AS (SELECT max(i) AS width FROM n), t AS (SELECT g, dst, list(DISTINCT src) AS f FROM e GROUP BY 1, 2)
+SELECT n.g AS graph_id, n.i AS node_id, array_to_string([CAST(lab = x AS INT) FOR x IN ['A', 'N', 'R']], '') || array_to_string([CAST(coalesce(list_contains(f, k), false) AS INT) FOR k IN range(1, width)], '') AS row
+FROM n CROSS JOIN m LEFT JOIN t ON t.g = n.g AND t.dst = n.i""")
 def node_string(spark, sf_dir):
     g = views.order_graphs(spark, sf_dir)
     return tokens.node_strings(g.nodes, g.edges, ["A", "N", "R"]).withColumn("row", F.array_join(F.col("row").cast("array<string>"), ""))
 
 
-@query("""WITH s AS (SELECT conv_id AS graph_id, list(CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END ORDER BY turn DESC) AS t FROM conversations GROUP BY 1)
-SELECT graph_id, array_to_string(list_concat(t, [9, 9, 9, 9, 9, 9])[1:6], ' ') AS tokens, array_to_string([CAST(k <= len(t) AS INT) FOR k IN range(1, 7)], ' ') AS mask FROM s""")
+@query("""WITH s AS (SELECT conv_id AS graph_id, list(CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END ORDER BY turn DESC) AS t FROM conversations GROUP BY 1), m AS (SELECT max(len(t)) AS width FROM s)
+SELECT graph_id, array_to_string([coalesce(t[k], 9) FOR k IN range(1, width + 1)], ' ') AS tokens, array_to_string([CAST(k <= len(t) AS INT) FOR k IN range(1, width + 1)], ' ') AS mask FROM s CROSS JOIN m""")
 def token_sequences(spark, sf_dir):
     c = views.table(spark, sf_dir, "conversations")
     code = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
@@ -482,12 +483,14 @@ def line_graph(spark, sf_dir):
     return primitives.line_graph(lines.select(F.col("l_orderkey").alias("mol"), F.col("l_linenumber").alias("bond"), F.array(F.col("l_suppkey") % 5, F.col("l_partkey") % 5 + 5).alias("atoms")))
 
 
-@query("""WITH c AS (SELECT o_orderkey AS hg_id, o_custkey % 7 AS arity, o_orderpriority AS form FROM orders WHERE o_orderkey % 3 = 0), r AS (SELECT p_partkey AS rule_id, p_partkey % 7 AS arity, CASE p_size % 2 WHEN 0 THEN '1-URGENT' ELSE '2-HIGH' END AS form, p_size AS count FROM part WHERE p_partkey <= 70),
+@query("""WITH c AS (SELECT o_orderkey AS hg_id, o_custkey % 7 AS arity, o_orderpriority AS form FROM orders),
+r AS (SELECT CAST(p_brand[7:8] AS BIGINT) AS rule_id, p_partkey % 7 AS arity, CASE p_size % 2 WHEN 0 THEN '1-URGENT' ELSE '2-HIGH' END AS form, sum(p_size) AS count FROM part GROUP BY 1, 2, 3),
 m AS (SELECT hg_id, rule_id, count / count(*) OVER (PARTITION BY hg_id, rule_id) AS w FROM c JOIN r USING (arity, form)) SELECT hg_id, CAST(0 AS BIGINT) AS edge, rule_id, round(w / sum(w) OVER (PARTITION BY hg_id), 9) AS weight FROM m""")
 def rule_choices(spark, sf_dir):
+    """A rule for each brand, arity and form of all parts, so that choices grow with the orders alone."""
     o, p = views.table(spark, sf_dir, "orders"), views.table(spark, sf_dir, "part")
     c = o.select(F.col("o_orderkey").alias("hg_id"), F.lit(0).alias("edge"), (F.col("o_custkey") % 7).alias("arity"), F.col("o_orderpriority").alias("form"))
-    r = p.select(F.col("p_partkey").alias("rule_id"), (F.col("p_partkey") % 7).alias("arity"), F.when(F.col("p_size") % 2 == 0, "1-URGENT").otherwise("2-HIGH").alias("form"), F.col("p_size").alias("count"))
+    r = p.groupBy(F.substring("p_brand", 7, 2).cast("int").alias("rule_id"), (F.col("p_partkey") % 7).alias("arity"), F.when(F.col("p_size") % 2 == 0, "1-URGENT").otherwise("2-HIGH").alias("form")).agg(F.sum("p_size").alias("count"))
     return hypergraphs.choices(c, r).withColumn("weight", F.round("weight", 9))
 
 
