@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import decontamination, jaccard, mixing, quality, secrets
-from weftgraph.operators.checkpoints import cut, folder
+from weftgraph.operators.checkpoints import cut, folder, remove
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; the folder between two stages goes when the next one is written, the last one stays for the result."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             at = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
             docs.write.parquet(at)
             docs = spark.read.parquet(at)
+            if before:
+                remove(spark, before)
+            before = at
     return docs
