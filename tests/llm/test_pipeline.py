@@ -28,3 +28,27 @@ def test_stage_columns_and_empty_tables(spark):
         assert stage(spark, docs.limit(0), DIR).count() == 0
         if k < len(corpus_pipeline.STAGES) - 1:
             assert stage(spark, docs, DIR).columns == docs.columns
+
+
+def test_stages_take_clashing_columns_nulls_and_repeats(spark):
+    from tests.llm.common import docs, some_texts
+
+    import random
+
+    df = docs(spark, some_texts(random.Random(1), n=30), extra=True)
+    df = df.unionByName(df.limit(3)).unionByName(df.selectExpr("CAST(NULL AS long) AS doc_id", *(f"`{c}`" for c in df.columns[1:])).limit(2))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, df, DIR)
+        assert (out.columns == df.columns) if k < len(corpus_pipeline.STAGES) - 1 else set(out.columns) >= set(df.columns), name
+        assert out.count() <= df.count()
+
+
+def test_run_leaves_one_folder(spark):
+    import os
+
+    from weftgraph.operators.checkpoints import folder
+
+    at = folder(spark).removeprefix("file:")
+    held = {x for x in os.listdir(at) if x.startswith("pipeline-")}
+    assert corpus_pipeline.run(spark, DIR).count() > 0
+    assert len({x for x in os.listdir(at) if x.startswith("pipeline-")} - held) == 1
