@@ -25,6 +25,8 @@ TILE = 384
 CLOSE = 4
 #: Pairs that are compared at once in a task.
 PAIRS = 1 << 18
+#: Parts of a class where its least id is joined to its entries.
+SALTS = 32
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -285,9 +287,11 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, doubt: float =
     found = cut(packs.by_group(tiled, TILED, similar, "rid long, links long, top long"))
     linked = found.groupBy("rid").agg(F.sum("links").alias("links"))
     tree = components(found.select(F.col("rid").alias("a"), F.col("top").alias("b"))).withColumnRenamed("id", "rid")
-    whole = entries.join(linked, "rid", "left").join(tree, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    least_id = whole.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    whole = cut(whole.join(least_id, "root").select("f1", "f2", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "rid", "root"))
+    whole = cut(entries.join(linked, "rid", "left").join(tree, "rid", "left").withColumn("root", F.coalesce("root", "rid")))
+    # each class has SALTS parts where its least id comes back to its entries
+    least_id = whole.where("links IS NOT NULL").groupBy("root").agg(F.min("copy_id").alias("class_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    whole = whole.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).join(least_id, ["root", "salt"], "left")
+    whole = cut(whole.select("f1", "f2", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "rid", "root"))
     full = all_rows.where("NOT none").join(whole, ["f1", "f2"]).select("doc_id", "f1", "f2", "copy_id", "class_id", "n_links", "rid", "root")
     nulls = all_rows.where("none").select("doc_id", "f1", "f2", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("rid"), F.lit(None).cast("long").alias("root"))
     return full.unionByName(nulls)
