@@ -9,7 +9,7 @@ from weftgraph.plans.queries import QUERIES
 
 DIR = "/root/testdata/sf0.001"
 #: Queries that run jobs while their plan is made.
-LOOPS = {"learn_grammar", "reachability", "geo_leaves", "connected_components", "equal_mass_sample", "zscore_split"}
+LOOPS = {"learn_grammar", "learn_round_trip", "reachability", "geo_leaves", "connected_components", "equal_mass_sample", "zscore_split"}
 
 
 def plan(df):

@@ -91,6 +91,12 @@ def bounds(realised: DataFrame, keys: list[str]) -> DataFrame:
     return realised.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ins")))).alias("lower"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("outs")))).alias("outs"))
 
 
+def first_of_match(realised: DataFrame) -> DataFrame:
+    """The first realisation of each match."""
+    nth = F.row_number().over(W.partitionBy("graph_id", "ism_id").orderBy("dir_id"))
+    return realised.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
 def signatures(realised: DataFrame) -> DataFrame:
     """sig_ins, sig_outs, n_graphs, n_isms: realisations as far as compatibility goes; there are few kinds."""
     return realised.groupBy(F.col("ins").alias("sig_ins"), F.col("outs").alias("sig_outs")).agg(F.countDistinct("graph_id").alias("n_graphs"), F.count("*").alias("n_isms"))

@@ -2,44 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions import identifiers, tokens
 from weftgraph.operators import components, hypergraphs, instructions, matching, metrics, primitives, productions, rewriting, tournaments, traversal
 from weftgraph.plans import fixtures, learning
+from weftgraph.plans.registry import NONTERMINALS, ORDERS, QUERIES, SQL, query
 from weftgraph.sources import files, views
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-NONTERMINALS = ["R"]
-
-#: order_graph in SQL.
-ORDERS = """
-n AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, l_returnflag AS lab FROM lineitem),
-e AS (SELECT a.g, a.i AS src, b.i AS dst, a.lab AS sl, b.lab AS dl FROM n a JOIN n b ON a.g = b.g AND (b.i = a.i + 1 OR b.i = a.i + 2 AND a.lab = b.lab))
-"""
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = lambda spark, sf_dir: _plain(f(spark, sf_dir))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _plain(df: DataFrame) -> DataFrame:
-    """Integers as BIGINT, as in the SQL."""
-    return df.select(*[F.col(f.name).cast("long").alias(f.name) if f.dataType.simpleString() in ("int", "smallint", "tinyint") else F.col(f.name) for f in df.schema])
-
-
 PATH3 = matching.Pattern((None, None, None), ((0, 1, None), (1, 2, None)))
 TRIANGLE = matching.Pattern((None, None, None), ((0, 1, None), (1, 2, None), (0, 2, None)))
 PAIR = matching.Pattern((None, None), ((0, 1, None),))
@@ -190,14 +160,28 @@ def outset(spark, sf_dir):
     return instructions.outset(instructions.surroundings(g, _matches(g)), 2).groupBy("mu", "pos", "d").agg(F.count("*").alias("n_isms"))
 
 
-@query()
+#: Realisations of the matches in SQL: a direction for each class of neighbours, without those whose ins and outs meet.
+REALISED = f"""{AROUND}, c AS (SELECT g, m, y, mu, string_agg(pos || ':' || d || ':black', ',' ORDER BY pos || ':' || d || ':black') AS signature FROM r GROUP BY 1, 2, 3, 4),
+k AS (SELECT g, m, y, mu, dense_rank() OVER (PARTITION BY g, m ORDER BY mu, signature) AS class FROM c),
+w AS (SELECT s.g, s.m, coalesce(max(class), 0) AS n FROM s LEFT JOIN k ON k.g = s.g AND k.m = s.m GROUP BY 1, 2),
+pick AS (SELECT g, m, unnest(range(0, CAST(1 << n AS BIGINT))) AS dir FROM w),
+h AS (SELECT k.*, dir, CASE WHEN (dir >> (class - 1)) & 1 = 1 THEN 'in' ELSE 'out' END AS new FROM k JOIN pick ON pick.g = k.g AND pick.m = k.m),
+i AS (SELECT h.g, h.m, dir, list(DISTINCT h.mu || '|black|black|' || pos || '|' || new || '|' || d) AS ins FROM h JOIN r ON r.g = h.g AND r.m = h.m AND r.y = h.y GROUP BY 1, 2, 3),
+o AS (SELECT h.g, h.m, dir, list(DISTINCT h.mu || '|black|black|' || p.pos || '|' || new || '|' || u.d) AS outs FROM h, (VALUES (0), (1)) AS p(pos), (VALUES ('in'), ('out')) AS u(d)
+      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.g = h.g AND r.m = h.m AND r.y = h.y AND r.pos = p.pos AND r.d = u.d) GROUP BY 1, 2, 3),
+real AS (SELECT pick.g, pick.m, pick.dir, list_sort(coalesce(ins, [])) AS ins, list_sort(coalesce(outs, [])) AS outs FROM pick LEFT JOIN i ON i.g = pick.g AND i.m = pick.m AND i.dir = pick.dir
+         LEFT JOIN o ON o.g = pick.g AND o.m = pick.m AND o.dir = pick.dir WHERE NOT list_has_any(coalesce(ins, []), coalesce(outs, [])))"""
+
+
+@query(f"WITH {REALISED} SELECT array_to_string(ins, ' ') AS ins, array_to_string(outs, ' ') AS outs, CAST(count(DISTINCT g) AS BIGINT) AS n_graphs, count(*) AS n_isms FROM real GROUP BY ins, outs")
 def realisations(spark, sf_dir):
     g = views.order_graphs(spark, sf_dir)
     sig = instructions.signatures(instructions.realisations(g, _matches(g), 2))
     return sig.select(F.array_join("sig_ins", " ").alias("ins"), F.array_join("sig_outs", " ").alias("outs"), "n_graphs", "n_isms")
 
 
-@query()
+@query(f"""WITH {REALISED}, t AS (SELECT DISTINCT md5(array_to_string(ins, ' ') || '/' || array_to_string(outs, ' ')) AS sig, ins, outs FROM real),
+bad AS (SELECT DISTINCT least(a.sig, b.sig) AS a, greatest(a.sig, b.sig) AS b FROM t a JOIN t b ON list_has_any(a.ins, b.outs)) SELECT a, count(*) AS n_conflicts FROM bad GROUP BY 1""")
 def signature_compat(spark, sf_dir):
     g = views.order_graphs(spark, sf_dir)
     sig = instructions.signatures(instructions.realisations(g, _matches(g), 2))
@@ -206,20 +190,26 @@ def signature_compat(spark, sf_dir):
     return bad.groupBy("a").agg(F.count("*").alias("n_conflicts"))
 
 
-@query()
+@query(f"""WITH {REALISED}, f AS (SELECT *, row_number() OVER (PARTITION BY g, m ORDER BY dir) AS nth FROM real), l AS (SELECT DISTINCT unnest(ins) AS x FROM f WHERE nth = 1), u AS (SELECT DISTINCT unnest(outs) AS x FROM f WHERE nth = 1)
+SELECT 'A>N' AS motif, (SELECT string_agg(x, ' ' ORDER BY x) FROM l) AS lower, (SELECT string_agg(x, ' ' ORDER BY x) FROM u) AS outs""")
 def instruction_bounds(spark, sf_dir):
+    """What the first realisation of each match needs and forbids; of one match a rule serves one realisation."""
     g = views.order_graphs(spark, sf_dir)
-    r = instructions.realisations(g, _matches(g), 2).where("dir_id = 0").withColumn("motif", F.lit("A>N"))
+    r = instructions.first_of_match(instructions.realisations(g, _matches(g), 2)).withColumn("motif", F.lit("A>N"))
     b = instructions.bounds(r, ["motif"])
     return b.select("motif", F.array_join("lower", " ").alias("lower"), F.array_join("outs", " ").alias("outs"))
 
 
-@query()
+#: A rule's embedding: the chain goes on before the first node and after the second.
+CHAIN = [f"{mu}|black|black|{p}|{d}|{e}" for mu in "ANR" for p, d, e in ((0, "in", "in"), (1, "out", "out"))]
+
+
+@query(f"""WITH {REALISED}, f AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY m, dir) AS nth FROM real WHERE list_has_all({CHAIN}, ins) AND NOT list_has_any({CHAIN}, outs))
+SELECT g AS graph_id, m AS ism_id, dir AS dir_id FROM f WHERE nth = 1""")
 def compress_one_per_graph(spark, sf_dir):
     g = views.order_graphs(spark, sf_dir)
     r = instructions.realisations(g, _matches(g), 2)
-    rule = [f"{mu}|black|black|{p}|{d}|{e}" for mu in "ANR" for p, d, e in ((0, "in", "in"), (1, "out", "out"))]
-    return rewriting.one_per_graph(instructions.admitted(r, rule)).select("graph_id", "ism_id", "dir_id")
+    return rewriting.one_per_graph(instructions.admitted(r, CHAIN)).select("graph_id", "ism_id", "dir_id")
 
 
 @query(f"""WITH {ORDERS}, k AS (SELECT sl || '>' || dl AS motif, count(DISTINCT g) AS c FROM e GROUP BY 1)
@@ -576,3 +566,6 @@ def derivation_parses(spark, sf_dir):
     edges = g.edges.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "label")).alias("edges"))
     found = all_derivations(nodes.join(edges, "graph_id", "left"), rules, {"gray", "black"})
     return found.select("graph_id", F.size("derivations").alias("n_derivations"), "problem")
+
+
+from weftgraph.plans import file_queries, rule_queries  # noqa: E402, F401  register theirs beside these
