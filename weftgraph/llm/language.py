@@ -43,9 +43,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0) & ~held_out(F.col(id_col))
     )
     hashes = cut(rows.select("lang", "h").distinct())
-    most = hashes.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    some = cut(hashes.join(F.broadcast(most), "lang").withColumn("nth", nth).where(F.col("nth") <= DOCS).select("lang", "h"))
+    most = cut(hashes.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES))
+
+    def smallest(spare: float) -> DataFrame:
+        """The DOCS smallest hashes of each language; only as many are compared as hold them if hashes are spread evenly."""
+        part = (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= DOCS * spare + 50
+        nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+        return hashes.join(F.broadcast(most), "lang").where(part).withColumn("nth", nth).where(F.col("nth") <= DOCS).select("lang", "h")
+
+    some = cut(smallest(2.0))
+    if some.count() < (most.agg(F.sum(F.least("n", F.lit(DOCS)))).first()[0] or 0):
+        some = cut(smallest(float("inf")))
     place = F.pmod(F.shiftright("h", 31), F.greatest(F.lit(1), F.length("t") - CHARS)).cast("int") + 1
     passages = rows.join(F.broadcast(some), ["lang", "h"]).select("lang", "h", F.col("t").substr(place, F.lit(CHARS)).alias("t"))
     got = passages.groupBy("lang", "h").agg(F.min("t").alias("t")).toPandas()
