@@ -1,5 +1,7 @@
 """SQL for the operators that it can express, over whole tables."""
 
+from weftgraph.llm import rules
+
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 SUBSTRING_DEDUP = f"""
@@ -53,3 +55,34 @@ g AS (SELECT doc_id, sum(v + (best - k) * ln(0.4)) AS v, count(*) AS n, count(*)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(g.v, 0), 3) AS log_score, round(g.v / g.n, 6) AS mean_log_score, CAST(coalesce(g.lost, 0) AS BIGINT) AS n_backed_off
 FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
+
+
+def quality_rules(rate: float = 0.05, error: float = 0.05) -> str:
+    """rules.judge over documents and labels, with lgamma for the binomial tails."""
+    notch = lambda r: f"{rules.NOTCHES + 1} - ({' + '.join(f'CAST(v >= {c!r} AS INT)' for c in r.cutoffs())})"
+    first = ", ".join(f"(SELECT {notch(r)} FROM (SELECT CASE WHEN {r.under} > 0 THEN {r.over} / CAST({r.under} AS DOUBLE) ELSE 0.0 END AS v))" for r in rules.RULES)
+    n_rules, n, tuning = len(rules.RULES), rules.NOTCHES, ", ".join(f"'{x}'" for x in rules.TUNING)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, {_WORDS.replace("coalesce(text, '')", "t")} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+win AS (SELECT rid, i, array_to_string(list_slice(w, i, i + 2), ' ') AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM s WHERE len(w) >= 3)),
+twice AS (SELECT rid, x FROM win GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM win JOIN twice USING (rid, x), range(0, 3) AS r(k) GROUP BY rid),
+st AS (SELECT s.rid, doc_id, stratum, md5(t) AS digest, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+  len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(regexp_replace(t, '[^!?]', '', 'g')) AS n_marks, len(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, len(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits
+  FROM s LEFT JOIN covered ON covered.rid = s.rid),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [{first}] AS notches FROM st),
+known AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+texts AS (SELECT stratum, digest, bool_and(good) AS good, any_value(notches) AS notches FROM f JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY 1, 2),
+tuning AS (SELECT stratum, good, unnest(range(1, {n_rules + 1})) AS r, unnest(notches) AS notch FROM texts WHERE substr(digest, 1, 1) IN ({tuning})),
+steps AS (SELECT stratum, r, k, count(*) FILTER (good AND notch <= k) AS g, count(*) FILTER (NOT good AND notch <= k) AS b, count(*) FILTER (good) AS all_g FROM tuning, range(1, {n + 1}) AS x(k) GROUP BY ALL),
+cap AS (SELECT stratum, r, coalesce(min(k) FILTER (b = most), 0) AS cap FROM (SELECT *, max(b) FILTER (b > 0 AND g * {n_rules} <= all_g * {rate}) OVER (PARTITION BY stratum, r) AS most, b > 0 AND g * {n_rules} <= all_g * {rate} AS fits FROM steps) WHERE fits OR k = 1 GROUP BY 1, 2),
+caps AS (SELECT stratum, list(cap ORDER BY r) AS caps FROM cap GROUP BY 1),
+held AS (SELECT stratum, k, count(h.good) AS n, count(h.good) FILTER (len(list_filter(range(1, {n_rules + 1}), lambda i: notches[i] <= least(caps[i], k))) > 0) AS x FROM caps LEFT JOIN (SELECT * FROM texts WHERE good AND substr(digest, 1, 1) NOT IN ({tuning})) h USING (stratum), range(1, {n + 1}) AS y(k) GROUP BY 1, 2),
+tail AS (SELECT *, CASE WHEN n = 0 OR x >= n * {rate} THEN 1.0 ELSE list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate})))) END AS p FROM held),
+plan AS (SELECT stratum, caps, coalesce(min(k) FILTER (p > {error} / (SELECT count(*) FROM caps)) - 1, {n}) AS notch FROM tail JOIN caps USING (stratum) GROUP BY 1, 2),
+ruled AS (SELECT f.*, list_position(list_transform(range(1, {n_rules + 1}), lambda i: notches[i] <= least(caps[i], notch)), true) AS which FROM f LEFT JOIN plan USING (stratum))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(which, 0) = 0 AS kept, nullif(substr(stratum, 2), '') AS stratum, CASE WHEN base_failed THEN 'base' WHEN which > 0 THEN [{", ".join(f"'{r.name}'" for r in rules.RULES)}][which] END AS rejected_by
+FROM ruled
+"""
