@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontamination, jaccard, language, mixing, neighbours, oracles, quality, rules, secrets, stupid_backoff, substrings, tokens
+from weftgraph.llm import decontamination, jaccard, language, mixing, neighbours, oracles, quality, repair, rules, secrets, stupid_backoff, substrings, tokens
 
 #: File of the vocabulary whose tokens op9 counts.
 VOCABULARY = "word_bpe_49k.json"
@@ -66,8 +66,12 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scans, op2_lm_scores, op3_source_mix, op4_substring_dedup, op5_ngram_jaccard, op6_quality, op7_neighbours, op8_decontamination, op9_token_counts, op10_language_id, op12_quality_rules)
+    own = (op1_secret_scans, op2_lm_scores, op3_source_mix, op4_substring_dedup, op5_ngram_jaccard, op6_quality, op7_neighbours, op8_decontamination, op9_token_counts, op10_language_id, op12_quality_rules, op13_conversation_repair)
     return {f.__name__: f for f in own}
 
 
