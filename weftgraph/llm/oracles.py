@@ -57,6 +57,22 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
 
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+RANKED_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) GROUP BY ALL),
+total AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM d WHERE len(w) > 0),
+item AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark WHERE item_id IS NOT NULL),
+df AS (SELECT t, count(*) AS df FROM tf WHERE t IN (SELECT t FROM item) GROUP BY t),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, total),
+size AS (SELECT rid, doc_id, 10 + (90 * len(w) * n_docs) // n_terms AS m FROM d, total),
+scored AS (SELECT item_id, rid, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM item JOIN weight USING (t) JOIN tf USING (t) JOIN size USING (rid) GROUP BY ALL),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def quality_rules(rate: float = 0.05, error: float = 0.05) -> str:
     """rules.judge over documents and labels, with lgamma for the binomial tails."""
     notch = lambda r: f"{rules.NOTCHES + 1} - ({' + '.join(f'CAST(v >= {c!r} AS INT)' for c in r.cutoffs())})"

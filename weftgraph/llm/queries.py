@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontamination, jaccard, language, mixing, neighbours, oracles, quality, repair, rules, secrets, stupid_backoff, substrings, tokens
+from weftgraph.llm import decontamination, jaccard, language, mixing, neighbours, oracles, quality, ranking, repair, rules, secrets, stupid_backoff, substrings, tokens
 
 #: File of the vocabulary whose tokens op9 counts.
 VOCABULARY = "word_bpe_49k.json"
@@ -62,6 +62,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -71,9 +75,9 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scans, op2_lm_scores, op3_source_mix, op4_substring_dedup, op5_ngram_jaccard, op6_quality, op7_neighbours, op8_decontamination, op9_token_counts, op10_language_id, op12_quality_rules, op13_conversation_repair)
+    own = (op1_secret_scans, op2_lm_scores, op3_source_mix, op4_substring_dedup, op5_ngram_jaccard, op6_quality, op7_neighbours, op8_decontamination, op9_token_counts, op10_language_id, op11_ranked_search, op12_quality_rules, op13_conversation_repair)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lm_scores": oracles.LM_SCORES, "op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_ngram_jaccard": oracles.NGRAM_JACCARD, "op12_quality_rules": oracles.quality_rules()}
+    return {"op2_lm_scores": oracles.LM_SCORES, "op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_ngram_jaccard": oracles.NGRAM_JACCARD, "op11_ranked_search": oracles.RANKED_SEARCH, "op12_quality_rules": oracles.quality_rules()}
