@@ -6,7 +6,7 @@ from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import mining
+from weftgraph.operators import cliques, instructions, matching, mining
 from weftgraph.plans.registry import ORDERS, query
 from weftgraph.sources import views
 
@@ -38,3 +38,33 @@ def mined_motifs(spark, sf_dir):
 def top_motifs(spark, sf_dir):
     """The ten motifs that compress the collection most: a top-k report."""
     return mining.top(mining.mine(views.order_graphs(spark, sf_dir), most=3, least=2), 10).select("code", F.col("n_nodes"), "n_edges", "n_matches", "n_graphs", "gain")
+
+
+@query(f"""WITH RECURSIVE {ORDERS}, adj AS (SELECT g, src AS a, dst AS b FROM e UNION SELECT g, dst, src FROM e),
+m AS (SELECT g, src, dst, row_number() OVER (PARTITION BY g ORDER BY md5(g || ':' || src || ':' || dst), src, dst) AS r FROM e),
+near AS (SELECT m.g, r, list(DISTINCT b) AS reach FROM m JOIN adj ON adj.g = m.g AND (adj.a = m.src OR adj.a = m.dst) GROUP BY 1, 2),
+rec(g, r, src, dst, ok, blocked) AS (
+  SELECT g, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false, CAST([] AS BIGINT[]) FROM m WHERE r = 1
+  UNION ALL
+  SELECT m.g, m.r, m.src, m.dst, NOT list_has_any([m.src, m.dst], rec.blocked), CASE WHEN list_has_any([m.src, m.dst], rec.blocked) THEN rec.blocked ELSE list_concat(rec.blocked, near.reach, [m.src, m.dst]) END
+  FROM rec JOIN m ON m.g = rec.g AND m.r = rec.r + 1 JOIN near ON near.g = m.g AND near.r = m.r)
+SELECT g AS graph_id, src, dst FROM rec WHERE ok""")
+def disjoint_matches(spark, sf_dir):
+    """Matches that can be replaced at once: a maximal set of edges of each order graph that don't touch."""
+    g = views.order_graphs(spark, sf_dir)
+    isms = g.edges.select("graph_id", (F.col("src") * 1000 + F.col("dst")).alias("ism_id"), F.array("src", "dst").alias("nodes"))
+    none = F.array().cast("array<string>")
+    free = isms.select("graph_id", "ism_id", F.lit(0).alias("dir_id"), none.alias("ins"), none.alias("outs"))
+    src, dst = F.floor(F.col("ism_id") / 1000), F.col("ism_id") % 1000
+    order = F.struct(F.md5(F.concat_ws(":", "graph_id", src, dst)).alias("h"), "graph_id", "ism_id", "dir_id")
+    chosen = cliques.compatible(free, isms, g, linear=False, priority=order)
+    return chosen.select("graph_id", src.alias("src"), dst.alias("dst"))
+
+
+@query()
+def compatible_realisations(spark, sf_dir):
+    """A maximal set of realisations of one edge A to N, one in each order graph at most, that one rule can serve."""
+    g = views.order_graphs(spark, sf_dir)
+    pairs = matching.match(g, matching.Pattern(("A", "N"), ((0, 1, None),)))
+    isms = pairs.select("graph_id", (F.col("n0") * 1000 + F.col("n1")).alias("ism_id"), F.array("n0", "n1").alias("nodes"))
+    return cliques.best(instructions.realisations(g, isms, 2), isms, g, tries=2).select("graph_id", "ism_id", "dir_id", "ins", "outs")
