@@ -155,8 +155,9 @@ def fit(stats: DataFrame, labels: DataFrame, rate: float = 0.05, error: float =
     caps = points.select("stratum", "rule", F.coalesce(-best["milder"], F.lit(0)).alias("cap"))
     caps = caps.groupBy("stratum").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule", "cap"))), lambda x: x["cap"]).alias("caps"))
 
-    held = rows.where("held AND good").join(caps, "stratum").withColumn("at", first_rejecting(F.col("notches"), F.col("caps")))
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n_good"), *(F.sum((F.col("at") <= k).cast("long")).alias(f"k{k}") for k in range(1, NOTCHES + 1)))
+    # texts that the rules see alike are one row before they meet the caps of their stratum
+    held = rows.where("held AND good").groupBy("stratum", "notches").agg(F.count("*").alias("n")).join(caps, "stratum").withColumn("at", first_rejecting(F.col("notches"), F.col("caps")))
+    counts = held.groupBy("stratum").agg(F.sum("n").alias("n_good"), *(F.sum(F.when(F.col("at") <= k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(1, NOTCHES + 1)))
     strata = caps.join(counts, "stratum", "left").na.fill(0)
     strata = cut(strata.select("stratum", "caps", "n_good", F.array(*(f"k{k}" for k in range(1, NOTCHES + 1))).alias("k")))
     m = max(1, strata.count())
