@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 import re
 
 from tests.llm.common import docs
@@ -117,3 +118,45 @@ def test_redact_and_empty(spark):
     out = {r.doc_id: r for r in secrets.redact(df, {}).collect()}
     assert out[0].text == "a [SECRET] b" and out[0].n_chars == 12 and out[1].text is None and out[2].text == "plain" and out[2].n_chars == 5
     assert secrets.scan(df.limit(0)).collect() == []
+
+
+def test_short_keys_are_decided_by_their_bands(spark):
+    """Keys of 8 to 19 characters among prose: measured shares that are found, with no span on anything else."""
+    rng = random.Random(21)
+    both = LETTERS + LETTERS.upper()
+    kinds = {(a, n): 0 for a in (both + "0123456789", LETTERS + "0123456789") for n in (8, 10, 12, 15, 19)} | {(both, n): 0 for n in (12, 16, 19)}
+    rows, planted = [], []
+    for _ in range(1500):
+        w = ["".join(rng.choice(LETTERS) for _ in range(rng.randrange(2, 12))).capitalize() if rng.random() < 0.2 else "".join(rng.choice(["an", "ti", "on", "er", "es", "re"]) for _ in range(rng.randrange(1, 7))) for _ in range(40)]
+        w += [f"item{rng.randrange(10**6)}", f"{rng.randrange(10**15, 10**16)}", "well-known-thing"]
+        own = {}
+        for a, n in kinds:
+            if rng.random() < 0.04:
+                own["".join(rng.choice(a) for _ in range(n))] = (a, n)
+        w += own
+        rng.shuffle(w)
+        rows.append(" ".join(w))
+        planted.append(own)
+    got = {r.doc_id: r.spans for r in secrets.scan(docs(spark, rows)).collect()}
+    hit, all_, other = {}, {}, 0
+    for i, own in enumerate(planted):
+        found = {rows[i][int(a) : int(b)] for a, b in (s.split(":")[1:] for s in got[i].split(",") if s)}
+        other += len(found - set(own))
+        for key, kind in own.items():
+            all_[kind] = all_.get(kind, 0) + 1
+            hit[kind] = hit.get(kind, 0) + (key in found)
+    share = {kind: hit[kind] / all_[kind] for kind in all_}
+    assert all(v >= (0.5 if kind[1] < 12 else 0.75) for kind, v in share.items()), share
+    assert sum(hit.values()) >= 0.8 * sum(all_.values()) and other <= 0.05 * sum(hit.values())
+
+
+def test_a_text_full_of_keys_takes_time_in_proportion(spark):
+    rng = random.Random(22)
+    keys = [f"token={k:08d}" if k % 3 == 0 else "".join(rng.choice(KEYS["base62"]) for _ in range(20)) for k in range(60_000)]
+    text = " ".join(keys)
+    began = time.perf_counter()
+    r = secrets.scan(docs(spark, [text])).first()
+    assert time.perf_counter() - began < 60
+    assert r.n_assign == 20_000 and r.spans.count("random") > 36_000
+    spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",")]
+    assert spans == sorted(spans) and all(text[a - 1 : a] in ("", " ") and text[b : b + 1] in ("", " ") for a, b in spans)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 _WORDS = ("passw", "secret", "token", "api")
-#: Strings are tested from this length on, letters-only and digits-only ones from the second on: below, words and numbers of accounts abound.
-SHORTEST, PLAIN = 16, 20
+#: Strings are tested from this length on, those with separators and those of digits or of letters in one case alone from the others on:
+#: below, hyphenated words, words and numbers of accounts fill their bands with p-values as spread as those of random strings (of 582
+#: lower-case words of 16 to 22 letters in 4,000 documents, a threshold by band would take 24), so no test of one string tells them apart.
+SHORTEST, MARKED, PLAIN = 8, 16, 20
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
 #: Stretches of a run that one encoding can hold, from the widest.
 _PARTS = [re.compile(r"[%s]{%d,}" % (c, SHORTEST)) for c in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9")]
@@ -49,11 +52,16 @@ _SETS = {k: frozenset(v) for k, v in ENCODINGS.items()}
 BINS, UPPER = 200, (0.5, 0.75)
 
 
+def _plain(s: str) -> bool:
+    return s.isdigit() or s.isalpha() and (s.islower() or s.isupper())
+
+
 def encoding_of(s: str) -> str | None:
-    """The narrowest encoding whose alphabet holds s; None for letters or digits alone that are shorter than PLAIN, and if none holds it."""
+    """The narrowest encoding whose alphabet holds s; None if none does, for digits or letters of one case alone that are shorter than PLAIN, and with separators for what is shorter than MARKED."""
+    if len(s) < PLAIN and _plain(s) or len(s) < MARKED and not s.isalnum():
+        return None
     held = set(s)
-    found = next((k for k, v in _SETS.items() if held <= v), None)
-    return None if found in _NO_MIX and len(s) < PLAIN else found
+    return next((k for k, v in _SETS.items() if held <= v), None)
 
 
 def _tail(z: float) -> float:
@@ -111,14 +119,23 @@ def tested(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
     each of its long stretches as well, first those that one encoding holds, then
     those without any separator.
     """
-    out = []
+    out, ends, starts = [], [], []
+    for x, y, _ in sorted(base):  # the stretches that fixed patterns cover, in order and apart
+        if ends and x < ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            starts.append(x)
+            ends.append(y)
     for m in _RUN.finditer(text):
+        if m.end() - m.start() < PLAIN and _plain(m[0]):
+            continue
         spans = {(m.start(), m.end())}
         if not m[0].rstrip("=").isalnum():
             spans |= {p.span() for form in _PARTS for p in form.finditer(text, m.start(), m.end() - (len(m[0]) - len(m[0].rstrip("="))))}
         for a, b in sorted(spans):
             s = text[a:b].rstrip("=")
-            if (e := encoding_of(s)) and not any(x < b and a < y for x, y, _ in base) and (len(s) == b - a or b == m.end()):
+            k = bisect_right(ends, a)  # the first stretch that ends behind a
+            if (e := encoding_of(s)) and not (k < len(ends) and starts[k] < b) and (len(s) == b - a or b == m.end()):
                 out.append((a, b, stratum_of(e, len(s), b - a < len(m[0].rstrip("="))), battery(s, e)))
     return out
 
@@ -190,7 +207,7 @@ def scan(docs: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row.
 
     spans adds to the fixed patterns' those strings of SHORTEST characters and more
-    (PLAIN, of letters or digits alone) that pass the randomness battery of their
+    (MARKED, with separators; PLAIN, of digits or of letters in one case alone) that pass the randomness battery of their
     encoding, under control of the share of false ones by length band over the whole
     table. A band of which nothing looks random adds nothing. Runs with separators
     are tested whole and by parts; of spans that hold one another the outer one
@@ -201,19 +218,24 @@ def scan(docs: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col:
     """
     rows = cut(inspect(docs, id_col, text_col))
     limit = thresholds(rows, rate)
-    least = F.create_map(*(x for k, v in sorted(limit.items()) for x in (F.lit(k), F.lit(v)))) if limit else F.lit(None).cast("map<string,double>")
-    passed = F.filter("tested", lambda x: x["p"] >= F.coalesce(least[x["stratum"]], F.lit(2.0)))
-    rows = rows.withColumn("passed", passed)
-    outer = F.filter("passed", lambda x: ~F.exists("passed", lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
-    more = F.transform(outer, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(KINDS.index("random")).alias("kind")))
-    order = F.array_sort(F.transform(F.concat("base", more), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    names = F.array(*map(F.lit, KINDS))
-    text = F.array_join(F.transform(order, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            spans = []
+            for base, found in zip(pdf.base, pdf.tested, strict=True):
+                more = chosen([(x["start"], x["end"]) for x in found if x["p"] >= limit.get(x["stratum"], 2.0)])
+                spans.append(_digest([(x["start"], x["end"], x["kind"]) for x in base] + [(a, b, KINDS.index("random")) for a, b in more]))
+            pdf = pdf.drop(columns=["base", "tested"]).assign(spans=spans)
+            yield pdf.assign(doc_id=pdf.doc_id.astype("Int64"))
+
+    return rows.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, limit: dict[str, float], mark: str = "[SECRET]", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
-    """docs with mark in place of each secret, and size_col (if there is one) as the new length of a changed text."""
+    """docs with mark in place of each secret, and size_col (if there is one) as the new length of a changed text.
+
+    Null and empty texts stay as they are, as do repeated rows, null ids and all other columns, whatever their names.
+    """
     at, sized = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None
 
     def clean(text: str) -> str:
