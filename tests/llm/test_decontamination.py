@@ -111,3 +111,37 @@ def test_keep_by_blocks_gives_the_same(spark, monkeypatch):
     whole = {r.doc_id for r in dec.keep(df, bench).collect()}
     monkeypatch.setattr(dec, "BLOCK", 1500)
     assert {r.doc_id for r in dec.keep(df, bench).collect()} == whole
+
+
+def test_common_words_lose_no_copies(spark, monkeypatch):
+    """A vocabulary of 300 words and a quarter of the words changed: against full alignment at least 0.95 is found."""
+    from weftgraph.llm import words
+
+    rng = random.Random(12)
+    vocab = ["c%d" % k for k in range(300)]
+    items = [[rng.choice(vocab) for _ in range(60)] for _ in range(120)]
+    texts = []
+    for item in items:
+        w = [rng.choice(vocab) if rng.random() < 0.25 else x for x in item]
+        texts.append(" ".join([rng.choice(vocab) for _ in range(rng.randrange(200))] + w + [rng.choice(vocab) for _ in range(rng.randrange(200))]))
+    texts += [" ".join(rng.choice(vocab) for _ in range(400)) for _ in range(100)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], BENCH)
+    got = {r.doc_id: {x.item_id for x in r["items"]} for r in dec.find(docs(spark, texts), bench).collect()}
+    h = lambda t: words.word_hashes([t.encode()])[0]
+    own = [h(" ".join(w)) for w in items]
+    full = [dec.align([own[i]], [h(texts[i])])[0] >= 0.4 for i in range(120)]
+    assert sum(full) >= 110 and sum(i in got[i] for i in range(120) if full[i]) >= 0.95 * sum(full)
+    assert sum(bool(got[i]) for i in range(120, 220)) == 0
+    monkeypatch.setattr(dec, "HITS", 50)
+    assert {r.doc_id: {x.item_id for x in r["items"]} for r in dec.find(docs(spark, texts[:40]), bench).collect()} == {i: got[i] for i in range(40)}
+
+
+def test_seeds_kept():
+    import numpy as np
+
+    rare = np.full(58, np.log(1e-9))
+    assert len(dec.seeds_of(rare)) == 58
+    common = np.log(np.linspace(1e-6, 2e-6, 58))
+    kept = sorted(dec.seeds_of(common).tolist())
+    assert 9 <= len(kept) < 58 and sum(b - a >= 3 for a, b in zip([-3, *kept], kept)) >= 1
+    assert len(dec.seeds_of(np.log(np.full(5, 1e-3)))) == 5

@@ -50,9 +50,11 @@ def test_hot_vector_ties_and_tiles(spark, monkeypatch):
 
 def test_recall_with_a_sample_far_smaller_than_the_table(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "SAMPLE", 1200)
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    p = df.toPandas()
-    want = brute(p.vec_id.to_numpy(), np.stack(p.embedding), 50)
+    rng = np.random.default_rng(17)
+    centres = rng.standard_normal((60, 64))
+    x = (centres[rng.integers(0, 60, 10_000)] + 0.7 * rng.standard_normal((10_000, 64))).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(10_000), "embedding": x.tolist(), "label": 0}), SCHEMA).repartition(4)
+    want = brute(np.arange(10_000), x, 50)
     got = result(neighbours.search(df, F.col("vec_id") % 50 == 0))
     hits = [len({a for a, _ in want[q]} & {a for a, _ in got[q]}) / 5 for q in want]
     assert set(got) == set(want) and np.mean(hits) >= 0.9

@@ -16,8 +16,11 @@ from weftgraph.operators.checkpoints import cut
 
 #: Words of a seed, bytes of a benchmark block (which is broadcast), words of a passage that is aligned at once.
 SEED, BLOCK, PASSAGE = 3, 8 << 20, 128
-#: Seeds up to this expected share of all places are rare; each passage keeps its rarest few in any case.
-RARE, LEAST = 1e-8, 4
+#: Seeds up to this expected share of all places are rare and kept; beyond them a passage keeps its rarest until, with EDITED of all words
+#: changed, the chance that none of those apart from each other is left is at most MISSED, or all seeds are kept.
+RARE, EDITED, MISSED = 1e-8, 0.25, 0.01
+#: Hits of seeds that are looked at at once.
+HITS = 1 << 21
 MATCH, MISS, GAP = 2, 1, 1
 U = np.uint64
 
@@ -75,6 +78,20 @@ def items_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "t
     return items, max(1, -(-size // BLOCK))
 
 
+def seeds_of(chance: np.ndarray) -> np.ndarray:
+    """The seeds that a passage keeps, from the logarithms of their expected shares: all rare ones, and as many as MISSED asks for."""
+    order = np.argsort(chance, kind="stable")
+    apart = int(np.ceil(np.log(MISSED) / np.log1p(-((1 - EDITED) ** SEED))))
+    taken, n = np.zeros(len(chance) + SEED, bool), 0
+    for k, at in enumerate(order.tolist()):
+        if n == apart and chance[at] > np.log(RARE):
+            return order[:k]
+        if not taken[at : at + SEED].any():
+            taken[at : at + SEED] = True
+            n += 1
+    return order
+
+
 def block_of(docs: DataFrame, items: DataFrame, k: int, count: int, text_col: str = "text") -> Block | None:
     """The k-th of count blocks of the benchmark with its rare seeds; None if it has no seed.
 
@@ -100,8 +117,7 @@ def block_of(docs: DataFrame, items: DataFrame, k: int, count: int, text_col: st
     for n, p in enumerate(passages):
         s = share[np.searchsorted(vocabulary, p)]
         chance = sum(s[j : len(p) - SEED + 1 + j] for j in range(SEED))
-        order = np.argsort(chance, kind="stable")
-        use = order[: max(LEAST, int((chance <= np.log(RARE)).sum()))]
+        use = seeds_of(chance)
         keys.append(words.runs(p, SEED, 41)[use])
         of.append(np.full(len(use), n))
         offset.append(use)
@@ -144,6 +160,20 @@ def _found(texts: list[bytes], block: Block, threshold: float) -> tuple[np.ndarr
     key = words.runs(h, SEED, 41)
     place = np.flatnonzero(block.filter[_slot(key)] & words.inside(n, SEED)) if len(key) else np.empty(0, np.int64)
     lo, hi = np.searchsorted(block.keys, key[place], "left"), np.searchsorted(block.keys, key[place], "right")
+    many = np.cumsum(hi - lo)
+    ends, edges = np.cumsum(n), [0]
+    while edges[-1] < len(place):  # candidates that two parts share are aligned in both
+        edges.append(max(edges[-1] + 1, int(np.searchsorted(many, (many[edges[-1] - 1] if edges[-1] else 0) + HITS, "right"))))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        who, items, parts = _candidates(block, h, n, ends, place[a:b], lo[a:b], hi[a:b])
+        for (d, item), s in zip(who, align(items, parts).tolist(), strict=True):
+            if s >= threshold:
+                found[d][item] = max(s, found[d].get(item, 0.0))
+    return n, found
+
+
+def _candidates(block: Block, h: np.ndarray, n: np.ndarray, ends: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[list, list, list]:
+    """(text, item), passage and window of words of each candidate that the hits at some places give."""
     hits = np.repeat(np.arange(len(place)), hi - lo)
     seed = np.arange(len(hits)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[hits]
     where, passage = place[hits], block.passage_of[seed]
@@ -158,7 +188,6 @@ def _found(texts: list[bytes], block: Block, threshold: float) -> tuple[np.ndarr
     new[1:] = (doc[1:] != doc[:-1]) | (passage[1:] != passage[:-1]) | (begin[1:] - begin[:-1] > pad[1:])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc))[: len(first)] - 1
-    ends = np.cumsum(n)
     items, parts, who = [], [], []
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
         d = int(doc[a])
@@ -169,10 +198,7 @@ def _found(texts: list[bytes], block: Block, threshold: float) -> tuple[np.ndarr
             items.append(block.passages[passage[a]])
             parts.append(h[max(s, int(ends[d] - n[d])) : min(s + width, stop, int(ends[d]))])
             who.append((d, block.items[block.item_of[passage[a]]]))
-    for (d, item), s in zip(who, align(items, parts).tolist(), strict=True):
-        if s >= threshold:
-            found[d][item] = max(s, found[d].get(item, 0.0))
-    return n, found
+    return who, items, parts
 
 
 def _in_parts(texts: list, block: Block, threshold: float) -> Iterator[tuple[np.ndarray, list[dict]]]:
@@ -187,7 +213,9 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, id_col:
     a benchmark passage scores at least threshold of the best possible: 1 is a
     whole exact copy; with a fifth of the words changed it is about 0.7, with two
     fifths about 0.4. Only
-    places where a rare run of SEED words is shared are aligned. Items of over
+    places where a run of SEED words is shared that the passage keeps as a seed are aligned: all rare
+    ones, and at least so many that a copy with EDITED of its words changed loses them all with a chance of MISSED
+    (all, if a passage is too short for that). Items of over
     PASSAGE words are held piece by piece. Ties go to the smaller item id.
 
     The benchmark is a stated set; it is broadcast in blocks of BLOCK bytes, one
@@ -236,7 +264,11 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, id_col:
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark passage."""
+    """The rows of docs, with all their columns, that hold no benchmark passage.
+
+    Null and empty texts hold none and stay, as do rows with null ids; repeated rows stay or go alike. Columns may
+    have any names. An empty benchmark keeps all.
+    """
     at, out = docs.columns.index(text_col), docs
 
     def passing(shared):

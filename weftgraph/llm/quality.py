@@ -64,7 +64,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     id repeats, each pairing is a row of its own; the bound holds all the same.
     """
     ids = labels.select(F.col(id_col).alias("id"), (F.col(label_col) == 1).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
-    ids = ids.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
+    there = docs.select(F.col(id_col).alias("id")).distinct()  # an id without a document takes no place in the sample
+    ids = ids.join(there, "id", "left_semi").orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(ids), "id")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,7 +99,10 @@ def predict(docs: DataFrame, model: boosting.Trees, threshold: float = 0.7, id_c
 
 
 def keep(docs: DataFrame, model: boosting.Trees, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that the model doesn't reject."""
+    """The rows of docs, with all their columns, that the model doesn't reject.
+
+    Null texts are judged as empty ones; null ids and repeated rows like all others. Columns may have any names.
+    """
     at = docs.columns.index(text_col)
 
     def run(it: Iterator) -> Iterator:
