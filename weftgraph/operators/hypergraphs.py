@@ -46,6 +46,69 @@ def rewrite_first(hg: dict, rule: dict) -> dict:
     return replace(hg, next(k for k, e in enumerate(hg["E"]) if e["label"] == rule["symbol"]), rule["rhs"])
 
 
+def laid(rule: dict, nonterminals: set, labels: list[str], sets: list[frozenset], every: list, edges: frozenset, ext: tuple) -> Iterator[tuple[dict, frozenset]]:
+    """(nodes by name, edges used): the ways to lay a rule's terminal edges on some of edges, with its externals at ext."""
+    rhs = rule["rhs"]
+    terminal = [e for e in rhs["E"] if e["label"] not in nonterminals]
+    inner = [v["id"] for v in rhs["V"] if v["id"] not in rhs["ext"]]
+    outside = set(ext)
+    domain = sorted({n for e in edges for n in sets[e]} - outside) if ext or len(edges) < len(labels) else [n for n in every if n not in outside]
+
+    def nodes(k: int, at: dict, used: frozenset) -> Iterator[tuple[dict, frozenset]]:
+        if k == len(terminal):
+            yield from free([n for n in inner if n not in at], at, used)
+            return
+        want = terminal[k]
+        for e in edges - used:
+            if labels[e] == want["label"] and len(sets[e]) == len(set(want["nodes"])):
+                for more in fits(list(dict.fromkeys(want["nodes"])), sets[e], at):
+                    yield from nodes(k + 1, more, used | {e})
+
+    def fits(names: list, have: frozenset, at: dict) -> Iterator[dict]:
+        if not names:
+            yield at
+            return
+        first, rest = names[0], names[1:]
+        if first in at:
+            if at[first] in have:
+                yield from fits(rest, have - {at[first]}, at)
+            return
+        for n in have:
+            if n not in outside and n not in at.values():
+                yield from fits(rest, have - {n}, {**at, first: n})
+
+    def free(names: list, at: dict, used: frozenset) -> Iterator[tuple[dict, frozenset]]:
+        if not names:
+            yield at, used
+            return
+        for n in domain:
+            if n not in at.values():
+                yield from free(names[1:], {**at, names[0]: n}, used)
+
+    yield from nodes(0, dict(zip(rhs["ext"], ext, strict=True)), frozenset())
+
+
+def parts(sets: list[frozenset], edges: frozenset, cut: set) -> list[tuple[frozenset, frozenset]]:
+    """Edges joined through nodes outside cut, and the cut nodes that each part touches."""
+    left, out = set(edges), []
+    by_node: dict = {}
+    for e in edges:
+        for n in sets[e] - cut:
+            by_node.setdefault(n, []).append(e)
+    while left:
+        part, front = set(), [left.pop()]
+        while front:
+            e = front.pop()
+            part.add(e)
+            for n in sets[e] - cut:
+                for o in by_node[n]:
+                    if o in left:
+                        left.discard(o)
+                        front.append(o)
+        out.append((frozenset(part), frozenset().union(*(sets[e] for e in part)) & cut))
+    return out
+
+
 def derives(grammar: dict, hg: dict, symbol: str | None = None) -> bool:
     """Whether the grammar derives hg from its start symbol, exactly.
 
@@ -62,66 +125,6 @@ def derives(grammar: dict, hg: dict, symbol: str | None = None) -> bool:
         return False
     every = [v["id"] for v in hg["V"]]
 
-    def laid(rule: dict, edges: frozenset, ext: tuple) -> Iterator[tuple[dict, frozenset]]:
-        rhs = rule["rhs"]
-        terminal = [e for e in rhs["E"] if e["label"] not in nonterminals]
-        inner = [v["id"] for v in rhs["V"] if v["id"] not in rhs["ext"]]
-        outside = set(ext)
-        domain = sorted({n for e in edges for n in sets[e]} - outside) if ext or len(edges) < len(labels) else [n for n in every if n not in outside]
-
-        def nodes(k: int, at: dict, used: frozenset) -> Iterator[tuple[dict, frozenset]]:
-            if k == len(terminal):
-                yield from free([n for n in inner if n not in at], at, used)
-                return
-            want = terminal[k]
-            for e in edges - used:
-                if labels[e] == want["label"] and len(sets[e]) == len(set(want["nodes"])):
-                    for more in fits(list(dict.fromkeys(want["nodes"])), sets[e], at):
-                        yield from nodes(k + 1, more, used | {e})
-
-        def fits(names: list, have: frozenset, at: dict) -> Iterator[dict]:
-            if not names:
-                yield at
-                return
-            first, rest = names[0], names[1:]
-            if first in at:
-                if at[first] in have:
-                    yield from fits(rest, have - {at[first]}, at)
-                return
-            for n in have:
-                if n not in outside and n not in at.values():
-                    yield from fits(rest, have - {n}, {**at, first: n})
-
-        def free(names: list, at: dict, used: frozenset) -> Iterator[tuple[dict, frozenset]]:
-            if not names:
-                yield at, used
-                return
-            for n in domain:
-                if n not in at.values():
-                    yield from free(names[1:], {**at, names[0]: n}, used)
-
-        yield from nodes(0, dict(zip(rhs["ext"], ext, strict=True)), frozenset())
-
-    def parts(edges: frozenset, cut: set) -> list[tuple[frozenset, frozenset]]:
-        """Edges joined through nodes outside cut, and the cut nodes that each part touches."""
-        left, out = set(edges), []
-        by_node: dict = {}
-        for e in edges:
-            for n in sets[e] - cut:
-                by_node.setdefault(n, []).append(e)
-        while left:
-            part, front = set(), [left.pop()]
-            while front:
-                e = front.pop()
-                part.add(e)
-                for n in sets[e] - cut:
-                    for o in by_node[n]:
-                        if o in left:
-                            left.discard(o)
-                            front.append(o)
-            out.append((frozenset(part), frozenset().union(*(sets[e] for e in part)) & cut))
-        return out
-
     known: dict[tuple, bool] = {}
     asked: dict[tuple, int] = {}
 
@@ -139,14 +142,14 @@ def derives(grammar: dict, hg: dict, symbol: str | None = None) -> bool:
                 if rule["symbol"] != symbol or len(rule["rhs"]["ext"]) != len(ext):
                     continue
                 buckets = [e for e in rule["rhs"]["E"] if e["label"] in nonterminals]
-                for at, used in laid(rule, edges, ext):
+                for at, used in laid(rule, nonterminals, labels, sets, every, edges, ext):
                     rest = edges - used
                     if not buckets:
                         if not rest:
                             known[key] = True
                             return True, depth
                         continue
-                    split = parts(rest, set(at.values()))
+                    split = parts(sets, rest, set(at.values()))
                     ends = [tuple(at[n] for n in b["nodes"]) for b in buckets]
                     options = [[k for k, own in enumerate(ends) if touched <= set(own)] for _, touched in split]
                     for chosen in product(*options) if all(options) else ():

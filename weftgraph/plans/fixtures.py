@@ -101,3 +101,18 @@ def house_rules() -> list[Rule]:
     body = ((0, 1, "red"), (1, 2, "red"), (2, 3, "red"), (3, 0, "red"))
     middle = Rule("gray", ("cyan",) * 4 + ("gray",), (*body, (2, 4, "blue"), (3, 4, "green")), walls)
     return [start, middle, Rule("gray", ("cyan",) * 4, body, walls)]
+
+
+def palindromes(labels: list[str], joined: str = "black") -> dict:
+    """A grammar of paths whose labels read the same from both ends, grown from the middle outward."""
+    from weftgraph.operators.hypergraphs import hypergraph
+
+    rules = [("S", hypergraph(1, 0, [(["n0"], x)])) for x in labels]
+    for x in labels:
+        out = [(["n0"], x), (["n1"], x), (["n0", "e0"], joined), (["e1", "n1"], joined)]
+        even, more = [(["n0"], x), (["n1"], x), (["n0", "n1"], joined)], [(["n0", "n1"], "P")]
+        rules += [("P", hypergraph(2, 2, out)), ("P", hypergraph(2, 2, out + more)), ("S", hypergraph(2, 0, even)), ("S", hypergraph(2, 0, even + more))]
+        for y in labels:
+            odd = [(["n2"], y), (["n0"], x), (["n1"], x), (["n0", "n2"], joined), (["n2", "n1"], joined)]
+            rules += [("S", hypergraph(3, 0, odd)), ("S", hypergraph(3, 0, odd + more))]
+    return {"N": ["S", "P"], "S": "S", "rules": [{"symbol": s, "rhs": r} for s, r in rules]}

@@ -484,12 +484,6 @@ def rule_choices(spark, sf_dir):
     return hypergraphs.choices(c, r).withColumn("weight", F.round("weight", 9))
 
 
-@query()
-def hrg_membership(spark, sf_dir):
-    cases = [(f"{name}:{k}", g, h) for name, g, tests in fixtures.membership_cases() for k, (h, _) in enumerate(tests)]
-    return hypergraphs.membership(spark.createDataFrame(cases, "id string, grammar string, hg string"))
-
-
 @query()
 def derive_sequences(spark, sf_dir):
     rules = fixtures.house_rules()
@@ -498,11 +492,6 @@ def derive_sequences(spark, sf_dir):
     return rewriting.derive_all(seq, rules, fixtures.NONTERMINALS).select("seq_id", "n_nodes", "n_edges", F.md5("form").alias("form"), "problem")
 
 
-@query()
-def generate_graphs(spark, sf_dir):
-    return rewriting.generate(spark, fixtures.house_rules(), fixtures.NONTERMINALS, 200)
-
-
 @query()
 def legal_masks(spark, sf_dir):
     from weftgraph.operators.masks import masks
@@ -568,4 +557,4 @@ def derivation_parses(spark, sf_dir):
     return found.select("graph_id", F.size("derivations").alias("n_derivations"), "problem")
 
 
-from weftgraph.plans import file_queries, motif_queries, rule_queries  # noqa: E402, F401  register theirs beside these
+from weftgraph.plans import file_queries, hrg_queries, motif_queries, rule_queries  # noqa: E402, F401  register theirs beside these
