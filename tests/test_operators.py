@@ -177,8 +177,21 @@ def test_searches():
 
 
 def test_scores(spark):
-    p = tournaments.strengths([(0, 1, 0.9), (1, 2, 0.9), (0, 2, 0.9)] * 5, 3)
-    assert p[0] > p[1] > p[2] and math.isclose(sum(p), 3)
+    p = tournaments.strengths([(0, 1, 4.5, 0.5), (1, 2, 4.5, 0.5), (0, 2, 4.5, 0.5)], 3)
+    assert p[0] > p[1] > p[2]
+    rng = random.Random(3)
+    games = [(7, *rng.sample(range(6), 2), rng.choice([0.2, 0.5, 0.8])) for _ in range(40)]
+    plain = [1.0] * 6  # the rule game by game
+    for _ in range(100):
+        old = plain[:]
+        for k in range(6):
+            mine = [(s, j) if i == k else (1 - s, i) for _, i, j, s in games if k in (i, j)]
+            if mine:
+                plain[k] = sum(s for s, _ in mine) / sum(s + (1 - s) * plain[o] / plain[k] for s, o in mine)
+        if max(abs(a - b) for a, b in zip(plain, old, strict=True)) < 1e-6:
+            break
+    got = {r.player: r.strength for r in tournaments.bradley_terry(spark.createDataFrame(games, "item long, i long, j long, s double")).collect()}
+    assert all(math.isclose(got[k], plain[k], rel_tol=1e-9) for k in got) and len(got) == len({x for g in games for x in g[1:3]})
     found = spark.createDataFrame([("x", True), ("x", True), ("y", True), ("z", False), ("k", True)], "form string, valid boolean")
     e = metrics.evaluate(found, spark.createDataFrame([("k",)], "form string")).first()
     assert (e.n, e.valid, e.novel, e.unique) == (5, 0.8, 0.6, 0.4)

@@ -10,31 +10,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def strengths(results: list[tuple[int, int, float]], n: int, rounds: int = 100, tolerance: float = 1e-6) -> list[float]:
-    """Bradley-Terry strengths of n players from (i, j, share of i): each is renewed in turn, until none moves much; their sum is n."""
-    wins, met = [0.0] * n, [dict() for _ in range(n)]
-    for i, j, s in results:
-        wins[i] += s
-        wins[j] += 1 - s
-        met[i][j] = met[i].get(j, 0) + 1
-        met[j][i] = met[j].get(i, 0) + 1
+def strengths(results: list[tuple[int, int, float, float]], n: int, rounds: int = 100, tolerance: float = 1e-6) -> list[float]:
+    """Ratings of n players from (i, j, shares that i won of j, shares that j won of i): each is renewed in turn, until none moves much.
+
+    A player's rating becomes the shares it won over the sum of these and, for each opponent, the shares
+    lost times the ratio of the opponent's rating to its own. Ratings aren't rescaled; a player
+    without any share has 0.
+    """
+    lost: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    won = [0.0] * n
+    for i, j, a, b in results:
+        won[i] += a
+        won[j] += b
+        lost[i].append((j, b))
+        lost[j].append((i, a))
     p = [1.0] * n
     for _ in range(rounds):
-        moved = 0.0
+        old = p[:]
         for i in range(n):
-            against = sum(c / (p[i] + p[j]) for j, c in met[i].items() if p[i] + p[j] > 0)
-            new = wins[i] / against if against else p[i]
-            moved, p[i] = max(moved, abs(new - p[i])), new
-        total = sum(p)
-        if total:
-            p = [x * n / total for x in p]
-        if moved < tolerance:
+            if won[i] and p[i]:
+                p[i] = won[i] / (won[i] + sum(x * p[j] for j, x in lost[i]) / p[i])
+            elif lost[i]:
+                p[i] = 0.0
+        if max((abs(x - y) for x, y in zip(p, old, strict=True)), default=0) < tolerance:
             break
     return p
 
 
 def bradley_terry(matches: DataFrame) -> DataFrame:
-    """matches(item, i, j, s): item, player, strength. An item's results are one row while they travel."""
+    """matches(item, i, j, s): item, player, strength.
+
+    Games of a pair are summed before anything travels, so an item's row grows with its
+    pairs of players, not with their games. Renewal goes from player to player, so an item is one task's.
+    """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -42,11 +50,14 @@ def bradley_terry(matches: DataFrame) -> DataFrame:
             for item, found in zip(pdf["item"], pdf.m, strict=True):
                 players = sorted({x[k] for x in found for k in ("i", "j")})
                 at = {p: k for k, p in enumerate(players)}
-                got = strengths(sorted((at[x["i"]], at[x["j"]], x["s"]) for x in found), len(players))
+                got = strengths(sorted((at[x["i"]], at[x["j"]], x["a"], x["b"]) for x in found), len(players))
                 out += [(item, p, s) for p, s in zip(players, got, strict=True)]
             yield pd.DataFrame(out, columns=["item", "player", "strength"])
 
-    return matches.groupBy("item").agg(F.collect_list(F.struct("i", "j", "s")).alias("m")).mapInPandas(run, "item long, player long, strength double")
+    one, two = F.least("i", "j"), F.greatest("i", "j")
+    share = F.when(F.col("i") <= F.col("j"), F.col("s")).otherwise(1 - F.col("s"))
+    pairs = matches.groupBy("item", one.alias("i"), two.alias("j")).agg(F.sum(share).alias("a"), F.sum(1 - share).alias("b"))
+    return pairs.groupBy("item").agg(F.collect_list(F.struct("i", "j", "a", "b")).alias("m")).mapInPandas(run, "item long, player long, strength double")
 
 
 def round_robin(players: DataFrame) -> DataFrame:

@@ -26,12 +26,12 @@ def _through(spark, write, read):
 SELECT DISTINCT graph_id, src, dst FROM (SELECT graph_id, unnest(range(0, n + 1)) AS src, unnest(range(1, n + 2)) AS dst FROM k
 UNION ALL SELECT graph_id, a.i, b.i FROM n a JOIN n b ON a.g = b.g AND a.role = b.role AND a.i <= b.i - 2 JOIN k ON k.g = a.g)""")
 def chains_read(spark, sf_dir):
-    """Conversations as lines of an architecture file, one line each in one file, with a flag where an earlier turn has the same role."""
+    """Conversations as lines of architecture files, one line each in order, with a flag where an earlier turn has the same role."""
     c = views.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("r"))
     code = lambda x: F.when(x == "user", 0).when(x == "assistant", 1).otherwise(2)
     flags = lambda x, i: F.transform(F.slice("r", 1, F.greatest(i - 1, F.lit(0))), lambda y: (y == x).cast("int"))
     lines = c.select("conv_id", F.concat(F.lit("("), F.to_json(F.transform("r", lambda x, i: F.concat(F.array(code(x)), flags(x, i)))), F.lit(", 0.5)")).alias("value"))
-    return _through(spark, lambda at: lines.orderBy("conv_id").coalesce(1).select("value").write.text(at), lambda at: files.read_chains(spark, at, 0)[0].edges.select("graph_id", "src", "dst"))
+    return _through(spark, lambda at: lines.orderBy("conv_id").select("value").write.text(at), lambda at: files.read_chains(spark, at, 0, by_file=False)[0].edges.select("graph_id", "src", "dst"))
 
 
 @query("""WITH n AS (SELECT conv_id AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), k AS (SELECT g, row_number() OVER (ORDER BY g) AS graph_id FROM n GROUP BY 1)
@@ -49,14 +49,14 @@ def molecules_read(spark, sf_dir):
     return _through(spark, lines.write.text, lambda at: files.read_molecules(spark, at).select("smiles"))
 
 
-@query("SELECT CAST(n_nationkey * 10 + 2 AS BIGINT) AS id, n_name AS name FROM nation WHERE n_regionkey = 2")
+@query("SELECT CAST(n_nationkey * 100 + (SELECT max(r_regionkey) FROM region) AS BIGINT) AS id, n_name AS name FROM nation")
 def snapshot_last(spark, sf_dir):
-    """The last of three iterations' tables, one for each of the first regions."""
-    n = views.table(spark, sf_dir, "nation")
+    """The last of several iterations' tables, one for each region; each holds the nations of all regions so far."""
+    n, last = views.table(spark, sf_dir, "nation"), views.table(spark, sf_dir, "region").agg(F.max("r_regionkey")).first()[0]
 
     def write(at):
-        for k in range(3):
-            files.write_snapshot({"nations": n.where(F.col("n_regionkey") == k).select((F.col("n_nationkey") * 10 + k).alias("id"), F.col("n_name").alias("name"))}, at, k)
+        for k in range(last + 1):
+            files.write_snapshot({"nations": n.where(F.col("n_regionkey") <= k).select((F.col("n_nationkey") * 100 + k).alias("id"), F.col("n_name").alias("name"))}, at, k)
 
     return _through(spark, write, lambda at: files.read_snapshot(spark, at, "nations"))
 

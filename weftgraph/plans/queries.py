@@ -371,11 +371,12 @@ def round_robin(spark, sf_dir):
 
 @query()
 def bradley_terry(spark, sf_dir):
-    s = views.table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 4).cast("long").alias("item"), F.col("s_suppkey").alias("player"), "s_acctbal")
-    games = tournaments.round_robin(s.select("item", "player"))
-    bal = s.select("item", F.col("player"), "s_acctbal")
-    m = games.join(bal.withColumnsRenamed({"player": "i", "s_acctbal": "x"}), ["item", "i"]).join(bal.withColumnsRenamed({"player": "j", "s_acctbal": "y"}), ["item", "j"])
-    return tournaments.bradley_terry(m.select("item", "i", "j", F.when(F.col("x") > F.col("y"), 0.8).otherwise(0.2).alias("s")))
+    """For each customer the ratings of its suppliers; those that serve one order meet, and share a game by quantity."""
+    lines = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").cast("double").alias("q"))
+    per = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_suppkey").alias("player"), "q"))).alias("x"))
+    meet = F.flatten(F.transform("x", lambda a: F.transform(F.filter("x", lambda b: b["player"] > a["player"]), lambda b: F.struct(a["player"].alias("i"), b["player"].alias("j"), (a["q"] / (a["q"] + b["q"])).alias("s")))))
+    games = per.select("l_orderkey", F.explode(meet).alias("g")).join(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("long").alias("item")), "l_orderkey")
+    return tournaments.bradley_terry(games.select("item", "g.i", "g.j", "g.s"))
 
 
 @query()

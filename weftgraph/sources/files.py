@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.operators.checkpoints import cut
 from weftgraph.sources.views import Graphs
 
 HYPERGRAPH = "struct<V:array<struct<id:string,label:string,kwargs:map<string,string>>>,E:array<struct<nodes:array<string>,label:string,kwargs:map<string,string>>>,ext:array<string>>"
@@ -56,27 +57,39 @@ def read_node_link(spark: SparkSession, path: str, every: int = 1) -> tuple[Grap
     return Graphs(nodes, edges), df.select("graph_id", F.col("graph").alias("attrs"))
 
 
-def _rows(spark: SparkSession, path: str, skip: int) -> DataFrame:
-    """graph_id, row, y of lines (row, y); graph_id numbers the lines after the skipped ones in each file, by offset."""
+def _numbered(lines: DataFrame, by_file: bool) -> DataFrame:
+    """lines(file, at, ...) with nth: their place in each file, or in all files by name, from 0.
+
+    at rises inside a part of a file that a task reads. Only the parts' sizes are ordered in one
+    place; lines stay where they are read.
+    """
+    lines = lines.withColumn("part", F.shiftright("at", 33))
+    parts = lines.groupBy("file", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = (W.partitionBy("file").orderBy("part") if by_file else W.orderBy("file", "part")).rowsBetween(W.unboundedPreceding, -1)
+    start = parts.select("file", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("start"))
+    return lines.join(F.broadcast(start), ["file", "part"]).withColumn("nth", F.col("at") + F.col("start"))  # a row for each part that a task reads
+
+
+def _rows(spark: SparkSession, path: str, skip: int, by_file: bool = True) -> DataFrame:
+    """graph_id, row, y of lines (row, y); graph_id numbers the lines after the skipped ones in each file, or in all files by name, by offset."""
     lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
-    nth = F.row_number().over(W.partitionBy("file").orderBy("at")) - 1
     body = F.regexp_extract("value", r"^\s*\(\s*(\[.*\])\s*,\s*([-+0-9.eE]+)\s*\)\s*$", 1)
     y = F.regexp_extract("value", r"^\s*\(\s*(\[.*\])\s*,\s*([-+0-9.eE]+)\s*\)\s*$", 2)
-    return lines.withColumn("nth", nth).where(F.col("nth") >= skip).select((F.col("nth") - skip).alias("graph_id"), F.from_json(body, "array<array<int>>").alias("row"), y.cast("double").alias("y"))
+    return _numbered(lines, by_file).where(F.col("nth") >= skip).select((F.col("nth") - skip).alias("graph_id"), F.from_json(body, "array<array<int>>").alias("row"), y.cast("double").alias("y"))
 
 
-def read_chains(spark: SparkSession, path: str, skip: int = 1000) -> tuple[Graphs, DataFrame]:
+def read_chains(spark: SparkSession, path: str, skip: int = 1000, by_file: bool = True) -> tuple[Graphs, DataFrame]:
     """Architectures, a line each: item i is [type, flag for each earlier item but the last]; and graphs(graph_id, acc).
 
     Node 0 is the input and the last one the output; each node follows the one
     before it, and item i follows item j as well if its flag j is set.
     """
-    rows = _rows(spark, path, skip)
+    rows = _rows(spark, path, skip, by_file)
     items = rows.select("graph_id", F.size("row").alias("n"), F.posexplode("row").alias("i", "item"))
     nodes = items.select("graph_id", (F.col("i") + 1).alias("node_id"), (F.col("item")[0] + 2).cast("string").alias("label"))
     ends = rows.select("graph_id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("0").alias("x")), F.struct((F.size("row") + 1).alias("k"), F.lit("1").alias("x")))).alias("e")).select("graph_id", F.col("e.k").alias("node_id"), F.col("e.x").alias("label"))
     chain = rows.select("graph_id", F.explode(F.sequence(F.lit(0), F.size("row"))).alias("src")).select("graph_id", "src", (F.col("src") + 1).alias("dst"))
-    flags = items.select("graph_id", "i", F.posexplode(F.slice("item", 2, 1000)).alias("j", "flag")).where("flag = 1")
+    flags = items.select("graph_id", "i", F.posexplode(F.slice("item", 2, F.size("item"))).alias("j", "flag")).where("flag = 1")
     skips = flags.select("graph_id", (F.col("j") + 1).alias("src"), (F.col("i") + 1).alias("dst"))
     edges = chain.unionByName(skips).distinct().withColumn("label", F.lit("black"))
     return Graphs(nodes.unionByName(ends), edges), rows.select("graph_id", F.col("y").alias("acc"))
@@ -95,7 +108,7 @@ def read_networks(spark: SparkSession, path: str) -> tuple[Graphs, DataFrame]:
     items = rows.select("graph_id", "size", F.posexplode("row").alias("i", "item"))
     nodes = items.select("graph_id", (F.col("i") + 1).alias("node_id"), (F.col("item")[0] + 2).cast("string").alias("label"))
     ends = rows.select("graph_id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("0").alias("x")), F.struct((F.col("size") + 1).alias("k"), F.lit("1").alias("x")))).alias("e")).select("graph_id", F.col("e.k").alias("node_id"), F.col("e.x").alias("label"))
-    inner = items.select("graph_id", "i", F.posexplode(F.slice("item", 2, 1000)).alias("j", "flag")).where("flag = 1").select("graph_id", (F.col("j") + 1).alias("src"), (F.col("i") + 1).alias("dst"))
+    inner = items.select("graph_id", "i", F.posexplode(F.slice("item", 2, F.size("item"))).alias("j", "flag")).where("flag = 1").select("graph_id", (F.col("j") + 1).alias("src"), (F.col("i") + 1).alias("dst"))
     own = nodes.select("graph_id", "node_id")
     top = own.join(inner.select("graph_id", F.col("dst").alias("node_id")), ["graph_id", "node_id"], "left_anti").select("graph_id", F.lit(0).alias("src"), F.col("node_id").alias("dst"))
     last = rows.select("graph_id", "size")
@@ -117,11 +130,17 @@ def read_molecules(spark: SparkSession, path: str, canonical: Column | None = No
 
 
 def motif_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a miner's output lines(at, value): `v id label` and `d u v label` lines; a v line with id 1 starts a block."""
+    """Nodes and edges of a miner's output lines(at, value): `v id label` and `d u v label` lines; a v line with id 1 starts a block.
+
+    Lines are dealt by ranges of at; blocks are numbered inside a range, from where the ranges before it end.
+    """
     kind = F.regexp_extract("value", r"^\s*([vd])\s", 1)
     v = F.regexp_extract("value", r"^\s*v\s+(\d+)\s+(\S+)", 1)
     rows = lines.select("at", "value", kind.alias("kind"), (v == "1").cast("int").alias("new")).where("kind <> ''")
-    rows = rows.withColumn("graph_id", F.sum("new").over(W.orderBy("at")))
+    rows = cut(rows.repartitionByRange("at").withColumn("part", F.spark_partition_id()))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    start = rows.groupBy("part").agg(F.sum("new").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rows = rows.join(F.broadcast(start), "part").withColumn("graph_id", F.col("start") + F.sum("new").over(W.partitionBy("part").orderBy("at")))
     nodes = rows.where("kind = 'v'").select("graph_id", F.regexp_extract("value", r"v\s+(\d+)", 1).cast("int").alias("node_id"), F.regexp_extract("value", r"v\s+\d+\s+(\S+)", 1).alias("label"))
     part = lambda k: F.regexp_extract("value", r"d\s+(\d+)\s+(\d+)\s*(\S*)", k)
     return nodes, rows.where("kind = 'd'").select("graph_id", part(1).cast("int").alias("src"), part(2).cast("int").alias("dst"), F.lit("black").alias("label"))
