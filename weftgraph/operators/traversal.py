@@ -120,7 +120,12 @@ def graph_hash(g: Graphs, rounds: int = 2) -> DataFrame:
 
 
 def canonical(labels: dict, edges: list, marked: tuple = ()) -> str:
-    """A string that two labelled directed graphs share if and only if they are isomorphic (marked nodes on marked nodes).
+    """A string that two labelled directed graphs share if and only if they are isomorphic (marked nodes on marked nodes)."""
+    return canonical_order(labels, edges, marked)[0]
+
+
+def canonical_order(labels: dict, edges: list, marked: tuple = ()) -> tuple[str, list]:
+    """canonical(), and the nodes in the order that it stands for: nodes at equal places of equal strings are the images of each other.
 
     Colours are refined by those of neighbours; where a colour class has several
     nodes, each is tried as its first and the least string wins.
@@ -142,7 +147,7 @@ def canonical(labels: dict, edges: list, marked: tuple = ()) -> str:
                 return new
             colour = new
 
-    def best(colour: dict) -> str:
+    def best(colour: dict) -> tuple[str, list]:
         colour = refine(colour)
         classes: dict = {}
         for n, c in colour.items():
@@ -150,8 +155,8 @@ def canonical(labels: dict, edges: list, marked: tuple = ()) -> str:
         several = next((c for c in sorted(classes) if len(classes[c]) > 1), None)
         if several is None:
             nodes = sorted(colour, key=colour.get)
-            return ";".join(f"{labels[n]}{'*' * (n in marked)}" for n in nodes) + "/" + ";".join(sorted(f"{colour[a]}>{colour[b]}:{x or ''}" for a, b, x in edges))
-        return min(best(numbered({n: (c, n != one) for n, c in colour.items()})) for one in classes[several])
+            return ";".join(f"{labels[n]}{'*' * (n in marked)}" for n in nodes) + "/" + ";".join(sorted(f"{colour[a]}>{colour[b]}:{x or ''}" for a, b, x in edges)), nodes
+        return min((best(numbered({n: (c, n != one) for n, c in colour.items()})) for one in classes[several]), key=lambda x: x[0])
 
     return best(numbered({n: (str(labels[n]), n in marked) for n in labels}))
 
@@ -161,6 +166,24 @@ def canonical_forms(g: Graphs) -> DataFrame:
     return per_graph(g, lambda n, e: iter([(canonical(n, e),)]), "form string")
 
 
+def canonical_places(g: Graphs) -> DataFrame:
+    """graph_id, form, node_id, place: the canonical string of each graph, and where in it each node stands."""
+
+    def run(labels: dict, edges: list) -> Iterator[tuple]:
+        form, order = canonical_order(labels, edges)
+        yield from ((form, n, k) for k, n in enumerate(order))
+
+    return per_graph(g, run, "form string, node_id long, place int")
+
+
+def aligned(places: DataFrame) -> DataFrame:
+    """graph_id, first, node_id, image: each node's image in the first graph of its form, by canonical_places()."""
+    first = places.groupBy("form").agg(F.min("graph_id").alias("first"))
+    mine = places.join(first, "form")
+    image = mine.where(F.col("graph_id") == F.col("first")).select("form", "place", F.col("node_id").alias("image"))
+    return mine.join(image, ["form", "place"]).select("graph_id", "first", "node_id", "image")
+
+
 def unrolled_hash(labels: dict, edges: list) -> str:
     """SHA-256 of the trees below all roots. Not complete: shared and repeated subtrees look alike. Needs a DAG."""
     after: dict = {n: [] for n in labels}

@@ -558,4 +558,4 @@ def derivation_parses(spark, sf_dir):
     return found.select("graph_id", F.size("derivations").alias("n_derivations"), "problem")
 
 
-from weftgraph.plans import file_queries, hrg_queries, motif_queries, rule_queries  # noqa: E402, F401  register theirs beside these
+from weftgraph.plans import change_queries, file_queries, hrg_queries, motif_queries, rule_queries  # noqa: E402, F401  register theirs beside these
