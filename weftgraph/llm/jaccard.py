@@ -308,6 +308,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str
     chosen = made.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("rid", "doc_id", "f1", "f2")).alias("e"), F.count("*").alias("times"))
     chosen = cut(chosen.select("e.doc_id", "e.f1", "e.f2", "times"))
     named = docs.where(F.col(text_col).isNotNull()).select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("f1"), F.xxhash64(F.lit(9), text_col).alias("f2"), F.col(id_col).cast("long").alias("id"))
+    chosen = chosen.hint("merge")  # it grows with the corpus: never broadcast, whatever size is guessed
     kept = named.join(chosen, (named.f1 == chosen.f1) & (named.f2 == chosen.f2) & named.id.eqNullSafe(chosen.doc_id)).select("row", named.f1, named.f2, "id", "times")
     single = kept.where("times = 1").select("row.*")
     several = kept.where("times > 1").groupBy("f1", "f2", "id").agg(F.first("row").alias("row")).select("row.*")
