@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.common import docs
-from weftgraph.llm import decontamination, jaccard, language, mixing, quality, secrets, stupid_backoff, substrings, tokens
+from weftgraph.llm import decontamination, jaccard, language, mixing, quality, rules, secrets, stupid_backoff, substrings, tokens
 
 TABLES = {
     "nulls": ([None] * 5, [None] * 5),
@@ -31,10 +31,11 @@ def operators(spark):
         "decontamination": lambda d: decontamination.find(d, bench),
         "tokens": lambda d: tokens.token_counts(d, public_tokenizers.path("word_bpe_49k.json")),
         "language": lambda d: language.predict(d, language.fit(d)),
+        "rules": lambda d: rules.judge(d, labels),
     }
 
 
-@pytest.mark.parametrize("name", ["secrets", "scores", "mix", "substrings", "jaccard", "quality", "decontamination", "tokens", "language"])
+@pytest.mark.parametrize("name", ["secrets", "scores", "mix", "substrings", "jaccard", "quality", "decontamination", "tokens", "language", "rules"])
 def test_every_row_has_a_result(spark, name):
     f = operators(spark)[name]
     for table, (texts, ids) in TABLES.items():
