@@ -547,6 +547,23 @@ def equal_mass_sample(spark, sf_dir):
 @query()
 def derivation_parses(spark, sf_dir):
     from weftgraph.operators.derivations import all_derivations
+
+    graphs, rules = _turn_grammar(spark, sf_dir)
+    found = all_derivations(graphs, rules, {"gray", "black"})
+    return found.select("graph_id", F.size("derivations").alias("n_derivations"), "problem")
+
+
+@query("""SELECT conv_id AS graph_id, CAST(CASE WHEN count(*) > 1 AND min_by(role, turn) = 'user' AND bool_and(role IN ('user', 'assistant')) THEN 1 ELSE 0 END AS BIGINT) AS n_derivations
+FROM conversations GROUP BY 1""")
+def derivation_counts(spark, sf_dir):
+    """The number of derivations of each conversation as a chain of turns, which a user begins."""
+    from weftgraph.operators import frontier
+
+    return frontier.derivation_counts(*_turn_grammar(spark, sf_dir), {"gray", "black"})
+
+
+def _turn_grammar(spark, sf_dir):
+    """Conversations as rows, and rules that make chains turn by turn."""
     from weftgraph.operators.rewriting import Rule
 
     emb = frozenset({("user", "black", "black", 0, "in", "in"), ("assistant", "black", "black", 0, "in", "in")})
@@ -554,8 +571,7 @@ def derivation_parses(spark, sf_dir):
     g = views.conversation_graphs(spark, sf_dir)
     nodes = g.nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "label")).alias("nodes"))
     edges = g.edges.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "label")).alias("edges"))
-    found = all_derivations(nodes.join(edges, "graph_id", "left"), rules, {"gray", "black"})
-    return found.select("graph_id", F.size("derivations").alias("n_derivations"), "problem")
+    return nodes.join(edges, "graph_id", "left"), rules
 
 
 from weftgraph.plans import change_queries, file_queries, hrg_queries, motif_queries, rule_queries  # noqa: E402, F401  register theirs beside these
