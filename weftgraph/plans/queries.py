@@ -574,4 +574,4 @@ def _turn_grammar(spark, sf_dir):
     return nodes.join(edges, "graph_id", "left"), rules
 
 
-from weftgraph.plans import change_queries, file_queries, hrg_queries, motif_queries, rule_queries  # noqa: E402, F401  register theirs beside these
+from weftgraph.plans import change_queries, circuit_queries, file_queries, hrg_queries, motif_queries, rule_queries  # noqa: E402, F401  register theirs beside these
