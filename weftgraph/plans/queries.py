@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions import identifiers, tokens
@@ -455,11 +456,11 @@ def geo_leaves(spark, sf_dir):
     return up.groupBy(F.col("src").alias("root")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT p_size AS a, p_size - p_size % 7 AS b FROM part), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
-SELECT CAST(a AS BIGINT) AS id, CAST(min(b) AS BIGINT) AS root FROM r WHERE a IN (SELECT a FROM u WHERE a <> b) GROUP BY 1""")
+@query("""SELECT o_orderkey AS id, min(o_orderkey) OVER (PARTITION BY o_custkey) AS root FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)""")
 def connected_components(spark, sf_dir):
-    s = F.col("p_size").cast("long")
-    return components.components(views.table(spark, sf_dir, "part").select(s.alias("a"), (s - s % 7).alias("b")))
+    """Orders linked to the same customer's next one: a chain for each customer."""
+    after = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return components.components(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), after.alias("b")))
 
 
 @query("""WITH f AS (SELECT p_partkey, p_brand, p_type, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS k FROM part) SELECT p_partkey, p_brand, p_type FROM f WHERE k = 1""")
@@ -485,21 +486,41 @@ def rule_choices(spark, sf_dir):
     return hypergraphs.choices(c, r).withColumn("weight", F.round("weight", 9))
 
 
-@query()
+@query("""WITH s AS (SELECT l_orderkey AS seq_id, count(*) AS n, string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS form FROM lineitem GROUP BY 1)
+SELECT seq_id, n AS n_nodes, n - 1 AS n_edges, min(seq_id) OVER (PARTITION BY form) AS first, CAST(NULL AS VARCHAR) AS problem FROM s""")
 def derive_sequences(spark, sf_dir):
-    rules = fixtures.house_rules()
-    turns = views.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    seq = turns.select(F.col("conv_id").alias("seq_id"), F.concat(F.array(F.lit(0)), F.array_repeat(F.lit(1), (F.col("n") % 4).cast("int")), F.array(F.lit(2))).alias("rules"))
-    return rewriting.derive_all(seq, rules, fixtures.NONTERMINALS).select("seq_id", "n_nodes", "n_edges", F.md5("form").alias("form"), "problem")
+    """Each order's chain of flags derived by its rules; first is the least order that the same graph came from."""
+    made = rewriting.derive_all(_flag_sequences(spark, sf_dir), _flag_rules(), fixtures.NONTERMINALS)
+    first = made.groupBy("form").agg(F.min("seq_id").alias("first"))
+    return made.join(first, "form").select("seq_id", "n_nodes", "n_edges", "first", "problem")
 
 
-@query()
+@query("""SELECT l_orderkey AS id, array_to_string([CASE k // 3 WHEN 0 THEN n = 1 WHEN 1 THEN n > 1 AND n <> 8 WHEN 2 THEN n > 1 ELSE n = 1 END FOR k IN range(12)], ',') AS mask
+FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)""")
 def legal_masks(spark, sf_dir):
+    """Which rules can make each order's last line, where the eighth one must be the last."""
     from weftgraph.operators.masks import masks
 
-    turns = views.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    states = turns.select(F.col("conv_id").alias("id"), F.slice(F.array(F.lit(0), F.lit(1), F.lit(1), F.lit(2)), 1, (F.col("n") % 5).cast("int")).alias("rules"))
-    return masks(states, fixtures.house_rules(), fixtures.NONTERMINALS).withColumn("mask", F.array_join(F.col("mask").cast("array<string>"), ","))
+    states = _flag_sequences(spark, sf_dir).select(F.col("seq_id").alias("id"), F.slice("rules", F.lit(1), F.size("rules") - 1).alias("rules"))
+    return masks(states, _flag_rules(), fixtures.NONTERMINALS, most=8).withColumn("mask", F.array_join(F.col("mask").cast("array<string>"), ","))
+
+
+def _flag_rules():
+    """Rules 0 to 2 begin a chain with A, N or R, 3 to 5 go on, 6 to 8 end it, 9 to 11 are chains of one."""
+    from weftgraph.operators.rewriting import Rule
+
+    emb = frozenset((x, "black", "black", 0, "in", "in") for x in "ANR")
+    step = ((0, 1, "black"),)
+    return [Rule(s, (x, *more), step if more else (), e) for s, more, e in (("black", ("gray",), frozenset()), ("gray", ("gray",), emb), ("gray", (), emb), ("black", (), frozenset())) for x in "ANR"]
+
+
+def _flag_sequences(spark, sf_dir):
+    """seq_id, rules: how the rules make each order's lines, one after the other."""
+    g = views.order_graphs(spark, sf_dir)
+    labels = g.nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "label"))).alias("x"))
+    n = F.size("x")
+    kind = lambda i: F.when(n == 1, 9).when(i == 0, 0).when(i == n - 1, 6).otherwise(3)
+    return labels.select(F.col("graph_id").alias("seq_id"), F.transform("x", lambda v, i: kind(i) + F.locate("R", v["label"]) * 2 + F.locate("N", v["label"])).alias("rules"))
 
 
 @query()
@@ -562,6 +583,21 @@ def derivation_counts(spark, sf_dir):
     return frontier.derivation_counts(*_turn_grammar(spark, sf_dir), {"gray", "black"})
 
 
+@query("""WITH c AS (SELECT conv_id AS graph_id, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1 AND min_by(role, turn) = 'user' AND bool_and(role IN ('user', 'assistant')))
+SELECT graph_id, '0' || repeat(',5', CAST((n - 2 - n % 2) // 2 AS INT)) || CASE WHEN n % 2 = 0 THEN ',3' ELSE ',7' END AS rules, CAST(1 AS BIGINT) AS n_left FROM c""")
+def unambiguous_derivations(spark, sf_dir):
+    """Conversations under rules that add one turn or two, and the derivation each has once the grammar is made unambiguous."""
+    from weftgraph.operators import ambiguity
+    from weftgraph.operators.derivations import all_derivations
+    from weftgraph.operators.rewriting import Rule
+
+    graphs, rules = _turn_grammar(spark, sf_dir)
+    step = rules[1].embedding
+    two = [Rule("gray", ("assistant", "user", "gray"), ((0, 1, "black"), (1, 2, "black")), step), Rule("gray", ("user", "assistant", "gray"), ((0, 1, "black"), (1, 2, "black")), step), Rule("gray", ("assistant", "user"), ((0, 1, "black"),), step)]
+    _, kept = ambiguity.deletions(ambiguity.listed(all_derivations(graphs, rules + two, {"gray", "black"})))
+    return kept.select("graph_id", F.array_join(F.col("rules").cast("array<string>"), ",").alias("rules"), "n_left")
+
+
 def _turn_grammar(spark, sf_dir):
     """Conversations as rows, and rules that make chains turn by turn."""
     from weftgraph.operators.rewriting import Rule

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import identifiers
 from weftgraph.operators import instructions, matching, primitives, rewriting, rules, traversal
-from weftgraph.plans import embedded, fixtures
+from weftgraph.plans import embedded
 from weftgraph.plans.registry import ORDERS, query
 from weftgraph.sources import views
 
@@ -59,13 +59,14 @@ def closure_changed(spark, sf_dir):
     return rules.reclosed(traversal.closure(g.edges), primitives.without(g, gone).edges, gone)
 
 
-@query("""WITH c AS (SELECT conv_id AS g, count(*) % 4 AS k FROM conversations GROUP BY 1) SELECT g AS graph_id, CAST(1 AS BIGINT) AS level, CAST(4 + 6 * k + 4 AS BIGINT) AS n_edges FROM c UNION ALL SELECT g, 2, CAST(k + 1 AS BIGINT) FROM c""")
+@query("""WITH c AS (SELECT l_orderkey AS g, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1) SELECT g AS graph_id, k AS level, n - 1 AS n_edges FROM c, (VALUES (CAST(1 AS BIGINT)), (2)) v(k)""")
 def parse_graphs(spark, sf_dir):
-    table = [(k, list(r.labels), [{"a": a, "b": b, "x": x} for a, b, x in r.edges]) for k, r in enumerate(fixtures.house_rules())]
+    """The parse graphs of the orders' chains: edges inside right-hand sides, and from nonterminals to what replaced them."""
+    from weftgraph.plans.queries import _flag_rules, _flag_sequences
+
+    table = [(k, list(r.labels), [{"a": a, "b": b, "x": x} for a, b, x in r.edges]) for k, r in enumerate(_flag_rules())]
     rhs = spark.createDataFrame(table, "rule_id int, labels array<string>, edges array<struct<a:int,b:int,x:string>>")
-    turns = views.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    seq = F.concat(F.array(F.lit(0)), F.array_repeat(F.lit(1), (F.col("n") % 4).cast("int")), F.array(F.lit(2)))
-    steps = turns.select(F.col("conv_id").alias("graph_id"), F.posexplode(seq).alias("seq", "rule_id"))
+    steps = _flag_sequences(spark, sf_dir).select(F.col("seq_id").alias("graph_id"), F.posexplode("rules").alias("seq", "rule_id"))
     return rules.parse_graph(steps, rhs)[1].groupBy("graph_id", "level").agg(F.count("*").alias("n_edges"))
 
 
