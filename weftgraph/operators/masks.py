@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from weftgraph.operators.checkpoints import cut
 from weftgraph.operators.rewriting import Graph, Rule, apply, connected
 
 
@@ -100,6 +102,43 @@ def masks(states: DataFrame, rules: list[Rule], nonterminals: set[str], most: in
     return states.select("id", "rules").mapInPandas(run, "id long, mask array<boolean>")
 
 
+def decode(states: DataFrame, rules: list[Rule], nonterminals: set[str], weights: DataFrame, most: int = 20, seed: int | None = None) -> DataFrame:
+    """id, rules, ended: states(id, rules ARRAY<INT> so far) continued a rule a round, by weights and only where masks() allows it.
+
+    weights(last, rule, weight) say how well a rule follows the last one (null: none yet). Without a seed the
+    greatest weight of the legal rules wins, ties to the lesser rule; with one a legal rule
+    is drawn in proportion to its weight, by a hash of seed, id and step, so
+    that reruns agree. Rules without a positive weight are never taken. ended is false where
+    no rule was left before the last nonterminal went, or where the rules so far don't fit. A round looks
+    one step ahead for all states at once, and the weights join as one map for each last rule, of which
+    there are as many as rules at most, and one.
+    """
+    ids = list(range(len(rules)))
+    closing = [k for k in ids if not nonterminals & set(rules[k].labels)]
+    known = weights.where((F.col("last").isNull() | F.col("last").isin(ids)) & F.col("rule").isin(ids) & (F.col("weight") > 0))
+    known = known.select(F.coalesce(F.col("last").cast("int"), F.lit(-1)).alias("last"), F.col("rule").cast("int").alias("rule"), F.col("weight").cast("double").alias("weight")).groupBy("last", "rule").agg(F.sum("weight").alias("weight"))
+    table = cut(known.groupBy("last").agg(F.map_from_entries(F.collect_list(F.struct("rule", "weight"))).alias("by")))
+    last = F.coalesce(F.try_element_at("rules", F.lit(-1)), F.lit(-1))
+    closed = last.isin(closing) if closing else F.lit(False)
+    front = cut(states.select(F.col("id").cast("long").alias("id"), F.col("rules").cast("array<int>").alias("rules")))
+    done = front.where(closed).select("id", "rules", F.lit(True).alias("ended"))
+    front = front.where(~closed)
+    for step in range(most):
+        if front.isEmpty():
+            break
+        seen = front.join(masks(front, rules, nonterminals, most), "id").withColumn("last", last).join(F.broadcast(table), "last", "left")
+        fits = F.filter(F.transform("mask", lambda x, k: F.struct(x.alias("ok"), F.try_element_at("by", k).alias("w"), k.alias("k"))), lambda x: x["ok"] & x["w"].isNotNull())
+        if seed is None:
+            key = lambda x: -x["w"]
+        else:
+            key = lambda x: -F.log((F.pmod(F.xxhash64(F.lit(seed), "id", F.size("rules"), x["k"]), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)) / x["w"]
+        best = F.array_min(F.transform(fits, lambda x: F.struct(key(x).alias("key"), x["k"].alias("k"))))
+        moved = cut(seen.select("id", "rules", best["k"].cast("int").alias("next")).select("id", F.when(F.col("next").isNull(), F.col("rules")).otherwise(F.array_append("rules", F.col("next"))).alias("rules"), F.col("next").isNull().alias("stuck")))
+        done = done.unionByName(moved.where(F.col("stuck") | closed).select("id", "rules", (~F.col("stuck")).alias("ended")))
+        front = moved.where(~F.col("stuck") & ~closed).select("id", "rules")
+    return done.unionByName(front.select("id", "rules", F.lit(False).alias("ended")))
+
+
 def made_edges(g: Graph, node: int, rule: Rule) -> set[tuple[str, str]]:
     """Label pairs (from, to) of the edges that a rule would make between its nodes and the replaced node's neighbours."""
     new, at, _ = apply(g, node, rule)

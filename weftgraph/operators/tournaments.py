@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.operators.checkpoints import cut
+
 
 def strengths(results: list[tuple[int, int, float, float]], n: int, rounds: int = 100, tolerance: float = 1e-6) -> list[float]:
     """Ratings of n players from (i, j, shares that i won of j, shares that j won of i): each is renewed in turn, until none moves much.
@@ -79,7 +81,8 @@ def swiss(players: DataFrame, beats, rounds: int = 4) -> DataFrame:
         won = F.when(F.col("j").isNull(), 1.0).otherwise(beats(F.col("i"), F.col("j")))
         games = swiss_round(standing).withColumn("s", won)
         points = games.select("item", F.col("i").alias("player"), F.col("s").alias("p")).unionByName(games.where("j IS NOT NULL").select("item", F.col("j").alias("player"), (1 - F.col("s")).alias("p")))
-        standing = standing.join(points, ["item", "player"]).select("item", "player", (F.col("score") + F.col("p")).alias("score"))
+        # standings are read twice a round
+        standing = cut(standing.join(points, ["item", "player"]).select("item", "player", (F.col("score") + F.col("p")).alias("score")))
     return standing
 
 

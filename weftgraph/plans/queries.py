@@ -272,9 +272,10 @@ def wl_hash(spark, sf_dir):
     return traversal.graph_hash(views.conversation_graphs(spark, sf_dir))
 
 
-@query()
+@query("""SELECT count(*) AS n_graphs, min(g) AS first FROM (SELECT l_orderkey AS g, string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS form FROM lineitem GROUP BY 1) GROUP BY form""")
 def canonical_form(spark, sf_dir):
-    return traversal.canonical_forms(views.order_graphs(spark, sf_dir)).groupBy("form").agg(F.count("*").alias("n_graphs"), F.min("graph_id").alias("first"))
+    """Order graphs by form: a path joins all nodes of one in order, so they are isomorphic if their labels are the same in order."""
+    return traversal.canonical_forms(views.order_graphs(spark, sf_dir)).groupBy("form").agg(F.count("*").alias("n_graphs"), F.min("graph_id").alias("first")).drop("form")
 
 
 @query("""WITH f AS (SELECT conv_id AS g, string_agg(role, ',' ORDER BY turn) AS form FROM conversations GROUP BY 1)
@@ -380,10 +381,21 @@ def bradley_terry(spark, sf_dir):
     return tournaments.bradley_terry(games.select("item", "g.i", "g.j", "g.s"))
 
 
-@query()
+def _swiss_sql(rounds: int) -> str:
+    won = "CASE WHEN j IS NULL OR i * 7919 % 97 > j * 7919 % 97 THEN 1.0 ELSE 0.0 END"
+    out = ["s0 AS (SELECT CAST(s_nationkey AS BIGINT) AS item, s_suppkey AS player, CAST(0 AS DOUBLE) AS score FROM supplier)"]
+    for k in range(rounds):
+        out.append(f"r{k} AS (SELECT item, player, row_number() OVER (PARTITION BY item ORDER BY score DESC, player) - 1 AS r FROM s{k})")
+        out.append(f"g{k} AS (SELECT item, min_by(player, r) AS i, CASE WHEN count(*) = 2 THEN max_by(player, r) END AS j FROM r{k} GROUP BY item, r // 2)")
+        out.append(f"p{k} AS (SELECT item, i AS player, {won} AS p FROM g{k} UNION ALL SELECT item, j, 1 - {won} FROM g{k} WHERE j IS NOT NULL)")
+        out.append(f"s{k + 1} AS (SELECT item, player, CAST(score + p AS DOUBLE) AS score FROM s{k} JOIN p{k} USING (item, player))")
+    return f"WITH {', '.join(out)} SELECT * FROM s{rounds}"
+
+
+@query(_swiss_sql(4))
 def swiss_tournament(spark, sf_dir):
     s = views.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("item"), F.col("s_suppkey").alias("player"))
-    return tournaments.swiss(s, lambda i, j: F.when(F.pmod(F.xxhash64(i), F.lit(97)) > F.pmod(F.xxhash64(j), F.lit(97)), 1.0).otherwise(0.0))
+    return tournaments.swiss(s, lambda i, j: F.when(i * 7919 % 97 > j * 7919 % 97, 1.0).otherwise(0.0))
 
 
 @query("""WITH b AS (SELECT s_nationkey AS item, s_suppkey % 5 AS player, s_acctbal AS score, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey % 5) AS r FROM supplier)
@@ -505,6 +517,22 @@ def legal_masks(spark, sf_dir):
     return masks(states, _flag_rules(), fixtures.NONTERMINALS, most=8).withColumn("mask", F.array_join(F.col("mask").cast("array<string>"), ","))
 
 
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS g, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS x, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+s AS (SELECT g, i, n, CAST(x + CASE WHEN n = 1 THEN 9 WHEN i = 1 THEN 0 WHEN i = n THEN 6 ELSE 3 END AS INT) AS r FROM l), c AS (SELECT a.r AS last, b.r, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND b.i = a.i + 1 GROUP BY 1, 2),
+b AS (SELECT last, min_by(r, (-c, r)) AS r, min_by(r, (CASE WHEN r >= 6 THEN -c END, r)) FILTER (WHERE r >= 6) AS e FROM c GROUP BY 1),
+d AS (SELECT g, [r] AS rules, r AS last FROM s WHERE i = 1 UNION ALL SELECT g, list_append(rules, z), z FROM (SELECT g, rules, CASE WHEN len(rules) = 7 THEN b.e ELSE b.r END AS z FROM d JOIN b ON b.last = d.last WHERE d.last < 6) WHERE z IS NOT NULL)
+SELECT g AS id, array_to_string(max_by(rules, len(rules)), ',') AS rules, max_by(last, len(rules)) >= 6 AS ended FROM d GROUP BY 1""")
+def decoded_chains(spark, sf_dir):
+    """Each order's first line continued by the legal rule that most often follows the last one in all orders, to eight lines at most."""
+    from weftgraph.operators.masks import decode
+
+    seq = _flag_sequences(spark, sf_dir)
+    follow = F.transform(F.slice("rules", F.lit(1), F.size("rules") - 1), lambda x, i: F.struct(x.alias("last"), F.get("rules", i + 1).alias("rule")))
+    weights = seq.select(F.explode(follow).alias("x")).groupBy("x.last", "x.rule").agg(F.count("*").alias("weight"))
+    made = decode(seq.select(F.col("seq_id").alias("id"), F.slice("rules", 1, 1).alias("rules")), _flag_rules(), fixtures.NONTERMINALS, weights, most=8)
+    return made.withColumn("rules", F.array_join(F.col("rules").cast("array<string>"), ","))
+
+
 def _flag_rules():
     """Rules 0 to 2 begin a chain with A, N or R, 3 to 5 go on, 6 to 8 end it, 9 to 11 are chains of one."""
     from weftgraph.operators.rewriting import Rule
@@ -533,10 +561,12 @@ def extract_motifs(spark, sf_dir):
     return learning.motifs(learning.candidates(views.order_graphs(spark, sf_dir), "gray"))
 
 
-@query()
+@query("""SELECT g AS graph_id, min(g) OVER (PARTITION BY form) AS first FROM (SELECT user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS g, string_agg(event_type, ',' ORDER BY ts, event_id) AS form FROM events GROUP BY 1)""")
 def unrolled_hash(spark, sf_dir):
+    """The least graph of the same hash; chains share it if their labels are the same in order."""
     g = views.event_graphs(spark, sf_dir)
-    return traversal.per_graph(g, lambda n, e: iter([(traversal.unrolled_hash(n, e),)]), "h string")
+    h = traversal.per_graph(g, lambda n, e: iter([(traversal.unrolled_hash(n, e),)]), "h string")
+    return h.select("graph_id", F.min("graph_id").over(W.partitionBy("h")).alias("first"))
 
 
 @query("""WITH r AS (SELECT p_partkey AS rule_id, '(' || p_size || ',' || p_brand[7:8] || ':N)(a,b:T)(x' || p_size % 3 || ':' || CASE WHEN p_size % 2 = 0 THEN 'N' ELSE 'T' END || ')' AS text FROM part),
