@@ -77,3 +77,15 @@ def test_no_graphs_give_no_rows(spark):
     for f in (paths.main_paths, paths.numbered, paths.bypassed, paths.texts, lambda x: paths.simple_paths(x, "input", "output")):
         assert f(none).count() == 0
     assert paths.main_paths(g).first().path == []
+
+
+def test_equal_circuits_are_walked_once(spark, monkeypatch):
+    """Circuits with other ids and other cells of the same kind share a shape, and each has its own text."""
+    one = {i: x for i, x in enumerate(["input", "+gm-", "-gm+", "output"])}
+    graphs = {k: Graph({i + k: ("-gm-" if x == "+gm-" and k % 2 else x) for i, x in one.items()}, {(i + k, i + k + 1, "x") for i in range(3)}) for k in range(40)}
+    g, seen, real = tables(spark, graphs), [], paths._grown
+    monkeypatch.setattr(paths, "_grown", lambda g, *a: seen.append(g.nodes.count()) or real(g, *a))
+    assert {r.graph_id: r.text for r in paths.texts(g).collect()} == {k: circuits.as_text(x) for k, x in graphs.items()}
+    assert {r.graph_id: r.path for r in paths.main_paths(g).collect()} == {k: [k, k + 1, k + 2, k + 3] for k in graphs}
+    assert {(r.graph_id, r.n_paths, r.longest) for r in paths.path_counts(g, "input", "output").collect()} == {(k, 1, 4) for k in graphs}
+    assert seen == [4, 4, 4]

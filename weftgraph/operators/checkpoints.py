@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once, in columns and compressed, to folder(), and read from there; for tables of the size of the input, of which cut() would keep plain rows."""
+    path = f"{folder(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that is no longer read, in whatever store it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)

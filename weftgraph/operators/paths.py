@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.checkpoints import cut
 from weftgraph.operators.circuits import CODES, VALUE
+from weftgraph.operators.shapes import Shapes, named, shaped
 from weftgraph.operators.traversal import closure
 from weftgraph.sources.views import Graphs
 
@@ -38,7 +39,29 @@ def hops(pairs: DataFrame, starts: DataFrame) -> DataFrame:
 
 def simple_paths(g: Graphs, source: str, sink: str) -> DataFrame:
     """graph_id, path: every path without a repeated node from the source to the sink. As many as there are; main_paths() keeps few."""
-    return _grown(g, source, sink, None)
+    s = shaped(g, _kinds([], [source, sink]), black=True)
+    return s.rows(_grown(s.g, source, sink, None)).select("graph_id", _own("path").alias("path"))
+
+
+def path_counts(g: Graphs, source: str, sink: str) -> DataFrame:
+    """graph_id, n_paths, longest: how many simple paths there are from the source to the sink, and the nodes of the longest; no row without a path."""
+    s = shaped(g, _kinds([], [source, sink]), black=True)
+    counts = _grown(s.g, source, sink, None).groupBy("graph_id").agg(F.count("*").alias("n_paths"), F.max(F.size("path")).alias("longest"))
+    return s.rows(counts).select("graph_id", "n_paths", "longest")
+
+
+def _kinds(parts: list[str], whole: list[str]) -> Column:
+    """What the paths read of a label: itself if it is one of whole, else the first of parts that it holds; "\0" for all others."""
+    kind = F.when(F.col("label").isin(whole), F.col("label"))
+    for x in parts:
+        kind = kind.when(F.col("label").contains(x), x + "\0")  # equals none of whole
+    return kind.otherwise("\0")
+
+
+def _own(path: str) -> Column:
+    """A path of places as one of nodes."""
+    ids = F.col("ids")
+    return F.transform(path, lambda p: F.get(ids, p - 1))
 
 
 def main_paths(g: Graphs, source: str = "input", sink: str = "output", part: str = "gm") -> DataFrame:
@@ -50,11 +73,14 @@ def main_paths(g: Graphs, source: str = "input", sink: str = "output", part: str
     one completes the other and adds the same to both. Where no cycle is ahead nothing is
     barred, so an acyclic graph keeps one partial path a node and round.
     """
+    s = shaped(g, _kinds([part], [source, sink]), black=True)
+    return s.rows(_main(s.g, source, sink, part)).select("graph_id", _own("path").alias("path"), "stages")
+
+
+def _main(g: Graphs, source: str, sink: str, part: str) -> DataFrame:
     best = _grown(g, source, sink, part).groupBy("graph_id").agg(F.min(F.struct("rate", "path")).alias("b"))
-    return (
-        g.nodes.select("graph_id").distinct().join(best, "graph_id", "left")
-        .select("graph_id", F.coalesce("b.path", F.slice(F.array(F.lit(0).cast(g.nodes.schema["node_id"].dataType)), 1, 0)).alias("path"), F.coalesce(-F.col("b.rate.minus"), F.lit(0)).cast("long").alias("stages"))
-    )
+    none = F.slice(F.array(F.lit(0).cast(g.nodes.schema["node_id"].dataType)), 1, 0)
+    return g.nodes.select("graph_id").distinct().join(best, "graph_id", "left").select("graph_id", F.coalesce("b.path", none).alias("path"), F.coalesce(-F.col("b.rate.minus"), F.lit(0)).cast("long").alias("stages"))
 
 
 def _grown(g: Graphs, source: str, sink: str, part: str | None) -> DataFrame:
@@ -93,7 +119,19 @@ def numbered(g: Graphs, main: DataFrame | None = None) -> DataFrame:
     number is null, and problem says why, unless there are two or three stages, all nodes
     are on the main path or lead into it, and only gain cells are on it.
     """
-    main = cut(main if main is not None else main_paths(g))
+    if main is not None:
+        return _numbered(g, cut(main))
+    s, numbers = _shape_numbers(g)
+    return s.spread(numbers).select("graph_id", named("node_id").alias("node_id"), "number", "stages", "problem")
+
+
+def _shape_numbers(g: Graphs) -> tuple[Shapes, DataFrame]:
+    """The shapes of circuits by what the main path reads of labels, and the numbers of their places."""
+    s = shaped(g, _kinds(["gm"], ["input", "output"]), black=True)
+    return s, _numbered(s.g, cut(_main(s.g, "input", "output", "gm")))
+
+
+def _numbered(g: Graphs, main: DataFrame) -> DataFrame:
     on = main.select("graph_id", F.size("path").alias("n"), F.posexplode("path").alias("pos", "node_id"))
     into = _pairs(g).join(on.select("graph_id", F.col("node_id").alias("dst")), ["graph_id", "dst"]).select("graph_id", F.col("src").alias("node_id"))
     near = into.unionByName(on.select("graph_id", "node_id")).distinct().groupBy("graph_id").agg(F.count("*").alias("near"))
@@ -116,6 +154,13 @@ def bypassed(g: Graphs) -> DataFrame:
 
     One that a predecessor of the cell feeds and that shares a successor with it. False for graphs without a path.
     """
+    x = F.col("label")
+    kind = F.when(x.isin("input", "output"), x).when(x.isin("-gm-", "+gm-"), "-gm-").when(x.isin("R", "C"), "R").otherwise("")
+    s = shaped(g, kind, black=True)
+    return s.rows(_bypassed(s.g)).select("graph_id", "bypassed")
+
+
+def _bypassed(g: Graphs) -> DataFrame:
     ends, pairs = cut(_ends(g, "input", "output").where("first IS NOT NULL AND last IS NOT NULL")), cut(_pairs(g))
     there = hops(pairs, ends.select("graph_id", F.col("first").alias("node_id")))
     back = hops(pairs.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("src")), ends.select("graph_id", F.col("last").alias("node_id")))
@@ -137,18 +182,40 @@ def texts(g: Graphs, numbers: DataFrame | None = None, value: str = VALUE) -> Da
     A line has the cell's code, its number twice, its predecessors and a value for each of them. text is null where
     a circuit has no numbers, or a cell with neither a code nor a place at an end.
     """
-    numbers = cut(numbers if numbers is not None else numbered(g))
+    code: Column = F.create_map(*[F.lit(x) for x in chain(*CODES.items())])
+    if numbers is None:
+        s, found = _shape_numbers(g)
+        found = cut(found)
+        good = _after_numbers(s.g, found)
+        cells = good.groupBy("graph_id").agg(F.first("stages").alias("stages"), F.array_sort(F.collect_list(F.struct("number", "node_id", "pred"))).alias("cells_"))
+        of = s.rows(found.groupBy("graph_id").agg(F.min("problem").alias("problem")).join(cells, "graph_id", "left"))
+        # a cell of the shape has its own label where the shape lists its place
+        at = lambda p: F.get("labels", (F.array_position(F.col("cells.place"), p) - 1).cast("int"))
+        lines = F.transform("cells_", lambda c: F.struct(c["number"].alias("number"), _line(F.try_element_at(code, at(c["node_id"])), c["number"], c["pred"], value).alias("line")))
+        rows = of.select("graph_id", "problem", "stages", lines.alias("lines"))
+    else:
+        numbers = cut(numbers)
+        labels = g.nodes.select("graph_id", "node_id", F.try_element_at(code, F.col("label")).alias("code"))
+        cells = _after_numbers(g, numbers).join(labels, ["graph_id", "node_id"]).select("graph_id", "number", "stages", _line(F.col("code"), F.col("number"), F.col("pred"), value).alias("line"))
+        cells = cells.groupBy("graph_id").agg(F.first("stages").alias("stages"), F.array_sort(F.collect_list(F.struct("number", "line"))).alias("lines"))
+        rows = numbers.groupBy("graph_id").agg(F.min("problem").alias("problem")).join(cells, "graph_id", "left")
+    size = F.size("lines").cast("string")
+    text = F.concat(size, F.lit(" "), size, F.lit(" "), F.col("stages").cast("string"), F.lit("\n"), F.array_join(F.col("lines.line"), "\n"), F.lit("\n"))
+    made = rows.withColumn("text", F.when(F.forall("lines", lambda x: x["line"].isNotNull()), text))
+    return made.select("graph_id", "text", F.coalesce("problem", F.when(F.col("text").isNull(), F.lit("a cell without a code"))).alias("problem"))
+
+
+def _after_numbers(g: Graphs, numbers: DataFrame) -> DataFrame:
+    """graph_id, node_id, number, stages, pred: the numbered nodes, and the numbers of those before each, sorted."""
     good = numbers.where("number IS NOT NULL").select("graph_id", "node_id", "number", "stages")
     of = lambda x, y: good.select("graph_id", F.col("node_id").alias(x), F.col("number").alias(y))
     before = _pairs(g).join(of("src", "before"), ["graph_id", "src"]).join(of("dst", "number"), ["graph_id", "dst"]).groupBy("graph_id", "number").agg(F.array_sort(F.collect_list("before")).alias("before"))
-    code: Column = F.create_map(*[F.lit(x) for x in chain(*CODES.items())])
-    cells = good.join(g.nodes.select("graph_id", "node_id", F.try_element_at(code, F.col("label")).alias("code")), ["graph_id", "node_id"]).join(before, ["graph_id", "number"], "left")
-    pred = F.coalesce("before", F.slice(F.array(F.lit(0).cast("long")), 1, 0))
+    return good.join(before, ["graph_id", "number"], "left").withColumn("pred", F.coalesce("before", F.slice(F.array(F.lit(0).cast("long")), 1, 0))).drop("before")
+
+
+def _line(code: Column, number: Column, pred: Column, value: str) -> Column:
+    """A cell's line of the text form; null without a code."""
     values = F.concat(F.array(F.lit("-1")), F.array_repeat(F.lit(value), F.size(pred)), F.array(F.lit("-1")))
-    tail = F.when(F.col("number") == 0, F.array(F.lit("1 8 0 1"))).when(F.col("number") == 1, F.array(F.lit("1 9 0 1"))).otherwise(values)
-    head = F.array(F.col("code").cast("string"), F.col("number").cast("string"), F.col("number").cast("string"), F.size(pred).cast("string"))
-    line = F.when(F.col("code").isNotNull(), F.array_join(F.concat(head, pred.cast("array<string>"), tail), " "))
-    size = F.count("*").cast("string")
-    text = F.concat(size, F.lit(" "), size, F.lit(" "), F.first("stages").cast("string"), F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "line"))), lambda x: x["line"]), "\n"), F.lit("\n"))
-    made = cells.select("graph_id", "number", "stages", line.alias("line")).groupBy("graph_id").agg(F.when(F.count("line") == F.count("*"), text).alias("text"))
-    return numbers.groupBy("graph_id").agg(F.min("problem").alias("problem")).join(made, "graph_id", "left").select("graph_id", "text", F.coalesce("problem", F.when(F.col("text").isNull(), F.lit("a cell without a code"))).alias("problem"))
+    tail = F.when(number == 0, F.array(F.lit("1 8 0 1"))).when(number == 1, F.array(F.lit("1 9 0 1"))).otherwise(values)
+    head = F.array(code.cast("string"), number.cast("string"), number.cast("string"), F.size(pred).cast("string"))
+    return F.when(code.isNotNull(), F.array_join(F.concat(head, pred.cast("array<string>"), tail), " "))

@@ -53,7 +53,7 @@ def circuit_main_paths(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {CIRCUITS} SELECT w.g AS graph_id, count(*) AS n_paths, CAST(max(len(path)) AS BIGINT) AS longest FROM w JOIN n USING (g, i) WHERE lab = 'output' GROUP BY 1")
 def circuit_path_counts(spark, sf_dir):
-    return paths.simple_paths(circuit_graphs(spark, sf_dir), "input", "output").groupBy("graph_id").agg(F.count("*").alias("n_paths"), F.max(F.size("path")).alias("longest"))
+    return paths.path_counts(circuit_graphs(spark, sf_dir), "input", "output")
 
 
 @query(f"WITH RECURSIVE {NUMBERS} SELECT g AS graph_id, i AS node_id, number, stages, problem FROM num")
