@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.operators.checkpoints import cut
+from weftgraph.operators.shapes import named, shaped
 from weftgraph.sources.views import Graphs
 
 EGO = ["graph_id", "ego"]
@@ -46,9 +47,13 @@ def hashes(g: Graphs, radius: int, rounds: int = 2) -> DataFrame:
 
 
 def relabelled(g: Graphs, radius: int, rounds: int = 2) -> Graphs:
-    """g with the number of its neighbourhood's kind as the label of each node: kinds of a graph are numbered from 0 by their least node."""
-    h = cut(hashes(g, radius, rounds))
+    """g with the number of its neighbourhood's kind as the label of each node: kinds of a graph are numbered from 0 by their least node.
+
+    Labels don't matter to it, so each shape of unlabelled graphs is worked on once.
+    """
+    s = shaped(g, F.lit(None).cast("string"), black=True)
+    h = cut(hashes(s.g, radius, rounds))
     kinds = h.groupBy("graph_id", "h").agg(F.min("ego").alias("least"))
     kinds = kinds.withColumn("kind", F.row_number().over(W.partitionBy("graph_id").orderBy("least")) - 1).drop("least")
-    named = h.join(kinds, ["graph_id", "h"]).select("graph_id", F.col("ego").alias("node_id"), F.col("kind").cast("string").alias("label"))
-    return Graphs(named, g.edges)
+    kinds_of = h.join(kinds, ["graph_id", "h"]).select("graph_id", "ego", F.col("kind").cast("string").alias("label"))
+    return Graphs(s.spread(kinds_of).select("graph_id", named("ego").alias("node_id"), "label"), g.edges)

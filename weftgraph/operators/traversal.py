@@ -10,17 +10,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.checkpoints import cut
+from weftgraph.operators.checkpoints import cut, kept
+from weftgraph.operators.shapes import small
 from weftgraph.sources.views import Graphs
 
 
 def per_graph(g: Graphs, fn: Callable[[dict, list], Iterator[tuple]], schema: str) -> DataFrame:
     """Rows graph_id, *fn(labels by node, edges) for each graph; a graph is a row while it travels, so small ones cost little.
 
-    For collections of graphs that fit a task each.
+    For collections of graphs that fit a task each. Graphs that are equal in nodes, labels and edges are given to fn once,
+    unless most are alone: then equal ones are not looked for.
     """
-    nodes = g.nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "label")).alias("nodes"))
-    edges = g.edges.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "label")).alias("edges"))
+    nodes = g.nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "label"))).alias("nodes"))
+    edges = g.edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "label"))).alias("edges"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.strip().split(" ")[0] for c in ("graph_id x, " + schema).split(",")]
@@ -33,7 +35,16 @@ def per_graph(g: Graphs, fn: Callable[[dict, list], Iterator[tuple]], schema: st
             yield pd.DataFrame(out, columns=names)
 
     key = next(f.dataType.simpleString() for f in g.nodes.schema if f.name == "graph_id")
-    return nodes.join(edges, "graph_id", "left").mapInPandas(run, f"graph_id {key}, {schema}")
+    typed = f"graph_id {key}, {schema}"
+    none = F.array().cast(edges.schema["edges"].dataType)
+    every = kept(nodes.join(edges, "graph_id", "left").withColumn("edges", F.coalesce("edges", none)))
+    firsts = cut(every.groupBy("nodes", "edges").agg(F.min("graph_id").alias("graph_id")))
+    if firsts.count() * 2 > every.count():
+        return every.mapInPandas(run, typed)
+    found = firsts.mapInPandas(run, typed)
+    found = found.groupBy("graph_id").agg(F.collect_list(F.struct(*[c for c in found.columns if c != "graph_id"])).alias("rows"))
+    packs = small(cut(firsts.withColumnRenamed("graph_id", "first").join(found.withColumnRenamed("graph_id", "first"), "first").drop("first")))
+    return every.join(packs, ["nodes", "edges"]).select("graph_id", F.inline("rows"))
 
 
 def closure(edges: DataFrame, reflexive: DataFrame | None = None) -> DataFrame:
