@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.checkpoints import cut
+from weftgraph.operators.shapes import shaped, small
 from weftgraph.sources.views import Graphs
 
-#: Distinct forms that are broadcast, at most; more are joined by a shuffle.
-FEW = 50_000
-
 
 def code(labels: list[str], edges: list[tuple[int, int, str]]) -> str:
     """The least string of a small labelled directed graph over all orders of its nodes that sort the labels; isomorphic graphs share it, others don't."""
@@ -74,22 +72,24 @@ def _grown(sets: DataFrame, steps: DataFrame) -> DataFrame:
     return more.groupBy("graph_id", "members").agg(F.array_distinct(F.flatten(F.collect_set("inside"))).alias("inside"))
 
 
-def embeddings(g: Graphs, most: int = 5, least: int = 2) -> Iterator[tuple[int, DataFrame]]:
+def embeddings(g: Graphs, most: int = 5, least: int = 2, often: DataFrame | None = None) -> Iterator[tuple[int, DataFrame]]:
     """(k, rows graph_id, nodes, es, code) for k = 1 to most: connected induced sets of k nodes whose code at least so many graphs hold.
 
     A motif of k nodes that enough graphs hold has a connected part of k - 1 nodes that they
     hold as well, so only sets whose code is frequent are grown. Codes are made once
     for each distinct form, not for each set. Loops are left out; a missing label is "#".
+    With often(graph_id, often), a graph counts as so many.
     """
     steps = cut(_steps(g))
     sets = _first(g)
     for k in range(1, most + 1):
         formed = cut(_formed(sets))
         forms = cut(_codes(formed.groupBy("form").agg(F.first("labels").alias("labels"), F.first("es").alias("es"))))
-        small = lambda df: F.broadcast(df) if df.count() <= FEW else df
         coded = formed.join(small(forms), "form")
-        often = cut(coded.select("code", "graph_id").distinct().groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("code"))
-        kept = cut(coded.join(small(often), "code"))
+        holds = coded.select("code", "graph_id").distinct()
+        holds = holds.withColumn("often", F.lit(1)) if often is None else holds.join(often, "graph_id")
+        frequent = cut(holds.groupBy("code").agg(F.sum("often").alias("n")).where(F.col("n") >= least).select("code"))
+        kept = cut(coded.join(small(frequent), "code"))
         yield k, kept.select("graph_id", "nodes", "es", "code")
         if k < most:
             if kept.isEmpty():
@@ -102,11 +102,15 @@ def mine(g: Graphs, most: int = 5, least: int = 2, from_nodes: int = 2) -> DataF
 
     n_matches counts the node sets that induce the motif. gain is what it saves where
     each graph that holds it replaces one occurrence by a node, less the motif's own
-    size: n_graphs * (n_nodes - 1 + n_edges) - (n_nodes + n_edges).
+    size: n_graphs * (n_nodes - 1 + n_edges) - (n_nodes + n_edges). Sets are grown in one graph of each
+    shape, which counts as often as there are graphs of it and is the least of them.
     """
-    out = None
-    for k, rows in embeddings(g, most, least):
-        found = rows.groupBy("code").agg(F.first(F.size("es")).alias("n_edges"), F.count("*").alias("n_matches"), F.countDistinct("graph_id").alias("n_graphs"), F.min(F.struct("graph_id", "nodes")).alias("at"))
+    s, out = shaped(g), None
+    often, ids = s.firsts.select("graph_id", "often"), s.firsts.select("graph_id", "ids")
+    for k, rows in embeddings(s.g, most, least, often):
+        found = rows.groupBy("code", "graph_id").agg(F.first(F.size("es")).alias("m"), F.count("*").alias("sets"), F.min("nodes").alias("places"))
+        found = found.join(often, "graph_id").join(ids, "graph_id").withColumn("nodes", F.transform("places", lambda p: F.get("ids", p - 1)))
+        found = found.groupBy("code").agg(F.first("m").alias("n_edges"), F.sum(F.col("sets") * F.col("often")).alias("n_matches"), F.sum("often").alias("n_graphs"), F.min(F.struct("graph_id", "nodes")).alias("at"))
         found = found.select("code", F.lit(k).alias("n_nodes"), "n_edges", "n_matches", "n_graphs", (F.col("n_graphs") * (k - 1 + F.col("n_edges")) - (k + F.col("n_edges"))).alias("gain"), "at.graph_id", "at.nodes")
         out = found if out is None else out.unionByName(found)
     return out.where(F.col("n_nodes") >= from_nodes)
