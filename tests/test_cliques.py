@@ -57,3 +57,18 @@ def test_best_of_seeds_and_motifs(spark):
     name, chosen = cliques.embeddings({"few": (few, isms, 1), "all": (realised, isms, 1), "same": (realised, isms, 1), "none": (realised.where("false"), isms, 9)}, g)
     assert name == "all" and chosen.count() == sizes[0]
     assert cliques.embeddings({"none": (realised.where("false"), isms, 9)}, g) is None
+
+
+def test_conflicts_inside_graphs_need_no_rounds(spark, monkeypatch):
+    """Rows, rounds, and rows for small graphs beside rounds for large ones choose alike, in the same rounds."""
+    es = [(k, i, i + 1, "x") for k in range(6) for i in range(5 if k % 2 else 14)]
+    g = Graphs(spark.createDataFrame([(k, i, "A") for k in range(6) for i in range(15)], "graph_id long, node_id long, label string"), spark.createDataFrame(es, "graph_id long, src long, dst long, label string"))
+    isms = g.edges.select("graph_id", F.col("src").alias("ism_id"), F.array("src", "dst").alias("nodes"))
+    free = isms.select("graph_id", "ism_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("dir_id"), *[F.array().cast("array<string>").alias(c) for c in ("ins", "outs")])
+    got, calls, real = [], [], cliques._in_rounds
+    monkeypatch.setattr(cliques, "_in_rounds", lambda *a: calls.append(1) or real(*a))
+    for local in (100, 10, 0):
+        monkeypatch.setattr(cliques, "LOCAL", local)
+        got.append(sorted((*r[:3], r["round"]) for r in cliques.compatible(free, isms, g, False).collect()))
+        assert len(calls) == (0, 1, 2)[len(got) - 1]
+    assert got[0] == got[1] == got[2] and max(r[3] for r in got[0]) > 1
