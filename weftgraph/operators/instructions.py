@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.operators.checkpoints import cut, kept
 from weftgraph.operators.matching import packed
+from weftgraph.operators.shapes import small
 from weftgraph.sources.views import Graphs
 
 
@@ -58,9 +60,21 @@ def realisations(g: Graphs, isms: DataFrame, size: int, black: str = "black", mo
     forbids nothing. Choices are 2 to the power of the classes, each one given; matches
     of more than most classes are dealt out by their choices first, so that no task
     makes all of one. From 62 classes on a match has more choices than rows can be
-    numbered by, and raises.
+    numbered by, and raises. What a match gives follows from its kinds of neighbours, so each set of kinds is worked on once.
     """
-    around = surroundings(g, isms)
+    match = ["graph_id", "ism_id"]
+    near = surroundings(g, isms).groupBy(*match, "y", "mu").agg(F.array_sort(F.collect_set(F.struct("pos", "d", "q"))).alias("own"))
+    kinds = near.groupBy(*match).agg(F.array_sort(F.collect_set(F.struct("mu", "own"))).alias("kinds"))
+    of = isms.select(*match).distinct().join(kinds, match, "left").withColumn("kinds", F.coalesce("kinds", F.array().cast(kinds.schema["kinds"].dataType)))
+    of = kept(of)
+    firsts = cut(of.groupBy("kinds").agg(F.min(F.struct(*match)).alias("m")).select("kinds", "m.*"))
+    around = firsts.select(*match, F.posexplode("kinds").alias("y", "k")).select(*match, "y", F.col("k.mu").alias("mu"), F.inline("k.own"))
+    made = _realised(cut(around), firsts.select(*match), size, black, most)
+    return of.join(small(cut(firsts.join(made, match).drop(*match))), "kinds").select(*match, "dir_id", "ins", "outs")
+
+
+def _realised(around: DataFrame, isms: DataFrame, size: int, black: str, most: int) -> DataFrame:
+    """realisations() of matches(graph_id, ism_id) with those surroundings."""
     cls = classes(around).select("graph_id", "ism_id", "y", "class")
     known = cls.groupBy("graph_id", "ism_id").agg(F.max("class").alias("n"))
     count = isms.select("graph_id", "ism_id").distinct().join(known, ["graph_id", "ism_id"], "left").fillna(0, ["n"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.checkpoints import cut
 from weftgraph.operators.rewriting import Graph, Rule, apply, connected
+from weftgraph.operators.shapes import small
 
 
 def reachable(g: Graph, start: set, back: bool = False) -> set:
@@ -83,7 +84,7 @@ def legal(g: Graph, rules: list[Rule], nonterminals: set[str], step: int, most:
 
 
 def masks(states: DataFrame, rules: list[Rule], nonterminals: set[str], most: int = 20) -> DataFrame:
-    """states(id, rules ARRAY<INT> so far): id, mask ARRAY<BOOLEAN> over all rules; empty if the rules so far don't fit."""
+    """states(id, rules ARRAY<INT> so far): id, mask ARRAY<BOOLEAN> over all rules; empty if the rules so far don't fit. Equal sequences are looked at once."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -97,9 +98,10 @@ def masks(states: DataFrame, rules: list[Rule], nonterminals: set[str], most: in
                         break
                     g = apply(g, left[0], rules[k])[0]
                 out.append(legal(g, rules, nonterminals, len(seq), most) if g else [])
-            yield pd.DataFrame({"id": pdf.id, "mask": out})
+            yield pd.DataFrame({"rules": pdf.rules, "mask": out})
 
-    return states.select("id", "rules").mapInPandas(run, "id long, mask array<boolean>")
+    known = cut(states.select(F.col("rules").cast("array<int>").alias("rules")).distinct().mapInPandas(run, "rules array<int>, mask array<boolean>"))
+    return states.select(F.col("id").cast("long").alias("id"), F.col("rules").cast("array<int>").alias("rules")).join(small(known), "rules").select("id", "mask")
 
 
 def decode(states: DataFrame, rules: list[Rule], nonterminals: set[str], weights: DataFrame, most: int = 20, seed: int | None = None) -> DataFrame:
