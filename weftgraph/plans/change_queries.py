@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import ego, incremental, traversal
+from weftgraph.operators import ego, incremental, shapes, traversal
 from weftgraph.plans.registry import ORDERS, query
 from weftgraph.sources import views
 
@@ -48,12 +48,12 @@ def ego_labels_two_hops(spark, sf_dir):
 
 @query(f"WITH {ORDERS} SELECT n.g AS graph_id, CAST(count(e.src) AS BIGINT) AS n_edges, CAST(count(e.src) AS BIGINT) AS n_mapped FROM n LEFT JOIN e ON e.g = n.g AND e.src = n.i GROUP BY 1")
 def aligned_edges(spark, sf_dir):
-    """Each order graph laid on the first one of its form: how many edges it has, and how many of them fall on edges there."""
-    g = views.order_graphs(spark, sf_dir)
-    at = traversal.aligned(traversal.canonical_places(g))
+    """Each order graph laid on the first one of its form: how many edges it has, and how many of them fall on edges there. Graphs of one shape are laid alike."""
+    s = shapes.shaped(views.order_graphs(spark, sf_dir))
+    at = traversal.aligned(traversal.canonical_places(s.g))
     one = at.select("graph_id", F.col("node_id").alias("src"), "first", F.col("image").alias("s"))
     two = at.select("graph_id", F.col("node_id").alias("dst"), F.col("image").alias("d"))
-    there = g.edges.select(F.col("graph_id").alias("first"), F.col("src").alias("s"), F.col("dst").alias("d"), F.lit(1).alias("hit")).distinct()
-    laid = g.edges.join(one, ["graph_id", "src"]).join(two, ["graph_id", "dst"]).join(there, ["first", "s", "d"], "left")
+    there = s.g.edges.select(F.col("graph_id").alias("first"), F.col("src").alias("s"), F.col("dst").alias("d"), F.lit(1).alias("hit")).distinct()
+    laid = s.g.edges.join(one, ["graph_id", "src"]).join(two, ["graph_id", "dst"]).join(there, ["first", "s", "d"], "left")
     per = laid.groupBy("graph_id").agg(F.count("*").alias("n_edges"), F.count("hit").alias("n_mapped"))
-    return g.nodes.select("graph_id").distinct().join(per, "graph_id", "left").fillna(0)
+    return s.rows(s.firsts.select("graph_id").join(per, "graph_id", "left").fillna(0)).select("graph_id", "n_edges", "n_mapped")
