@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.checkpoints import cut
 from weftgraph.operators.primitives import with_labels
+from weftgraph.operators.shapes import Shapes, named, shaped
 from weftgraph.operators.traversal import canonical_forms
 from weftgraph.sources.views import Graphs
 
-#: A graph's row while a grammar is learnt.
+#: A shape's row while a grammar is learnt.
 STATE = ("ids", "names", "src", "dst", "kinds", "step", "a", "b")
 
 
@@ -32,10 +33,6 @@ def motifs(found: DataFrame) -> DataFrame:
     return found.groupBy("src_label", "dst_label").agg(F.countDistinct("graph_id").alias("n_graphs"))
 
 
-def best_motif(found: DataFrame):
-    """The motif that most graphs hold; ties by labels."""
-    return motifs(found).orderBy(F.desc("n_graphs"), "src_label", "dst_label").first()
-
 
 def reduced(labels: dict, edges: set, rules: dict[tuple[str, str], int], nonterminal: str) -> list[tuple[int, int, int]]:
     """Existing rules applied to one graph, in place, until none fits: (rule, src, dst) of each step.
@@ -78,40 +75,29 @@ def compress(state: DataFrame, rules: dict[tuple[str, str], int], nonterminal: s
                 motif = sorted({(labels[x], labels[y]) for x, y in pairs(labels, edges, nonterminal in labels.values(), nonterminal)})
                 out.append((list(labels), list(labels.values()), *([e[k] for e in left] for k in range(3)), *([*old, *(d[k] for d in done)] for k, old in enumerate((step, a, b))), [m[0] for m in motif], [m[1] for m in motif]))
             frame = pd.DataFrame(out, columns=[*STATE, "src_labels", "dst_labels"])
-            frame.insert(0, "graph_id", pdf["graph_id"].array)
+            for k, c in enumerate(("graph_id", "often")):
+                frame.insert(k, c, pdf[c].array)
             yield frame
 
     kind = lambda c: state.schema[c].dataType.simpleString()
-    schema = ", ".join([f"graph_id {kind('graph_id')}", *(f"{c} {kind(c)}" for c in STATE), "src_labels array<string>", "dst_labels array<string>"])
-    return state.select("graph_id", *STATE).mapInPandas(run, schema)
-
+    schema = ", ".join([*(f"{c} {kind(c)}" for c in ("graph_id", "often", *STATE)), "src_labels array<string>", "dst_labels array<string>"])
+    return state.select("graph_id", "often", *STATE).mapInPandas(run, schema)
 
-def _packed(g: Graphs) -> DataFrame:
-    """A row for each graph: its nodes, edges and the steps taken so far, as arrays."""
-    n = int(g.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = g.nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "label")).alias("ns"))
-    edges = g.edges.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "label")).alias("es"))
-    none = F.array().cast(edges.schema["es"].dataType)
-    rows = nodes.join(edges, "graph_id", "left").withColumn("es", F.coalesce("es", none)).repartition(n, "graph_id")
-    return rows.select("graph_id", F.col("ns.node_id").alias("ids"), F.col("ns.label").alias("names"), F.col("es.src").alias("src"), F.col("es.dst").alias("dst"), F.col("es.label").alias("kinds"), *[F.array().cast("array<int>").alias(c) for c in ("step", "a", "b")])
 
+def _packed(s: Shapes) -> DataFrame:
+    """A row for each shape, with how many graphs have it: its nodes, edges and the steps taken so far, as arrays."""
+    n = int(s.firsts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return s.firsts.repartition(n, "graph_id").select("graph_id", "often", F.col("cells.place").alias("ids"), F.col("cells.label").alias("names"), F.col("links.src").alias("src"), F.col("links.dst").alias("dst"), F.col("links.label").alias("kinds"), *[F.array().cast("array<int>").alias(c) for c in ("step", "a", "b")])
 
-def learn(g: Graphs, nonterminal: str = "gray", rounds: int | None = None, least: int = 1) -> tuple[DataFrame, DataFrame, Graphs]:
-    """rules(rule_id, src_label, dst_label, n_graphs), anno(graph_id, seq, rule_id, nodes), and what is left of g.
 
-    Each round makes a rule of the motif that most graphs hold, and applies all
-    rules to every graph until none fits, so that no motif comes twice; the loop
-    ends when no motif is in at least so many graphs. That takes at most a round for
-    each pair of labels; rounds bounds them further, and raises if motifs are left then.
-    Graphs are small and travel as rows. The state is cut to shared storage each
-    round, so plans stay short and a lost executor costs a round at most.
-    """
-    spark = g.nodes.sparkSession
+def _learnt(s: Shapes, nonterminal: str, rounds: int | None = None, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The rules of learn(), and the state of each shape in the end."""
     rules: dict[tuple[str, str], int] = {}
     table = []
-    state = cut(compress(_packed(g), rules, nonterminal))
+    state = cut(compress(_packed(s), rules, nonterminal))
     while True:
-        best = best_motif(state.select("graph_id", F.explode(F.arrays_zip("src_labels", "dst_labels")).alias("m")).select("graph_id", F.col("m.src_labels").alias("src_label"), F.col("m.dst_labels").alias("dst_label")))
+        found = state.select("often", F.explode(F.arrays_zip("src_labels", "dst_labels")).alias("m"))  # a motif once a graph
+        best = found.groupBy(F.col("m.src_labels").alias("src_label"), F.col("m.dst_labels").alias("dst_label")).agg(F.sum("often").alias("n_graphs")).orderBy(F.desc("n_graphs"), "src_label", "dst_label").first()
         if not best or best["n_graphs"] < least:
             break
         if rounds is not None and len(rules) >= rounds:
@@ -119,24 +105,47 @@ def learn(g: Graphs, nonterminal: str = "gray", rounds: int | None = None, least
         table.append((len(rules), best["src_label"], best["dst_label"], best["n_graphs"]))
         rules[best["src_label"], best["dst_label"]] = len(rules)
         state = cut(compress(state, rules, nonterminal))
-    made = spark.createDataFrame(table, "rule_id int, src_label string, dst_label string, n_graphs long")
-    anno = state.select("graph_id", F.posexplode(F.arrays_zip("step", "a", "b")).alias("seq", "s")).select("graph_id", "seq", F.col("s.step").alias("rule_id"), F.array("s.a", "s.b").alias("nodes"))
+    return s.firsts.sparkSession.createDataFrame(table, "rule_id int, src_label string, dst_label string, n_graphs long"), state
+
+
+def _left(state: DataFrame) -> Graphs:
+    """What is left of each shape."""
     nodes = state.select("graph_id", F.explode(F.arrays_zip("ids", "names")).alias("n")).select("graph_id", F.col("n.ids").alias("node_id"), F.col("n.names").alias("label"))
     edges = state.select("graph_id", F.explode(F.arrays_zip("src", "dst", "kinds")).alias("e")).select("graph_id", F.col("e.src").alias("src"), F.col("e.dst").alias("dst"), F.col("e.kinds").alias("label"))
-    return made, anno, Graphs(nodes, edges)
+    return Graphs(nodes, edges)
 
 
-def terminate(g: Graphs, forms: DataFrame) -> DataFrame:
-    """form, n_graphs, first: a start rule for each kind of leftover graph, once however many graphs have it; forms(graph_id, form)."""
-    one = forms.groupBy("form").agg(F.count("*").alias("n_graphs"), F.min("graph_id").alias("first"))
+def learn(g: Graphs, nonterminal: str = "gray", rounds: int | None = None, least: int = 1) -> tuple[DataFrame, DataFrame, Graphs]:
+    """rules(rule_id, src_label, dst_label, n_graphs), anno(graph_id, seq, rule_id, nodes), and what is left of g.
+
+    Each round makes a rule of the motif that most graphs hold, and applies all
+    rules to every graph until none fits, so that no motif comes twice; the loop
+    ends when no motif is in at least so many graphs. That takes at most a round for
+    each pair of labels; rounds bounds them further, and raises if motifs are left then.
+    Graphs are small and travel as rows, those of one shape as one. The state is cut to shared storage each
+    round, so plans stay short and a lost executor costs a round at most.
+    """
+    s = shaped(g)
+    made, state = _learnt(s, nonterminal, rounds, least)
+    anno = state.select("graph_id", F.posexplode(F.arrays_zip("step", "a", "b")).alias("seq", "s")).select("graph_id", "seq", "s.step", "s.a", "s.b")
+    left = _left(state)
+    return made, s.spread(anno).select("graph_id", "seq", F.col("step").alias("rule_id"), F.array(named("a"), named("b")).alias("nodes")), Graphs(
+        s.spread(left.nodes).select("graph_id", named("node_id").alias("node_id"), "label"),
+        s.spread(left.edges).select("graph_id", named("src").alias("src"), named("dst").alias("dst"), "label"),
+    )
+
+
+def terminate(forms: DataFrame) -> DataFrame:
+    """form, n_graphs, first: a start rule for each kind of leftover graph, once however many graphs have it; forms(graph_id, form, often)."""
+    one = forms.groupBy("form").agg(F.sum("often").alias("n_graphs"), F.min("graph_id").alias("first"))
     return one.select("form", "n_graphs", "first")
 
 
 def grammar(g: Graphs, nonterminal: str = "gray") -> DataFrame:
     """rule_id, src_label, dst_label, form, n_graphs: the rules of learn(), then the start rules (form) of what is left, most frequent first."""
-    rules, _, left = learn(g, nonterminal)
+    rules, state = _learnt(shaped(g), nonterminal)
     n = rules.count()
-    starts = terminate(left, canonical_forms(left))
+    starts = terminate(canonical_forms(_left(state)).join(state.select("graph_id", "often"), "graph_id"))
     nth = F.row_number().over(W.orderBy(F.desc("n_graphs"), "form"))  # kinds of leftover graphs; few, as nothing more can be contracted
     return rules.select("rule_id", "src_label", "dst_label", F.lit(None).cast("string").alias("form"), "n_graphs").unionByName(
         starts.select((nth + n - 1).cast("int").alias("rule_id"), F.lit(None).cast("string").alias("src_label"), F.lit(None).cast("string").alias("dst_label"), "form", "n_graphs"))
