@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.operators.checkpoints import cut
+from weftgraph.operators.shapes import small
 from weftgraph.operators.traversal import canonical
 from weftgraph.sources.views import Graphs
 
@@ -113,20 +115,27 @@ def sample(rules: list[Rule], nonterminals: set[str], seed: int, start: str = "b
 
 
 def derive_all(sequences: DataFrame, rules: list[Rule], nonterminals: set[str]) -> DataFrame:
-    """sequences(seq_id, rules ARRAY<INT>): seq_id, form, n_nodes, n_edges, problem."""
+    """sequences(seq_id, rules ARRAY<INT>): seq_id, form, n_nodes, n_edges, problem. Each different sequence is derived once."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
-            for i, seq in zip(pdf.seq_id, pdf.rules, strict=True):
+            for seq in pdf.rules:
                 try:
                     g = derive(rules, [int(k) for k in seq], nonterminals)
-                    out.append((i, g.form(), len(g.labels), len(g.edges), None))
+                    out.append((g.form(), len(g.labels), len(g.edges), None))
                 except ValueError as e:
-                    out.append((i, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["seq_id", "form", "n_nodes", "n_edges", "problem"]).astype({"n_nodes": "Int64", "n_edges": "Int64"})
-
-    return sequences.select("seq_id", "rules").mapInPandas(run, "seq_id long, form string, n_nodes long, n_edges long, problem string")
+                    out.append((None, None, None, str(e)))
+            frame = pd.DataFrame(out, columns=["form", "n_nodes", "n_edges", "problem"]).astype({"n_nodes": "Int64", "n_edges": "Int64"})
+            frame.insert(0, "rules", pdf["rules"].array)
+            yield frame
+
+    own = sequences.select(F.col("seq_id").cast("long").alias("seq_id"), F.col("rules").cast("array<int>").alias("rules"))
+    n = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = own.where("rules IS NOT NULL").select("rules").distinct().repartition(n)  # few bytes, but much work
+    made = small(cut(each.mapInPandas(run, "rules array<int>, form string, n_nodes long, n_edges long, problem string")))
+    problem = F.when(F.col("rules").isNull(), "no rules").otherwise(F.col("problem"))
+    return own.join(made, "rules", "left").select("seq_id", "form", "n_nodes", "n_edges", problem.alias("problem"))
 
 
 def generate(spark, rules: list[Rule], nonterminals: set[str], tries: int, seed: int = 1) -> DataFrame:
