@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.sources.views import Graphs
+from weftgraph.sources.views import Graphs, dealt
 
 
 def induced(g: Graphs, chosen: DataFrame) -> Graphs:
@@ -103,6 +103,17 @@ def line_graph(bonds: DataFrame) -> DataFrame:
 
 
 def clique_graph(bonds: DataFrame, rings: DataFrame) -> DataFrame:
-    """The line graph with all pairs of bonds of a ring as well; rings(mol, ring, bond)."""
-    pairs = rings.withColumnRenamed("bond", "a").join(rings.withColumnRenamed("bond", "b"), ["mol", "ring"]).where("a < b")
-    return line_graph(bonds).unionByName(pairs.select("mol", "a", "b")).distinct()
+    """The line graph with all pairs of bonds of a ring as well; rings(mol, ring, bond).
+
+    A mol's bonds are gathered in a row and paired there, each with those after it, so that pairs
+    are neither shuffled nor held to be told apart.
+    """
+    at = bonds.select("mol", "bond", "atoms", F.lit(None).cast(rings.schema["ring"].dataType).alias("ring"))
+    held = at.unionByName(rings.select("mol", "bond", F.lit(None).cast(bonds.schema["atoms"].dataType).alias("atoms"), "ring"))
+    rows = dealt(held.where("mol IS NOT NULL AND bond IS NOT NULL"), "mol").groupBy("mol").agg(F.collect_list(F.struct("bond", "atoms", "ring")).alias("all"))
+    each = rows.select("mol", "all", F.explode(F.array_distinct("all.bond")).alias("a"))
+    mine = F.filter("all", lambda x: x["bond"] == F.col("a"))
+    own = F.flatten(F.filter(F.transform(mine, lambda x: x["atoms"]), lambda x: x.isNotNull()))
+    near = F.filter("all", lambda x: (x["bond"] > F.col("a")) & (F.coalesce(F.arrays_overlap(x["atoms"], F.col("own")), F.lit(False)) | F.coalesce(F.array_contains("rings", x["ring"]), F.lit(False))))
+    each = each.withColumns({"own": own, "rings": F.array_compact(F.transform(mine, lambda x: x["ring"]))})
+    return each.select("mol", "a", F.explode(F.array_distinct(F.transform(near, lambda x: x["bond"]))).alias("b"))
