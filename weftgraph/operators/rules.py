@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.identifiers import set_key
 from weftgraph.operators.matching import Pattern, match
+from weftgraph.operators.shapes import small
 from weftgraph.operators.traversal import closure
 from weftgraph.sources.views import Graphs
 
@@ -62,13 +63,16 @@ def parse_graph(steps: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFram
     each step's right-hand side, level 2 joins the nonterminal of a step (the last
     of its nodes) to the first node of what replaced it.
     """
-    at = steps.join(rules, "rule_id")
+    at = steps.join(small(rules), "rule_id")
     nodes = at.select("graph_id", "seq", F.posexplode("labels").alias("pos", "label"))
-    inner = at.select("graph_id", "seq", F.explode("edges").alias("e")).select("graph_id", F.lit(1).alias("level"), F.col("seq").alias("seq_a"), F.col("e.a").alias("pos_a"), F.col("seq").alias("seq_b"), F.col("e.b").alias("pos_b"), F.col("e.x").alias("label"))
-    after = F.lead("seq").over(W.partitionBy("graph_id").orderBy("seq"))
-    tree = at.select("graph_id", "seq", F.size("labels").alias("n"), after.alias("next")).where("next IS NOT NULL")
-    outer = tree.select("graph_id", F.lit(2).alias("level"), F.col("seq").alias("seq_a"), (F.col("n") - 1).alias("pos_a"), F.col("next").alias("seq_b"), F.lit(0).alias("pos_b"), F.lit(None).cast("string").alias("label"))
-    return nodes, inner.unionByName(outer)
+    text, after = F.lit(None).cast("string"), F.lead("seq").over(W.partitionBy("graph_id").orderBy("seq"))
+    edge = lambda level, a, i, b, j, x: F.struct(F.lit(level).alias("level"), a.alias("seq_a"), i.cast("int").alias("pos_a"), b.alias("seq_b"), j.cast("int").alias("pos_b"), x.cast("string").alias("label"))
+    inner = F.transform("edges", lambda e: edge(1, F.col("seq"), e["a"], F.col("seq"), e["b"], e["x"]))
+    outer = F.array(edge(2, F.col("seq"), F.size("labels") - 1, F.col("next"), F.lit(0), text))
+    at = at.withColumn("next", after)
+    both = F.concat(F.coalesce(inner, F.slice(outer, 1, 0)), F.when(F.col("next").isNotNull(), outer).otherwise(F.slice(outer, 1, 0)))
+    # in one pass, so that all stays dealt by graph
+    return nodes, at.select("graph_id", F.inline(both))
 
 
 def split_into(g: Graphs, groups: DataFrame) -> Graphs:
