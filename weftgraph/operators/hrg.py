@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.checkpoints import cut
 from weftgraph.operators.hypergraphs import laid, parts
-from weftgraph.operators.traversal import canonical, per_graph
+from weftgraph.operators.traversal import canonical, per_graph, per_kind
 from weftgraph.sources.views import Graphs
 
 START = "S"
@@ -109,20 +109,27 @@ def rules_of(hg: dict) -> list[tuple[str, dict]]:
 
 def hypergraphs(g: Graphs) -> DataFrame:
     """graph_id, form, hg (JSON) of each graph."""
-    def run(labels: dict, edges: list) -> Iterator[tuple]:
-        hg = hypergraph_of(labels, edges)
-        yield form_of(hg), json.dumps(hg)
+    return per_graph(g, _formed, "form string, hg string")
 
-    return per_graph(g, run, "form string, hg string")
+
+def kinds(g: Graphs) -> DataFrame:
+    """graph_id, form, hg, often: hypergraphs() of the least of those graphs that are equal, and how many are; enough for learn()."""
+    return per_kind(g, _formed, "form string, hg string")
+
+
+def _formed(labels: dict, edges: list) -> Iterator[tuple]:
+    hg = hypergraph_of(labels, edges)
+    yield form_of(hg), json.dumps(hg)
 
 
 def learn(collection: DataFrame) -> DataFrame:
-    """symbol, arity, form, rhs, count, n_graphs: the rules of hypergraphs(graph_id, form, hg), equal ones as one.
+    """symbol, arity, form, rhs, count, n_graphs: the rules of hypergraphs(graph_id, form, hg), or of kinds() of them, equal ones as one.
 
     Isomorphic graphs have equal rules, so each form is decomposed once, and counts are
     multiplied; count tells how often a rule is used, n_graphs in how many graphs.
     """
-    forms = collection.groupBy("form").agg(F.count("*").alias("often"), F.min("hg").alias("hg"))
+    often = F.sum("often") if "often" in collection.columns else F.count("*")
+    forms = collection.groupBy("form").agg(often.alias("often"), F.min("hg").alias("hg"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:

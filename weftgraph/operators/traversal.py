@@ -21,8 +21,34 @@ def per_graph(g: Graphs, fn: Callable[[dict, list], Iterator[tuple]], schema: st
     For collections of graphs that fit a task each. Graphs that are equal in nodes, labels and edges are given to fn once,
     unless most are alone: then equal ones are not looked for.
     """
+    run, typed = _rows(g, fn, schema)
+    every = kept(_arrays(g))
+    firsts = cut(every.groupBy("nodes", "edges").agg(F.min("graph_id").alias("graph_id")))
+    if firsts.count() * 2 > every.count():
+        return every.mapInPandas(run, typed)
+    found = firsts.mapInPandas(run, typed)
+    found = found.groupBy("graph_id").agg(F.collect_list(F.struct(*[c for c in found.columns if c != "graph_id"])).alias("rows"))
+    packs = small(cut(firsts.withColumnRenamed("graph_id", "first").join(found.withColumnRenamed("graph_id", "first"), "first").drop("first")))
+    return every.join(packs, ["nodes", "edges"]).select("graph_id", F.inline("rows"))
+
+
+def per_kind(g: Graphs, fn: Callable[[dict, list], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows graph_id, *fn(labels by node, edges), often as of per_graph(), but for the least of the graphs that are equal only; often tells how many are."""
+    run, typed = _rows(g, fn, schema)
+    firsts = cut(_arrays(g).groupBy("nodes", "edges").agg(F.min("graph_id").alias("graph_id"), F.count("*").alias("often")))
+    return firsts.mapInPandas(run, typed).join(firsts.select("graph_id", "often"), "graph_id")
+
+
+def _arrays(g: Graphs) -> DataFrame:
+    """graph_id, nodes, edges: a row for each graph."""
     nodes = g.nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "label"))).alias("nodes"))
     edges = g.edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "label"))).alias("edges"))
+    none = F.array().cast(edges.schema["edges"].dataType)
+    return nodes.join(edges, "graph_id", "left").withColumn("edges", F.coalesce("edges", none))
+
+
+def _rows(g: Graphs, fn: Callable[[dict, list], Iterator[tuple]], schema: str) -> tuple[Callable, str]:
+    """fn over rows of _arrays(g), and the schema of what it gives."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.strip().split(" ")[0] for c in ("graph_id x, " + schema).split(",")]
@@ -35,16 +61,7 @@ def per_graph(g: Graphs, fn: Callable[[dict, list], Iterator[tuple]], schema: st
             yield pd.DataFrame(out, columns=names)
 
     key = next(f.dataType.simpleString() for f in g.nodes.schema if f.name == "graph_id")
-    typed = f"graph_id {key}, {schema}"
-    none = F.array().cast(edges.schema["edges"].dataType)
-    every = kept(nodes.join(edges, "graph_id", "left").withColumn("edges", F.coalesce("edges", none)))
-    firsts = cut(every.groupBy("nodes", "edges").agg(F.min("graph_id").alias("graph_id")))
-    if firsts.count() * 2 > every.count():
-        return every.mapInPandas(run, typed)
-    found = firsts.mapInPandas(run, typed)
-    found = found.groupBy("graph_id").agg(F.collect_list(F.struct(*[c for c in found.columns if c != "graph_id"])).alias("rows"))
-    packs = small(cut(firsts.withColumnRenamed("graph_id", "first").join(found.withColumnRenamed("graph_id", "first"), "first").drop("first")))
-    return every.join(packs, ["nodes", "edges"]).select("graph_id", F.inline("rows"))
+    return run, f"graph_id {key}, {schema}"
 
 
 def closure(edges: DataFrame, reflexive: DataFrame | None = None) -> DataFrame:
