@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators.checkpoints import cut
 from weftgraph.operators.hypergraphs import laid, parts
 from weftgraph.operators.traversal import canonical, per_graph, per_kind
-from weftgraph.sources.views import Graphs
+from weftgraph.sources.views import Graphs, apart
 
 START = "S"
 #: Further questions that a task follows for each batch of those that it was given.
@@ -112,8 +112,8 @@ def hypergraphs(g: Graphs) -> DataFrame:
     return per_graph(g, _formed, "form string, hg string")
 
 
-def kinds(g: Graphs) -> DataFrame:
-    """graph_id, form, hg, often: hypergraphs() of the least of those graphs that are equal, and how many are; enough for learn()."""
+def kinds(g: Graphs | DataFrame) -> DataFrame:
+    """graph_id, form, hg, often: hypergraphs() of the least of those graphs that are equal, and how many are; enough for learn(). g as in per_kind()."""
     return per_kind(g, _formed, "form string, hg string")
 
 
@@ -129,15 +129,24 @@ def learn(collection: DataFrame) -> DataFrame:
     multiplied; count tells how often a rule is used, n_graphs in how many graphs.
     """
     often = F.sum("often") if "often" in collection.columns else F.count("*")
-    forms = collection.groupBy("form").agg(often.alias("often"), F.min("hg").alias("hg"))
+    forms = cut(collection.groupBy("form").agg(often.alias("often"), F.min("hg").alias("hg")))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = [(symbol, len(rhs["ext"]), form_of(rhs), json.dumps(rhs), often, which) for hg, often, which in zip(pdf.hg, pdf.often, pdf.form, strict=True) for symbol, rhs in rules_of(json.loads(hg))]
-            yield pd.DataFrame(rows, columns=["symbol", "arity", "form", "rhs", "often", "graph"])
+        @lru_cache(1 << 16)
+        def form(rhs: str) -> str:
+            return form_of(json.loads(rhs))
 
-    used = forms.mapInPandas(run, "symbol string, arity int, form string, rhs string, often long, graph string")
-    used = used.groupBy("symbol", "arity", "form", "graph").agg(F.min("rhs").alias("rhs"), F.sum("often").alias("uses"), F.first("often").alias("often"))
+        for pdf in it:
+            rows = []
+            for hg, often in zip(pdf.hg, pdf.often, strict=True):
+                used: dict[tuple, list[str]] = {}
+                for symbol, rhs in rules_of(json.loads(hg)):
+                    text = json.dumps(rhs)
+                    used.setdefault((symbol, len(rhs["ext"]), form(text)), []).append(text)
+                rows += [(*rule, min(texts), often * len(texts), often) for rule, texts in used.items()]
+            yield pd.DataFrame(rows, columns=["symbol", "arity", "form", "rhs", "uses", "often"])
+
+    used = apart(forms, "form").mapInPandas(run, "symbol string, arity int, form string, rhs string, uses long, often long")
     return used.groupBy("symbol", "arity", "form").agg(F.min("rhs").alias("rhs"), F.sum("uses").alias("count"), F.sum("often").alias("n_graphs"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.checkpoints import cut, kept
 from weftgraph.operators.shapes import small
-from weftgraph.sources.views import Graphs
+from weftgraph.sources.views import Graphs, apart
 
 
 def per_graph(g: Graphs, fn: Callable[[dict, list], Iterator[tuple]], schema: str) -> DataFrame:
@@ -21,7 +21,7 @@ def per_graph(g: Graphs, fn: Callable[[dict, list], Iterator[tuple]], schema: st
     For collections of graphs that fit a task each. Graphs that are equal in nodes, labels and edges are given to fn once,
     unless most are alone: then equal ones are not looked for.
     """
-    run, typed = _rows(g, fn, schema)
+    run, typed = _rows(g.nodes, fn, schema)
     every = kept(_arrays(g))
     firsts = cut(every.groupBy("nodes", "edges").agg(F.min("graph_id").alias("graph_id")))
     if firsts.count() * 2 > every.count():
@@ -32,11 +32,14 @@ def per_graph(g: Graphs, fn: Callable[[dict, list], Iterator[tuple]], schema: st
     return every.join(packs, ["nodes", "edges"]).select("graph_id", F.inline("rows"))
 
 
-def per_kind(g: Graphs, fn: Callable[[dict, list], Iterator[tuple]], schema: str) -> DataFrame:
-    """Rows graph_id, *fn(labels by node, edges), often as of per_graph(), but for the least of the graphs that are equal only; often tells how many are."""
-    run, typed = _rows(g, fn, schema)
-    firsts = cut(_arrays(g).groupBy("nodes", "edges").agg(F.min("graph_id").alias("graph_id"), F.count("*").alias("often")))
-    return firsts.mapInPandas(run, typed).join(firsts.select("graph_id", "often"), "graph_id")
+def per_kind(g: Graphs | DataFrame, fn: Callable[[dict, list], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows graph_id, *fn(labels by node, edges), often as of per_graph(), but for the least of the graphs that are equal only; often tells how many are.
+
+    g: a collection, or graph_id, nodes, edges, often of graphs that differ, which are worked on as they are dealt.
+    """
+    firsts = g if isinstance(g, DataFrame) else apart(cut(_arrays(g).groupBy("nodes", "edges").agg(F.min("graph_id").alias("graph_id"), F.count("*").alias("often"))), "graph_id")
+    run, typed = _rows(firsts, fn, schema, "often")
+    return firsts.mapInPandas(run, f"{typed}, often long")
 
 
 def _arrays(g: Graphs) -> DataFrame:
@@ -47,20 +50,20 @@ def _arrays(g: Graphs) -> DataFrame:
     return nodes.join(edges, "graph_id", "left").withColumn("edges", F.coalesce("edges", none))
 
 
-def _rows(g: Graphs, fn: Callable[[dict, list], Iterator[tuple]], schema: str) -> tuple[Callable, str]:
-    """fn over rows of _arrays(g), and the schema of what it gives."""
+def _rows(graphs: DataFrame, fn: Callable[[dict, list], Iterator[tuple]], schema: str, *also: str) -> tuple[Callable, str]:
+    """fn over rows of _arrays(g), whose columns also follow what it gives, and the schema of that without them; graphs has the same ids."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in ("graph_id x, " + schema).split(",")]
+        names = [c.strip().split(" ")[0] for c in ("graph_id x, " + schema).split(",")] + list(also)
         for pdf in it:
             out = []
-            for gid, n, e in zip(pdf.graph_id, pdf.nodes, pdf.edges, strict=True):
+            for gid, n, e, *more in zip(pdf.graph_id, pdf.nodes, pdf.edges, *(pdf[c] for c in also), strict=True):
                 labels = {x["node_id"]: x["label"] or "#" for x in n}
                 found = sorted((x["src"], x["dst"], x["label"]) for x in (e if e is not None else []))
-                out += [(gid, *row) for row in fn(dict(sorted(labels.items())), found)]
+                out += [(gid, *row, *more) for row in fn(dict(sorted(labels.items())), found)]
             yield pd.DataFrame(out, columns=names)
 
-    key = next(f.dataType.simpleString() for f in g.nodes.schema if f.name == "graph_id")
+    key = next(f.dataType.simpleString() for f in graphs.schema if f.name == "graph_id")
     return run, f"graph_id {key}, {schema}"
 
 

@@ -28,7 +28,8 @@ SELECT CASE WHEN len(s) = 1 THEN 'S' ELSE CASE WHEN k = 1 THEN 'S' ELSE 'N1' END
 FROM seq, range(1, 100) AS r(k) WHERE k <= greatest(len(s) - 1, 1) GROUP BY 1""")
 def hrg_chain_rules(spark, sf_dir):
     """How often the rules of each symbol are used in the grammar of all orders as paths: a bag for each pair of neighbours."""
-    rules = hrg.learn(hrg.kinds(_chains(spark, sf_dir)))
+    chains = views.order_kinds(spark, sf_dir).withColumn("edges", F.filter("edges", lambda e: e["dst"] == e["src"] + 1))
+    rules = hrg.learn(hrg.kinds(chains))
     return rules.groupBy("symbol").agg(F.sum("count").alias("count"))
 
 
@@ -42,5 +43,5 @@ def hrg_round_trip(spark, sf_dir):
 @query()
 def generate_graphs(spark, sf_dir):
     """As many graphs that differ as the table has nations, drawn from the grammar of all order graphs by how often its rules are used."""
-    grammar = hrg.grammar_of(hrg.learn(hrg.kinds(views.order_graphs(spark, sf_dir))))
+    grammar = hrg.grammar_of(hrg.learn(hrg.kinds(views.order_kinds(spark, sf_dir))))
     return hrg.generate(spark, grammar, views.table(spark, sf_dir, "nation").count()).select("form", "row", F.size("used").cast("long").alias("n_rules"))
