@@ -26,7 +26,7 @@ def per_graph(g: Graphs, fn: Callable[[dict, list], Iterator[tuple]], schema: st
     firsts = cut(every.groupBy("nodes", "edges").agg(F.min("graph_id").alias("graph_id")))
     if firsts.count() * 2 > every.count():
         return every.mapInPandas(run, typed)
-    found = firsts.mapInPandas(run, typed)
+    found = apart(firsts, "graph_id").mapInPandas(run, typed)
     found = found.groupBy("graph_id").agg(F.collect_list(F.struct(*[c for c in found.columns if c != "graph_id"])).alias("rows"))
     packs = small(cut(firsts.withColumnRenamed("graph_id", "first").join(found.withColumnRenamed("graph_id", "first"), "first").drop("first")))
     return every.join(packs, ["nodes", "edges"]).select("graph_id", F.inline("rows"))
