@@ -8,23 +8,23 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.asking import Search
 from weftgraph.operators.checkpoints import cut
-from weftgraph.operators.hypergraphs import laid, parts
 from weftgraph.operators.traversal import canonical, per_graph, per_kind
 from weftgraph.sources.views import Graphs, apart
 
 START = "S"
-#: Further questions that a task follows for each batch of those that it was given.
+#: Steps that a task searches for the answer to a question before it is left to further rounds.
 AHEAD = 5_000
+#: Rows that a task holds before it gives them.
+ROWS = 10_000
 
 
 def form_of(hg: dict) -> str:
@@ -157,48 +157,6 @@ def grammar_of(rules: DataFrame) -> dict:
     return {"N": sorted({r["symbol"] for r in rows} | {START}), "S": START, "rules": made, "counts": [r["count"] for r in rows]}
 
 
-def joined_first(grammar: dict) -> dict:
-    """The grammar with the terminal edges of each rule in an order in which each, if it can, touches nodes that are placed already."""
-    rules, nonterminals = [], set(grammar["N"])
-    for rule in grammar["rules"]:
-        placed, out = set(rule["rhs"]["ext"]), []
-        left = [e for e in rule["rhs"]["E"] if e["label"] not in nonterminals]
-        while left:
-            e = min(left, key=lambda e: (not placed & set(e["nodes"]), len(set(e["nodes"]) - placed), -len(e["nodes"])))  # noqa: B023
-            left.remove(e)
-            out.append(e)
-            placed |= set(e["nodes"])
-        rules.append({**rule, "rhs": {**rule["rhs"], "E": out + [e for e in rule["rhs"]["E"] if e["label"] in nonterminals]}})
-    return {**grammar, "rules": rules}
-
-
-def one_step(grammar: dict, symbol: str, hg: dict) -> Iterator[list[tuple[str, dict]]]:
-    """The parts (symbol, hypergraph) that are left to be derived, for each way to begin a derivation of hg by a rule of symbol."""
-    labels, sets = [e["label"] for e in hg["E"]], [frozenset(e["nodes"]) for e in hg["E"]]
-    nonterminals, every, ext = set(grammar["N"]), [v["id"] for v in hg["V"]], tuple(hg["ext"])
-    edges = frozenset(range(len(labels)))
-    for rule in grammar["rules"]:
-        if rule["symbol"] != symbol or len(rule["rhs"]["ext"]) != len(ext):
-            continue
-        buckets = [e for e in rule["rhs"]["E"] if e["label"] in nonterminals]
-        for at, used in laid(rule, nonterminals, labels, sets, every, edges, ext):
-            rest = edges - used
-            if not buckets:
-                if not rest:
-                    yield []
-                continue
-            split = parts(sets, rest, set(at.values()))
-            ends = [tuple(at[n] for n in b["nodes"]) for b in buckets]
-            options = [[k for k, own in enumerate(ends) if touched <= set(own)] for _, touched in split]
-            for chosen in product(*options) if all(options) else ():
-                left = []
-                for k, (b, x) in enumerate(zip(buckets, ends, strict=True)):
-                    mine = [e for (p, _), c in zip(split, chosen, strict=True) if c == k for e in p]
-                    held = dict.fromkeys([*x, *(n for e in sorted(mine) for n in hg["E"][e]["nodes"])])
-                    left.append((b["label"], {"V": [{"id": n} for n in held], "E": [hg["E"][e] for e in sorted(mine)], "ext": list(x)}))
-                yield left
-
-
 _ASKED = "parent string, way string, children array<struct<key:string,symbol:string,hg:string>>"
 
 
@@ -206,44 +164,41 @@ def members(collection: DataFrame, grammar: dict, most: int = 1000) -> DataFrame
     """graph_id, member of hypergraphs(graph_id, form, hg): whether the grammar derives them from its start symbol, exactly.
 
     Questions are rows (symbol, form), each asked once whatever hypergraphs, rules or
-    rounds it comes from. A round lays one rule on each open question and gives the
-    ways that it may be true, each a set of further questions, of which a task follows AHEAD more at
-    once; those not asked before are the next round's. When none
+    rounds it comes from. A task searches each for AHEAD steps, with the answers of all that it was given; for one that
+    takes more it lays one rule and gives the ways that it may be true, each a set of further
+    questions; those not asked before are the next round's. When none
     is left, truth spreads from ways without questions up. Nothing is gathered but the
     grammar itself. An edge with a nonterminal's label is no terminal, so such a hypergraph is no member.
     """
     roots = collection.groupBy("form").agg(F.min("hg").alias("hg")).select(F.concat(F.lit(grammar["S"] + "|"), "form").alias("key"), F.lit(grammar["S"]).alias("symbol"), "hg")
-    shared = collection.sparkSession.sparkContext.broadcast(joined_first(grammar))
+    shared, ahead = collection.sparkSession.sparkContext.broadcast(grammar), AHEAD
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         @lru_cache(1 << 16)
         def key(symbol: str, hg: str) -> str:
             return f"{symbol}|{form_of(json.loads(hg))}"
 
+        search, rows = Search(shared.value), []
         for pdf in it:
-            rows, wait = [], deque(zip(pdf.key, pdf.symbol, pdf.hg, strict=True))
-            done, enough = {k for k, _, _ in wait}, len(wait) + AHEAD
-            while wait:
-                parent, symbol, text = wait.popleft()
+            for parent, symbol, text in zip(pdf.key, pdf.symbol, pdf.hg, strict=True):
                 hg, seen = json.loads(text), set()
                 rows.append((parent, None, []))  # asked, whatever comes of it
-                if set(shared.value["N"]) & {e["label"] for e in hg["E"]}:
-                    continue
-                for left in one_step(shared.value, symbol, hg):
+                answer = search.answer(symbol, hg, ahead)
+                for left in [[]] if answer else search.ways(symbol, hg) if answer is None else []:
                     asked = {key(s, t): (s, t) for s, t in ((s, json.dumps(x)) for s, x in left)}
                     way = ",".join(sorted(asked))
                     if parent not in asked and way not in seen:  # a shortest derivation never asks this inside itself
                         seen.add(way)
                         rows.append((parent, hashlib.md5(way.encode()).hexdigest(), [{"key": k, "symbol": s, "hg": t} for k, (s, t) in asked.items()]))
-                        for k, (s, t) in asked.items():
-                            if k not in done and len(done) < enough:
-                                done.add(k)
-                                wait.append((k, s, t))
-            yield pd.DataFrame(rows, columns=["parent", "way", "children"])
+                    if len(rows) >= ROWS:
+                        yield pd.DataFrame(rows, columns=["parent", "way", "children"])
+                        rows = []
+        yield pd.DataFrame(rows, columns=["parent", "way", "children"])
 
-    front, seen, ways = cut(roots), cut(roots.select("key")), None
+    front = cut(roots)
+    seen, ways = front.select("key"), None
     for _ in range(most):
-        new = cut(front.mapInPandas(run, _ASKED))
+        new = cut(apart(front, "key").mapInPandas(run, _ASKED))
         ways = new if ways is None else ways.unionByName(new)
         seen = cut(seen.unionByName(new.select(F.col("parent").alias("key"))).distinct())
         asked = new.select(F.explode("children").alias("c")).select("c.*").groupBy("key").agg(F.min("symbol").alias("symbol"), F.min("hg").alias("hg"))

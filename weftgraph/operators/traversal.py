@@ -39,7 +39,7 @@ def per_kind(g: Graphs | DataFrame, fn: Callable[[dict, list], Iterator[tuple]],
     """
     firsts = g if isinstance(g, DataFrame) else apart(cut(_arrays(g).groupBy("nodes", "edges").agg(F.min("graph_id").alias("graph_id"), F.count("*").alias("often"))), "graph_id")
     run, typed = _rows(firsts, fn, schema, "often")
-    return firsts.mapInPandas(run, f"{typed}, often long")
+    return firsts.select("graph_id", "nodes", "edges", "often").mapInPandas(run, f"{typed}, often long")
 
 
 def _arrays(g: Graphs) -> DataFrame:
